@@ -1,0 +1 @@
+"""Nothing here: the work this library covers has no streams (see README)."""
