@@ -10,8 +10,6 @@ from agestrata.plans.views import FOLD_HORIZON, FOLD_TRAIN, with_views
 # Rates of cells without events are raised to this before taking logs.
 FLOOR = 0.001
 SERIES = ["series", "Sex"]
-# Deaths are often whole 128ths, which lie on the boundary of a sixth decimal.
-FINE = 8
 
 # --- accounting -------------------------------------------------------------------
 
@@ -110,11 +108,11 @@ def _deaths(spark, sf_dir):
     with_views(
         ["v_rates", "v_births"],
         DEATHS
-        + f"SELECT series, Sex, Year, Age, {r('start', FINE)} AS start, {r('deaths', FINE)} AS deaths FROM cohorts",
+        + f"SELECT series, Sex, Year, Age, {r('start')} AS start, {r('deaths')} AS deaths FROM cohorts",
     )
 )
 def cohort_deaths(spark, sf_dir):
-    return rounded(_deaths(spark, sf_dir), "start", "deaths", decimals=FINE)
+    return rounded(_deaths(spark, sf_dir), "start", "deaths")
 
 
 @query(
@@ -122,14 +120,14 @@ def cohort_deaths(spark, sf_dir):
         ["v_rates", "v_births"],
         DEATHS
         + f"""SELECT c.series, c.Sex, c.Year, c.Age,
-                     {r('p.exposure - start + deaths', FINE)} AS net_migration
+                     {r('p.exposure - start + deaths')} AS net_migration
               FROM cohorts c JOIN v_rates p ON p.series = c.series AND p.Sex = c.Sex
                    AND p.Year = c.Year + 1 AND p.Age = c.Age""",
     )
 )
 def net_migration(spark, sf_dir):
     balance = accounting.net_migration(_population(spark, sf_dir), _deaths(spark, sf_dir), ["series"])
-    return rounded(balance, "net_migration", decimals=FINE)
+    return rounded(balance, "net_migration")
 
 
 # --- curves -----------------------------------------------------------------------
@@ -255,7 +253,7 @@ def _centered(spark, sf_dir):
     with_views(
         ["v_rates"],
         CENTERED
-        + f"SELECT series, Sex, Year, Age, {r('mu')} AS mu, {r('centered')} + 0.0 AS centered FROM centered",
+        + f"SELECT series, Sex, Year, Age, {r('mu')} AS mu, {r('centered')} AS centered FROM centered",
     )
 )
 def center_curves(spark, sf_dir):
@@ -382,7 +380,7 @@ bounded AS (
   FROM fit),
 leveled AS (SELECT *, coalesce((y - s * x) / (1 - s), last_value) AS level FROM bounded)
 SELECT series, Age, CAST(h AS INTEGER) AS h, CAST(last + h AS INTEGER) AS Year,
-       {r('level + pow(s, h) * (last_value - level)')} + 0.0 AS value
+       {r('level + pow(s, h) * (last_value - level)')} AS value
 FROM (SELECT *, unnest(range(1, 34)) AS h FROM leveled)""",
     )
 )
