@@ -20,8 +20,10 @@ def months_from_years(age: Column) -> Column:
 def pensioner_months(age: Column, age_months: Column) -> Column:
     """How many of the 12 birth months of single-year ``age`` are at or above the
     pension age. Birthdays are spread evenly over the year, so of the people aged
-    67 under a pension age of 67 years 6 months, six twelfths are pensioners."""
-    return F.greatest(F.lit(0), F.least(F.lit(MONTHS), (age + 1) * MONTHS - age_months))
+    67 under a pension age of 67 years 6 months, six twelfths are pensioners. NULL if
+    either age is, which ``least`` and ``greatest`` would hide."""
+    past = (age + 1) * MONTHS - age_months
+    return F.when(past >= MONTHS, MONTHS).when(past > 0, past).when(past <= 0, 0)
 
 
 def worker_months(age: Column, age_months: Column) -> Column:

@@ -27,7 +27,7 @@ from agestrata.sources.tables import load_result, save_result
 # percentile_approx errs by at most n / ACCURACY ranks. Marks stand 2n / ACCURACY
 # ranks off, so they enclose the rank once n / ACCURACY >= 2; smaller groups keep
 # all their values.
-ACCURACY = 2000
+ACCURACY = 500
 KEEP_WHOLE = 2 * ACCURACY
 _MARGIN = 2.0 / ACCURACY
 

@@ -57,10 +57,11 @@ def life_table(
     curve = Window.partitionBy(*keys).orderBy("Age")
     before = curve.rowsBetween(Window.unboundedPreceding, -1)
     m, q, age, lived = F.col("rate"), F.col("q"), F.col("Age"), F.col("lived")
-    dying = F.least(F.lit(1.0), m / (1 + (1 - YEAR_SHARE) * m))
+    dying = m / (1 + (1 - YEAR_SHARE) * m)
     # A running product of survival; ln(0) is NULL, so certain death is kept apart.
     log_survivors = F.coalesce(F.sum(F.when(q < 1, F.ln(1 - q))).over(before), F.lit(0.0))
     none_left = F.count_if(q >= 1).over(before) > 0
+    unknown = F.count_if(q.isNull()).over(before) > 0
     older = F.first("lived").over(curve.rangeBetween(1, 1))
     younger = F.first("lived").over(curve.rangeBetween(-1, -1))
     survival = (
@@ -70,8 +71,8 @@ def life_table(
     )
     return (
         rates.select(*keys, "Age", "rate")
-        .withColumn("q", F.when(age == top, 1.0).otherwise(dying))
-        .withColumn("l", F.when(none_left, 0.0).otherwise(F.exp(log_survivors)))
+        .withColumn("q", F.when((age == top) | (dying > 1), 1.0).otherwise(dying))
+        .withColumn("l", F.when(none_left, 0.0).when(~unknown, F.exp(log_survivors)))
         .withColumn("d", F.col("l") * q)
         .withColumn(
             "lived",

@@ -15,7 +15,9 @@ def log_rates(rates: DataFrame, floor: float | None = None) -> DataFrame:
     """``value = ln(rate)`` and ``weight``, the number of events behind it, which is
     the inverse of the variance of a log rate. Cells with no events have no
     logarithm: they are dropped, or raised to ``floor`` if one is given."""
-    rate = F.col("rate") if floor is None else F.greatest(F.col("rate"), F.lit(floor))
+    rate = F.col("rate")
+    if floor is not None:
+        rate = F.when(rate < floor, floor).otherwise(rate)
     return (
         rates.withColumn("value", F.when(rate > 0, F.ln(rate)))
         .withColumn("weight", rate * F.col("exposure"))

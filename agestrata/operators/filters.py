@@ -24,7 +24,7 @@ def collapse_open_age(
 ) -> DataFrame:
     """Sum all ages from ``top`` on into one open group."""
     return (
-        df.withColumn("Age", F.least(F.col("Age"), F.lit(top)).cast("int"))
+        df.withColumn("Age", F.when(F.col("Age") > top, top).otherwise(F.col("Age")))
         .groupBy(*keys, "Age")
         .agg(total(F.col(measure), na_rm).alias(measure))
     )

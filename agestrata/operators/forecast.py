@@ -55,8 +55,12 @@ def mean_reverting_forecast(
         F.max("Year").alias("_last"),
         F.max_by(value, "Year").alias("_end"),
     )
-    slope = F.coalesce(
-        F.greatest(F.lit(-SLOPE_BOUND), F.least(F.lit(SLOPE_BOUND), F.col("_slope"))), F.lit(0.0)
+    free = F.col("_slope")
+    slope = (
+        F.when(free > SLOPE_BOUND, SLOPE_BOUND)
+        .when(free < -SLOPE_BOUND, -SLOPE_BOUND)
+        .when(free.isNotNull(), free)
+        .otherwise(0.0)
     )
     level = F.coalesce((F.col("_y") - F.col("_s") * F.col("_x")) / (1 - F.col("_s")), F.col("_end"))
     return (

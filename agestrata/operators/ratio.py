@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from agestrata.functions.ages import MONTHS, age_group, pensioner_months, worker_months
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import group_quantiles, interval_probabilities
-from agestrata.operators.policy import attach_scheme, checked_scheme
+from agestrata.operators.policy import CAPS, attach_scheme
 from agestrata.operators.reshape import union_labelled
 from agestrata.schema import WORKING_AGE
 
@@ -66,9 +66,15 @@ def group_population(
 
 
 def _ratio(aged: DataFrame, keys: Sequence[str], na_rm: bool) -> DataFrame:
-    return _month_sums(aged, keys, na_rm).select(
-        *keys, F.try_divide("_pension", "_work").alias("OADR")
+    age, months, people = F.col("Age"), F.col("age_months"), F.col("Population")
+    pension, work = pensioner_months(age, months), worker_months(age, months)
+    sums = aged.groupBy(*keys).agg(
+        F.sum(F.when(work > 0, people * work)).alias("_work"),
+        F.sum(F.when(pension > 0, people * pension)).alias("_pension"),
+        F.count_if(people.isNull() & ((work > 0) | (pension > 0))).alias("_missing"),
     )
+    ratio = F.try_divide("_pension", "_work")
+    return sums.select(*keys, (ratio if na_rm else F.when(F.col("_missing") == 0, ratio)).alias("OADR"))
 
 
 def oadr(
@@ -122,57 +128,92 @@ def oadr_rolling(rolling_sim: DataFrame, scheme: DataFrame, level: float = 80, *
     return oadr_sim(rolling_sim, scheme, level, keys=["id"], **options)
 
 
-def complete_policies(policy: DataFrame, pop: DataFrame) -> DataFrame:
-    """Every policy for every year of ``pop``: a year a policy lacks gets the lowest
-    age among the years it shares with ``pop``. Works on one row per policy, so the
-    years of ``pop`` reach the small side as one array and no rows are paired."""
-    years = pop.agg(F.collect_set("Year").alias("years"))
-    by_policy = checked_scheme(policy, ["Policy", "policy_rank", "Year"]).groupBy(
-        "Policy", "policy_rank"
-    )
-    ages = by_policy.agg(F.map_from_entries(F.collect_list(F.struct("Year", "age_months"))).alias("ages"))
-    known = ages.withColumn("years", years.scalar()).withColumn(
-        "lowest", F.expr("array_min(transform(years, y -> try_element_at(ages, y)))")
-    )
-    return known.select("Policy", "policy_rank", "ages", "lowest", F.explode("years").alias("Year")).select(
-        "Policy",
-        "policy_rank",
-        "Year",
-        F.coalesce(F.try_element_at("ages", F.col("Year")), "lowest").alias("age_months"),
-    )
-
-
-def oadr_by_policy(
+def oadr_by_column(
     sim: DataFrame,
-    policy: DataFrame,
+    schemes: DataFrame,
+    names: Mapping[str, str],
     level: float = 80,
     keys: Sequence[str] = (),
+    on: Sequence[str] = ("Year",),
     fill: bool = True,
     na_rm: bool = False,
     group_limit: int | None = None,
 ) -> DataFrame:
-    """``keys, Policy, policy_rank, Year, Lo, Hi, OADR`` for all policies in one pass.
-
-    Each population row meets a handful of policies and is summed before the
-    shuffle, which carries one row per policy, replicate and year. With
-    ``fill=False`` a year that a policy lacks gives no row for it."""
-    label = ["Policy", "policy_rank"]
+    """``keys, Policy, policy_rank, Year, Lo, Hi, OADR`` for schemes held side by side:
+    ``schemes`` has one row per ``on`` and a column of pension months per entry of
+    ``names`` (column: policy), in the order of their ranks.
+
+    A population row is read, joined and grouped once for all policies: a policy adds
+    one sum, since everyone of working age or over is either a worker or a pensioner.
+    The shuffle carries one row per replicate and year. Pension ages must lie at or
+    above working age. ``fill`` is as in ``attach_scheme``; without it, a year that a
+    policy lacks is NULL."""
+    on, columns = list(on), list(names)
+    too_low = F.raise_error(F.lit("a pension age lies below working age")).cast("int")
+    checked = schemes.select(
+        *on,
+        *[
+            F.when(F.col(c) < WORKING_AGE * MONTHS, too_low).otherwise(F.col(c)).cast("int").alias(f"_m{i}")
+            for i, c in enumerate(columns)
+        ],
+    )
+    months = [f"_m{i}" for i in range(len(columns))]
+    aged = sim.join(checked, on, "left")
     if fill:
-        policies = complete_policies(policy, sim)
-    else:
-        policies = checked_scheme(policy, [*label, "Year"])
-    ratios = _ratio(sim.join(policies, "Year"), [*keys, *label, "Rep", "Year"], na_rm)
+        met = sim.select(*on).distinct().join(checked, on)
+        lowest = met.agg(F.struct(*[F.min(m).alias(m) for m in months])).scalar()
+        aged = aged.withColumns({m: F.coalesce(m, lowest[m]) for m in months})
+
+    age, people = F.col("Age"), F.col("Population")
+    adult = age >= WORKING_AGE
+    per_rep = [*keys, "Rep", "Year"]
+    pensions = []
+    for i, m in enumerate(months):
+        share = pensioner_months(age, F.col(m))
+        pensions.append(F.sum(F.when(share > 0, people * share)).alias(f"_p{i}"))
+    sums = aged.groupBy(*per_rep).agg(total_where(adult, people, na_rm).alias("_adults"), *pensions)
+    arms = [
+        F.struct(
+            F.lit(name).alias("Policy"),
+            F.lit(rank).alias("policy_rank"),
+            F.try_divide(F.col(f"_p{rank - 1}"), MONTHS * F.col("_adults") - F.col(f"_p{rank - 1}")).alias("OADR"),
+        )
+        for rank, name in enumerate(names.values(), 1)
+    ]
+    ratios = sums.select(*per_rep, F.explode(F.array(*arms)).alias("_a")).select(*per_rep, "_a.*")
     return interval_summary(
-        ratios, [*keys, *label, "Year"], level, na_rm=na_rm, group_limit=group_limit
+        ratios,
+        [*keys, "Policy", "policy_rank", "Year"],
+        level,
+        na_rm=na_rm,
+        group_limit=group_limit,
+    )
+
+
+def oadr_by_policy(
+    sim: DataFrame,
+    policy: DataFrame,
+    names: Sequence[str] = tuple(CAPS),
+    on: Sequence[str] = ("Year",),
+    **options,
+) -> DataFrame:
+    """``oadr_by_column`` for the named policies of a policy table."""
+    columns = {f"_c{i}": name for i, name in enumerate(names)}
+    twice = F.raise_error(F.lit("a policy has two pension ages for one year")).cast("int")
+    side_by_side = policy.groupBy(*on).agg(
+        *[
+            F.when(F.count_if(F.col("Policy") == name) > 1, twice)
+            .otherwise(F.max(F.when(F.col("Policy") == name, F.col("age_months"))))
+            .alias(c)
+            for c, name in columns.items()
+        ]
     )
+    return oadr_by_column(sim, side_by_side, columns, on=on, **options)
 
 
 def oadr_under_schedules(
-    sim: DataFrame, schedules: Mapping[str, DataFrame], level: float = 80, **options
+    sim: DataFrame, schedules: Mapping[str, DataFrame], **options
 ) -> DataFrame:
     """``oadr_by_policy`` for named schedules (``Year, age_months``)."""
-    ranked = {
-        name: df.select("Year", "age_months").withColumn("policy_rank", F.lit(rank))
-        for rank, (name, df) in enumerate(schedules.items(), 1)
-    }
-    return oadr_by_policy(sim, union_labelled(ranked, "Policy"), level, **options)
+    parts = {name: df.select("Year", "age_months") for name, df in schedules.items()}
+    return oadr_by_policy(sim, union_labelled(parts, "Policy"), list(parts), **options)

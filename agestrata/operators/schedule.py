@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from agestrata.functions.ages import MONTHS
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import interval_probabilities
-from agestrata.operators.ratio import interval_summary, oadr_by_policy
+from agestrata.operators.ratio import interval_summary, oadr_by_column
 from agestrata.schema import WORKING_AGE
 
 YEARLY_CAP = 12
@@ -220,19 +220,8 @@ def compare_schemes(policy: DataFrame, band: DataFrame, first_year: int = 2005)
     return optimal.unionByName(others).where(F.col("Year") >= first_year)
 
 
-def oadr_under_band(sim: DataFrame, band: DataFrame, level: float = 80, **options) -> DataFrame:
-    """Ratio under the optimal, lower and upper schedules."""
+def oadr_under_band(sim: DataFrame, band: DataFrame, **options) -> DataFrame:
+    """Ratio under the optimal, lower and upper schedules, as ``oadr_by_column``."""
     # Series names, in reporting order.
     names = {"optimal": "Optimal", "lower": "Lower boundary", "upper": "Upper boundary"}
-    arms = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("Policy"),
-                F.lit(rank).alias("policy_rank"),
-                F.col(c).cast("int").alias("age_months"),
-            )
-            for rank, (c, name) in enumerate(names.items(), 1)
-        ]
-    )
-    policy = band.select("Year", F.explode(arms).alias("_p")).select("Year", "_p.*")
-    return oadr_by_policy(sim, policy, level, **options)
+    return oadr_by_column(sim, band, names, **options)

@@ -376,7 +376,8 @@ fit AS (
          avg(prev) AS x, max(Year) AS last, arg_max(value, Year) AS last_value
   FROM steps GROUP BY series, Age),
 bounded AS (
-  SELECT *, coalesce(greatest(-0.99, least(0.99, CASE WHEN isnan(slope) THEN NULL ELSE slope END)), 0) AS s
+  SELECT *, CASE WHEN slope IS NULL OR isnan(slope) THEN 0 WHEN slope > 0.99 THEN 0.99
+                 WHEN slope < -0.99 THEN -0.99 ELSE slope END AS s
   FROM fit),
 leveled AS (SELECT *, coalesce((y - s * x) / (1 - s), last_value) AS level FROM bounded)
 SELECT series, Age, CAST(h AS INTEGER) AS h, CAST(last + h AS INTEGER) AS Year,
