@@ -21,6 +21,22 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
 
 
+def _matrix(rows: pd.Series, columns: pd.Series, values: pd.Series):
+    """Long cells as a dense matrix, absent and NULL ones being zero, and the sorted
+    column labels."""
+    row_labels, i = np.unique(rows.to_numpy(), return_inverse=True)
+    labels, j = np.unique(columns.to_numpy(), return_inverse=True)
+    x = np.zeros((len(row_labels), len(labels)))
+    x[i, j] = np.nan_to_num(values.to_numpy())
+    return x, labels
+
+
+def _with_keys(out: pd.DataFrame, group: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    for k in reversed(keys):
+        out.insert(0, k, group[k].iloc[0])
+    return out
+
+
 def curve_covariance(centered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, Age_i, Age_j, moment``: sum over years of products of centred values.
 
@@ -32,22 +48,21 @@ def curve_covariance(centered: DataFrame, keys: Sequence[str]) -> DataFrame:
     cells = centered.select(*keys, "Year", "Age", "centered", block.alias("_block"))
 
     def moments(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="Year", columns="Age", values="centered").fillna(0.0)
-        x, ages = table.to_numpy(), table.columns.to_numpy()
+        x, ages = _matrix(group["Year"], group["Age"], group["centered"])
         out = pd.DataFrame(
-            {
-                "Age_i": np.repeat(ages, len(ages)),
-                "Age_j": np.tile(ages, len(ages)),
-                "_m": (x.T @ x).ravel(),
-            }
+            {"Age_i": ages, "_ages": [ages] * len(ages), "_moments": list(x.T @ x)}
         )
-        for k in reversed(keys):
-            out.insert(0, k, group[k].iloc[0])
-        return out
+        return _with_keys(out, group, keys)
 
-    schema = _key_types(centered, keys) + "Age_i int, Age_j int, _m double"
+    # A row of the matrix travels as two arrays and is expanded by Spark.
+    schema = _key_types(centered, keys) + "Age_i int, _ages array<int>, _moments array<double>"
     partial = cells.groupBy(*keys, "_block").applyInPandas(moments, schema)
-    return partial.groupBy(*keys, "Age_i", "Age_j").agg(F.sum("_m").alias("moment"))
+    pairs = partial.select(
+        *keys, "Age_i", F.explode(F.arrays_zip("_ages", "_moments")).alias("_p")
+    )
+    return pairs.groupBy(*keys, "Age_i", F.col("_p._ages").alias("Age_j")).agg(
+        F.sum("_p._moments").alias("moment")
+    )
 
 
 def principal_components(
@@ -58,15 +73,15 @@ def principal_components(
     keys = list(keys)
 
     def decompose(group: pd.DataFrame) -> pd.DataFrame:
-        table = group.pivot(index="Age_i", columns="Age_j", values="moment").fillna(0.0)
-        values, vectors = np.linalg.eigh(table.to_numpy())
+        matrix, ages = _matrix(group["Age_i"], group["Age_j"], group["moment"])
+        values, vectors = np.linalg.eigh(matrix)
         order = np.argsort(values)[::-1][:components]
         values_kept = np.clip(values[order], 0.0, None)
         whole = np.clip(values, 0.0, None).sum()
         phi = vectors[:, order]
         phi = phi * np.sign(phi[np.abs(phi).argmax(axis=0), np.arange(phi.shape[1])])
         share = values_kept / whole if whole > 0 else np.zeros(len(order))
-        ages, kept = table.index.to_numpy(), len(order)
+        kept = len(order)
         out = pd.DataFrame(
             {
                 "j": np.repeat(np.arange(1, kept + 1), len(ages)),
@@ -75,9 +90,7 @@ def principal_components(
                 "share": np.repeat(share, len(ages)),
             }
         )
-        for k in reversed(keys):
-            out.insert(0, k, group[k].iloc[0])
-        return out
+        return _with_keys(out, group, keys)
 
     schema = _key_types(covariance, keys) + "j int, Age int, phi double, share double"
     return covariance.groupBy(*keys).applyInPandas(decompose, schema)

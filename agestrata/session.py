@@ -16,6 +16,8 @@ def local_session(app: str = "agestrata", cpus: str | int = "*", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("AGESTRATA_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # Recording the Python line of every Column call costs more than small queries.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
