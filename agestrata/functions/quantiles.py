@@ -91,76 +91,71 @@ def _in_one_pass(df, keys, value, probs, mean, na_rm, group_limit):
 
 def _by_selection(df, keys, value, probs, mean, na_rm, store_marks):
     keys = list(keys)
-    names = list(probs)
+    places = list(enumerate(probs.items()))
     values = df.select(*keys, F.col(value).cast("double").alias("_v"))
 
     marks = []
-    for n in names:
-        marks += [max(0.0, probs[n] - _MARGIN), min(1.0, probs[n] + _MARGIN)]
+    for p in probs.values():
+        marks += [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
     summary = values.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        (F.count_if(F.col("_v").isNull()) > 0).alias("_null"),
-        F.avg("_v").alias("_mean"),
+        F.expr("count(_v) AS _n"),
+        F.expr("count(*) > count(_v) AS _null"),
+        F.expr("avg(_v) AS _mean"),
         F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
     )
-
     if store_marks:
         name = f"quantile-marks-{uuid.uuid4().hex}"
         save_result(summary, name)
         summary = load_result(df.sparkSession, name, shape=summary.schema)
-
-    v, whole = F.col("_v"), F.col("_n") <= KEEP_WHOLE
-    low = [F.col("_marks")[2 * i] for i in range(len(names))]
-    high = [F.col("_marks")[2 * i + 1] for i in range(len(names))]
-    inside = whole
-    for lo, hi in zip(low, high):
-        inside = inside | v.between(lo, hi)
-
-    # Rows outside all marks share one row per group, which carries the counts.
+    of_group = ["_n", "_null", "_mean"]
+    carried = [F.expr(f"first({c}) AS {c}") for c in of_group]
+
+    # Values outside all marks share one row per group, which carries their counts
+    # below each lower mark.
+    inside = " OR ".join(
+        [f"_n <= {KEEP_WHOLE}"]
+        + [f"_v BETWEEN _marks[{2 * i}] AND _marks[{2 * i + 1}]" for i, _ in places]
+    )
     counted = (
         values.join(summary, keys)
-        .withColumn("_slot", F.when(inside, v))
+        .select(*keys, "_v", "_marks", *of_group, F.expr(f"({inside}) AS _inside"))
+        .withColumn("_slot", F.expr("CASE WHEN _inside THEN _v END"))
         .groupBy(*keys, "_slot")
         .agg(
-            F.count("_v").alias("_m"),
+            F.expr("count(_v) AS _m"),
             *[
-                F.count_if(~inside & (v < low[i])).alias(f"_below{i}")
-                for i in range(len(names))
+                F.expr(f"count_if(NOT _inside AND _v < _marks[{2 * i}]) AS _below{i}")
+                for i, _ in places
             ],
-            *[F.first(c).alias(c) for c in ("_n", "_null", "_mean")],
+            *carried,
         )
     )
     group = Window.partitionBy(*keys)
-    running = group.orderBy(F.col("_slot").asc_nulls_first()).rowsBetween(
+    running = group.orderBy(F.expr("_slot").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranked = counted.withColumn(
-        "_upto", F.sum(F.when(F.col("_slot").isNull(), 0).otherwise(F.col("_m"))).over(running)
-    )
-    for i in range(len(names)):
-        ranked = ranked.withColumn(f"_below{i}", F.max(f"_below{i}").over(group))
-
-    aggregates = [F.first(c).alias(c) for c in ("_n", "_null", "_mean")]
-    for i, n in enumerate(names):
-        first = F.floor((F.col("_n") - 1) * F.lit(float(probs[n]))) + 1
-        for j, rank in enumerate((first, F.least(first + 1, F.col("_n")))):
-            reached = F.col(f"_below{i}") + F.col("_upto") >= rank
-            aggregates.append(F.min(F.when(reached, F.col("_slot"))).alias(f"_x{i}{j}"))
-        aggregates.append((F.max(f"_below{i}") < F.first(first)).alias(f"_ok{i}"))
-    found = ranked.groupBy(*keys).agg(*aggregates)
-
-    out = []
-    for i, n in enumerate(names):
-        position = (F.col("_n") - 1) * F.lit(float(probs[n]))
-        share = position - F.floor(position)
-        x0, x1 = F.col(f"_x{i}0"), F.col(f"_x{i}1")
-        enclosed = F.col(f"_ok{i}") & x0.isNotNull() & x1.isNotNull()
-        result = (
-            F.when(F.col("_n") == 0, F.lit(None).cast("double"))
-            .when(enclosed, x0 + share * (x1 - x0))
-            .otherwise(F.raise_error(F.lit("quantile rank outside its marks")).cast("double"))
+        "_upto", F.expr("sum(CASE WHEN _slot IS NULL THEN 0 ELSE _m END)").over(running)
+    ).withColumns({f"_below{i}": F.expr(f"max(_below{i})").over(group) for i, _ in places})
+
+    found, out = [], []
+    for i, (name, p) in places:
+        position = f"((_n - 1) * {float(p)!r}D)"
+        rank = f"(floor({position}) + 1)"
+        reached = f"_below{i} + _upto >= {rank}"
+        next_reached = f"_below{i} + _upto >= least({rank} + 1, _n)"
+        found += [
+            F.expr(f"min(CASE WHEN {reached} THEN _slot END) AS _x{i}"),
+            F.expr(f"min(CASE WHEN {next_reached} THEN _slot END) AS _y{i}"),
+            F.expr(f"max(_below{i}) < first({rank}) AS _ok{i}"),
+        ]
+        result = F.expr(
+            f"""CASE WHEN _n = 0 THEN CAST(NULL AS DOUBLE)
+                     WHEN _ok{i} AND _x{i} IS NOT NULL AND _y{i} IS NOT NULL
+                     THEN _x{i} + ({position} - floor({position})) * (_y{i} - _x{i})
+                     ELSE CAST(raise_error('quantile rank outside its marks') AS DOUBLE) END"""
         )
-        out.append(_visible(F.col("_null"), result, na_rm).alias(n))
+        out.append(_visible(F.col("_null"), result, na_rm).alias(name))
     if mean:
         out.append(_visible(F.col("_null"), F.col("_mean"), na_rm).alias(mean))
-    return found.select(*keys, *out)
+    return ranked.groupBy(*keys).agg(*carried, *found).select(*keys, *out)

@@ -7,15 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from agestrata.functions.aggregates import mean_absolute, root_mean_square
-from agestrata.operators.components import (
-    COMPONENTS,
-    component_scores,
-    curve_covariance,
-    principal_components,
-    reconstruct,
-)
-from agestrata.operators.curves import center_curves, mean_curve
-from agestrata.operators.forecast import drift_forecast
+from agestrata.operators.components import COMPONENTS
+from agestrata.operators.rate_models import component_forecast
 
 
 def fold_table(years: DataFrame, train: int, horizon: int) -> DataFrame:
@@ -93,11 +86,7 @@ def rolling_rate_forecast(
     all origins are one job."""
     keyed = [*keys, "id"]
     training = curves.join(fold_years(folds, "train"), "Year")
-    centered = center_curves(training, keyed)
-    basis = principal_components(curve_covariance(centered, keyed), keyed, components)
-    scores = component_scores(centered, basis, keyed, components)
-    ahead = drift_forecast(scores, [*keyed, "j"], horizon)
-    fitted = reconstruct(mean_curve(training, keyed), basis, ahead, keyed, components)
+    fitted = component_forecast(training, keyed, horizon, components)
     last = folds.select("id", F.col("train_to").alias("_last"))
     return fitted.join(last, "id").select(
         *keyed, (F.col("Year") - F.col("_last")).cast("int").alias("h"), "Year", "Age", "fitted"

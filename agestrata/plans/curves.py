@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from agestrata.operators import accounting, components, curves, folds, forecast
+from agestrata.operators import accounting, components, curves, folds, forecast, rate_models
 from agestrata.plans import views as V
 from agestrata.plans.registry import query, r, rounded
 from agestrata.plans.views import FOLD_HORIZON, FOLD_TRAIN, with_views
@@ -439,3 +439,78 @@ def rolling_rate_forecast(spark, sf_dir):
 def rolling_rate_backtest(spark, sf_dir):
     out = folds.rolling_rate_backtest(_logs(spark, sf_dir), V.folds(spark, sf_dir), SERIES, FOLD_HORIZON)
     return rounded(out, "RMSE")
+
+
+# Six components of seven years leave nothing out, so drift of all scores is drift of
+# each age, again with the mean where the first or last year lacks the age.
+def _drift_sql(source, keys):
+    on_m = " AND ".join(f"{{0}}.{k} = m.{k}" for k in [*keys, "Age"])
+    listed = ", ".join(keys)
+    return f""", span AS (SELECT {listed}, min(Year) AS first, max(Year) AS last FROM {source} GROUP BY {listed}),
+means AS (SELECT {listed}, Age, avg(value) AS mu FROM {source} GROUP BY {listed}, Age),
+ends AS (
+  SELECT m.*, first, last, coalesce(a.value, mu) AS first_value, coalesce(b.value, mu) AS last_value
+  FROM means m JOIN span USING ({listed})
+       LEFT JOIN {source} a ON {on_m.format('a')} AND a.Year = first
+       LEFT JOIN {source} b ON {on_m.format('b')} AND b.Year = last),
+ahead AS (
+  SELECT {listed}, Age, CAST(last + h AS INTEGER) AS Year,
+         last_value + h * (last_value - first_value) / (last - first) AS value
+  FROM (SELECT *, unnest(range(1, 34)) AS h FROM ends))"""
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        LOGS
+        + _drift_sql("logs", SERIES)
+        + f"SELECT series, Sex, Year, Age, {r('value')} AS fitted FROM ahead",
+    )
+)
+def component_forecast(spark, sf_dir):
+    return rounded(rate_models.component_forecast(_logs(spark, sf_dir), SERIES), "fitted")
+
+
+def _positive(spark, sf_dir):
+    rates = V.rates(spark, sf_dir)
+    return rates.withColumn("value", F.greatest("rate", F.lit(FLOOR)))
+
+
+# The part that sets the sexes apart needs eigenvectors; tests check it with numpy.
+@query()
+def coherent_forecast(spark, sf_dir):
+    return rounded(rate_models.coherent_forecast(_positive(spark, sf_dir), ["series"]), "value")
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        LOGS
+        + """, shared AS (
+  SELECT m.series, m.Year, m.Age, (m.value + f.value) / 2 AS value
+  FROM logs m JOIN logs f ON m.series = f.series AND m.Year = f.Year AND m.Age = f.Age
+  WHERE m.Sex = 'Male' AND f.Sex = 'Female')"""
+        + _drift_sql("shared", ["series"])
+        + f"SELECT series, Year, Age, {r('exp(value)')} AS product FROM ahead",
+    )
+)
+def coherent_forecast_product(spark, sf_dir):
+    forecast_rates = rate_models.coherent_forecast(_positive(spark, sf_dir), ["series"])
+    shared = curves.product_ratio(forecast_rates, ["series"]).select("series", "Year", "Age", "product")
+    return rounded(shared, "product")
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        PAIRED
+        + """, shared AS (SELECT series, Year, Age, (M + F) / 2 AS value FROM paired)"""
+        + _drift_sql("shared", ["series"])
+        + f"SELECT series, Year, Age, {r('value')} AS half_sum FROM ahead",
+    )
+)
+def coherent_forecast_sum(spark, sf_dir):
+    measure = V.rates(spark, sf_dir).withColumn("value", F.col("exposure"))
+    ahead = rate_models.coherent_forecast(measure, ["series"], log=False)
+    shared = curves.sum_difference(ahead, ["series"]).select("series", "Year", "Age", "half_sum")
+    return rounded(shared, "half_sum")

@@ -107,6 +107,22 @@ def oadr_history(spark, sf_dir):
     return ratio.oadr(V.pop(spark, sf_dir), _late_scheme(spark, sf_dir))
 
 
+@query(
+    with_views(
+        ["v_rates", "v_policy"],
+        f"""
+SELECT series, p.Year, {ratio_sql('age_months')} AS OADR
+FROM (SELECT series, Year, Age, exposure AS Population FROM v_rates) p
+     JOIN {CURRENT} s ON p.Year = s.Year
+GROUP BY series, p.Year, age_months""",
+    )
+)
+def oadr_by_series(spark, sf_dir):
+    """Many populations in one call."""
+    pop = V.pop(spark, sf_dir, keys=["series"])
+    return ratio.oadr(pop, _current(spark, sf_dir), ["series"], fill=False)
+
+
 # One pension age per sex: women five years earlier.
 @query(
     with_views(
@@ -361,6 +377,18 @@ def backtest_rmse(spark, sf_dir):
     return rounded(folds.backtest_rmse(_rolling(spark, sf_dir), _actual(spark, sf_dir)), "RMSE")
 
 
+@query(
+    with_views(
+        _ROLLING_VIEWS,
+        ROLLING
+        + f"SELECT id, {r('sqrt(avg(error * error))')} AS RMSE FROM errors GROUP BY id",
+    )
+)
+def horizon_rmse(spark, sf_dir):
+    """Per origin instead of per horizon."""
+    return rounded(folds.horizon_rmse(_errors(spark, sf_dir), ["id"]), "RMSE")
+
+
 @query(
     with_views(
         _ROLLING_VIEWS,

@@ -224,3 +224,39 @@ def oadr_under_schedules(spark, sf_dir):
     recent = restrict_years(V.sim(spark, sf_dir), 1998)
     out = ratio.oadr_under_schedules(recent, named, fill=False)
     return rounded(out, "Lo", "Hi", "OADR")
+
+
+# A schedule per key: here each sex is its own population.
+@query(
+    with_views(
+        _VIEWS,
+        f""", candidates AS (
+  SELECT Year, CAST(unnest(range({START}, {START} + 12 * (Year - {FIRST - 1}) + 1)) AS INTEGER) AS age_months
+  FROM v_years),
+ratios AS (
+  SELECT Sex, Rep, s.Year, age_months, {ratio_sql('age_months')} AS OADR
+  FROM v_sim s JOIN candidates c ON s.Year = c.Year GROUP BY Sex, Rep, s.Year, age_months),
+need AS (
+  SELECT Sex, Year, min(age_months) FILTER (WHERE lo <= {TARGET}) AS lower,
+         min(age_months) FILTER (WHERE m <= {TARGET}) AS optimal,
+         min(age_months) FILTER (WHERE hi <= {TARGET}) AS upper
+  FROM (SELECT Sex, Year, age_months, quantile_cont(OADR, 0.1) AS lo, avg(OADR) AS m,
+               quantile_cont(OADR, 0.9) AS hi
+        FROM ratios GROUP BY Sex, Year, age_months)
+  GROUP BY Sex, Year),
+band AS (
+  SELECT Sex, CAST({FIRST - 1} AS INTEGER) AS Year, CAST({START} AS INTEGER) AS lower,
+         CAST({START} AS INTEGER) AS optimal, CAST({START} AS INTEGER) AS upper
+  FROM (SELECT DISTINCT Sex FROM v_sim)
+  UNION ALL
+  SELECT n.Sex, n.Year,
+         least(b.lower + 12, greatest(b.lower, coalesce(n.lower, b.lower + 12))),
+         least(b.optimal + 12, greatest(b.optimal, coalesce(n.optimal, b.optimal + 12))),
+         least(b.upper + 12, greatest(b.upper, coalesce(n.upper, b.upper + 12)))
+  FROM band b JOIN need n ON n.Year = b.Year + 1 AND n.Sex = b.Sex)
+SELECT * FROM band WHERE Year >= {FIRST}""",
+        recursive=True,
+    )
+)
+def schedule_band_by_key(spark, sf_dir):
+    return schedule.schedule_band(V.sim(spark, sf_dir), START, FIRST, LAST, TARGET, keys=["Sex"])

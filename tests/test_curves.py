@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from agestrata.operators import components, curves, folds, forecast
+from agestrata.operators import components, curves, folds, forecast, rate_models
 from agestrata.operators.policy import year_spine
 
 AGES, YEARS = np.arange(101), np.arange(1950, 1990)
@@ -221,3 +221,37 @@ def test_rolling_forecast_against_numpy(spark):
             np.testing.assert_allclose(part.fitted, want, atol=1e-8)
     errors = folds.rolling_rate_backtest(df, origins, ["series"], 3, components=2).toPandas()
     assert len(errors) == 3 and errors.RMSE.notna().all()
+
+
+def numpy_parts(x, components, horizon, revert):
+    """Forecast of one part, with numpy: drift, or return to the mean."""
+    mean = x.mean(axis=0)
+    u, s, vt = np.linalg.svd(x - mean, full_matrices=False)
+    beta = (u * s)[:, :components]
+    ahead = []
+    for b in beta.T:
+        if revert:
+            slope, intercept = np.polyfit(b[:-1], b[1:], 1)
+            slope = np.clip(slope, -0.99, 0.99)
+            level = (b[1:].mean() - slope * b[:-1].mean()) / (1 - slope)
+            ahead.append([level + slope**h * (b[-1] - level) for h in range(1, horizon + 1)])
+        else:
+            drift = (b[-1] - b[0]) / (len(b) - 1)
+            ahead.append([b[-1] + h * drift for h in range(1, horizon + 1)])
+    return mean + np.array(ahead).T @ vt[:components]
+
+
+@pytest.mark.parametrize("log", [True, False])
+def test_coherent_forecast_against_numpy(spark, log):
+    ages, years = np.arange(15), np.arange(1990, 2015)
+    male, female = surface(11, ages, years), surface(12, ages, years)
+    scale = np.exp if log else (lambda x: x)
+    df = long(spark, {"Male": scale(male), "Female": scale(female)}, ages, years)
+    df = df.withColumnRenamed("series", "Sex")
+    got = rate_models.coherent_forecast(df, horizon=4, components=3, log=log)
+    shared = numpy_parts((male + female) / 2, 3, 4, revert=False)
+    apart = numpy_parts((male - female) / 2, 3, 4, revert=True)
+    for sex, want in (("Male", shared + apart), ("Female", shared - apart)):
+        part = wide(got.where(f"Sex = '{sex}'"), "value")
+        assert list(part.index) == [2015, 2016, 2017, 2018]
+        np.testing.assert_allclose(part.to_numpy(), scale(want), atol=1e-8)

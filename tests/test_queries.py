@@ -20,7 +20,10 @@ def test_query(spark, con, name):
 
 
 def test_only_eigenvectors_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"principal_components"}
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {
+        "principal_components",
+        "coherent_forecast",
+    }
 
 
 def test_entry(spark):
