@@ -5,13 +5,19 @@ summed by Spark; only one small symmetric matrix per series (ages by ages) is
 handed to numpy.
 """
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The functions below reach the tasks by value, so executors need numpy and pandas but
+# not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COMPONENTS = 6
 # Rows handed to one Python call: at most this many years of one series.
 YEARS_PER_BLOCK = 256

@@ -140,7 +140,10 @@ def mean_curve(curves: DataFrame, keys: Sequence[str], value: str = "value") ->
 
 
 def center_curves(curves: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """``keys, Year, Age, mu, centered``."""
-    return curves.join(mean_curve(curves, keys, value), [*keys, "Age"]).select(
+    """``keys, Year, Age, mu, centered``. One age of one series over its years is a
+    window's worth of rows, so the table is read and shuffled once; averaging and
+    joining back would do both twice."""
+    years = Window.partitionBy(*keys, "Age")
+    return curves.withColumn("mu", F.avg(value).over(years)).select(
         *keys, "Year", "Age", "mu", (F.col(value) - F.col("mu")).alias("centered")
     )

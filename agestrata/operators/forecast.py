@@ -7,7 +7,7 @@ mean, so that the sexes do not drift apart.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -45,6 +45,18 @@ def mean_reverting_forecast(
 ) -> DataFrame:
     """``keys, h, Year, <value>`` from ``y_t = c + s y_{t-1}`` by least squares. The
     window that pairs a year with the one before holds one score series."""
+    return mixed_forecast(scores, keys, F.lit(True), horizon, value)
+
+
+def mixed_forecast(
+    scores: DataFrame,
+    keys: Sequence[str],
+    reverting: Column,
+    horizon: int = HORIZON,
+    value: str = "beta",
+) -> DataFrame:
+    """Both models from one pass over the scores: series that meet ``reverting``, a
+    condition on ``keys``, return to their mean, the others follow their drift."""
     yearly = Window.partitionBy(*keys).orderBy("Year").rangeBetween(-1, -1)
     paired = scores.withColumn("_prev", F.first(value).over(yearly))
     y, prev = F.col(value), F.col("_prev")
@@ -52,25 +64,26 @@ def mean_reverting_forecast(
         F.regr_slope(y, prev).alias("_slope"),
         F.avg(F.when(prev.isNotNull(), y)).alias("_y"),
         F.avg(prev).alias("_x"),
+        F.min("Year").alias("_first"),
         F.max("Year").alias("_last"),
+        F.min_by(value, "Year").alias("_begin"),
         F.max_by(value, "Year").alias("_end"),
     )
-    free = F.col("_slope")
-    slope = (
-        F.when(free > SLOPE_BOUND, SLOPE_BOUND)
-        .when(free < -SLOPE_BOUND, -SLOPE_BOUND)
-        .when(free.isNotNull(), free)
-        .otherwise(0.0)
+    bounded = F.expr(
+        f"""CASE WHEN _slope > {SLOPE_BOUND} THEN {SLOPE_BOUND}D
+                 WHEN _slope < -{SLOPE_BOUND} THEN -{SLOPE_BOUND}D
+                 WHEN _slope IS NOT NULL THEN _slope ELSE 0D END"""
     )
-    level = F.coalesce((F.col("_y") - F.col("_s") * F.col("_x")) / (1 - F.col("_s")), F.col("_end"))
+    path = F.expr("_level + pow(_s, h) * (_end - _level)")
+    drift = F.expr("_end + h * coalesce(try_divide(_end - _begin, _last - _first), 0D)")
     return (
-        fit.withColumn("_s", slope)
-        .withColumn("_level", level)
+        fit.withColumn("_s", bounded)
+        .withColumn("_level", F.expr("coalesce((_y - _s * _x) / (1 - _s), _end)"))
         .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
         .select(
             *keys,
             "h",
-            (F.col("_last") + F.col("h")).cast("int").alias("Year"),
-            (F.col("_level") + F.pow("_s", F.col("h")) * (F.col("_end") - F.col("_level"))).alias(value),
+            F.expr("cast(_last + h as int) AS Year"),
+            F.when(reverting, path).otherwise(drift).alias(value),
         )
     )

@@ -14,20 +14,22 @@ from agestrata.operators.components import (
 )
 from agestrata.operators.curves import (
     center_curves,
-    mean_curve,
     pair_cells,
     product_ratio,
     recombine_product_ratio,
     recombine_sum_difference,
     sum_difference,
 )
-from agestrata.operators.forecast import HORIZON, drift_forecast, mean_reverting_forecast
+from agestrata.operators.forecast import HORIZON, drift_forecast, mixed_forecast
 
 
 def _fit(curves: DataFrame, keys: Sequence[str], components: int, value: str):
     centered = center_curves(curves, keys, value)
     basis = principal_components(curve_covariance(centered, keys), keys, components)
-    return mean_curve(curves, keys, value), basis, component_scores(centered, basis, keys, components)
+    # The mean is the same in every year. Taking it by year keeps the rows behind it the
+    # same as those of the scores, so that Spark reuses their shuffle.
+    mu = centered.groupBy(*keys, "Age").agg(F.max_by("mu", "Year").alias("mu"))
+    return mu, basis, component_scores(centered, basis, keys, components)
 
 
 def component_forecast(
@@ -74,10 +76,7 @@ def coherent_forecast(
     )
     keyed = [*keys, "part"]
     mu, basis, scores = _fit(curves, keyed, components, "value")
-    is_shared, series = F.col("part") == "shared", [*keyed, "j"]
-    ahead = drift_forecast(scores.where(is_shared), series, horizon).unionByName(
-        mean_reverting_forecast(scores.where(~is_shared), series, horizon)
-    )
+    ahead = mixed_forecast(scores, [*keyed, "j"], F.col("part") == "apart", horizon)
     fitted = reconstruct(mu, basis, ahead, keyed, components)
     both = pair_cells(fitted, [*keys, "Year", "Age"], "part", ["shared", "apart"], "fitted")
     if log:
