@@ -24,6 +24,10 @@ from agestrata.operators.forecast import HORIZON, drift_forecast, mixed_forecast
 
 
 def _fit(curves: DataFrame, keys: Sequence[str], components: int, value: str):
+    # Joins drop NULL keys anyway. Saying so here gives every branch the same input, so
+    # that the curves are scanned and shuffled once.
+    for k in [*keys, "Year", "Age"]:
+        curves = curves.where(F.col(k).isNotNull())
     centered = center_curves(curves, keys, value)
     basis = principal_components(curve_covariance(centered, keys), keys, components)
     # The mean is the same in every year. Taking it by year keeps the rows behind it the
