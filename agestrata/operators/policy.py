@@ -80,18 +80,30 @@ def attach_scheme(
     The scheme is far smaller than the population, so Catalyst broadcasts it if
     its size allows, and otherwise joins by key.
     """
-    on = list(on)
-    scheme = checked_scheme(scheme, on)
-    joined = pop.join(scheme, on, "left")
+    return join_ages(pop, checked_scheme(scheme, on), ["age_months"], on, fill, fill_keys)
+
+
+def join_ages(
+    pop: DataFrame,
+    schemes: DataFrame,
+    columns: Sequence[str],
+    on: Sequence[str],
+    fill: bool,
+    fill_keys: Sequence[str],
+) -> DataFrame:
+    """``attach_scheme`` for several columns of pension ages, ``schemes`` being unique
+    by ``on``."""
+    joined = pop.join(schemes, list(on), "left")
     if not fill:
         return joined
-    met = pop.select(*fill_keys, *on).distinct().join(scheme, on)
-    lowest = F.min("age_months").alias("_lowest")
-    age = F.col("age_months")
+    met = pop.select(*fill_keys, *on).distinct().join(schemes, list(on))
+    lowest = [F.min(c).alias(f"_lowest_{c}") for c in columns]
     if fill_keys:
-        filled = joined.join(met.groupBy(*fill_keys).agg(lowest), list(fill_keys), "left")
-        return filled.withColumn("age_months", F.coalesce(age, "_lowest")).drop("_lowest")
-    return joined.withColumn("age_months", F.coalesce(age, met.agg(lowest).scalar()))
+        joined = joined.join(met.groupBy(*fill_keys).agg(*lowest), list(fill_keys), "left")
+        filled = {c: F.coalesce(c, f"_lowest_{c}") for c in columns}
+        return joined.withColumns(filled).drop(*[f"_lowest_{c}" for c in columns])
+    values = met.agg(F.struct(*lowest)).scalar()
+    return joined.withColumns({c: F.coalesce(c, values[f"_lowest_{c}"]) for c in columns})
 
 
 def order_by_policy(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from agestrata.functions.ages import MONTHS, age_group, pensioner_months, worker_months
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import group_quantiles, interval_probabilities
-from agestrata.operators.policy import CAPS, attach_scheme
+from agestrata.operators.policy import CAPS, attach_scheme, join_ages
 from agestrata.operators.reshape import union_labelled
 from agestrata.schema import WORKING_AGE
 
@@ -113,11 +113,13 @@ def oadr_sim(
     level: float = 80,
     keys: Sequence[str] = (),
     fill: bool = True,
+    fill_keys: Sequence[str] = (),
     na_rm: bool = False,
     group_limit: int | None = None,
 ) -> DataFrame:
-    """Ratio per replicate, then interval and mean per ``keys, Year``."""
-    ratios = oadr(sim, scheme, [*keys, "Rep"], fill=fill, na_rm=na_rm)
+    """Ratio per replicate, then interval and mean per ``keys, Year``. Replicates that
+    cover different years may need ``fill_keys=["Rep"]``."""
+    ratios = oadr(sim, scheme, [*keys, "Rep"], fill=fill, fill_keys=fill_keys, na_rm=na_rm)
     return interval_summary(
         ratios, [*keys, "Year"], level, na_rm=na_rm, group_limit=group_limit
     )
@@ -136,6 +138,7 @@ def oadr_by_column(
     keys: Sequence[str] = (),
     on: Sequence[str] = ("Year",),
     fill: bool = True,
+    fill_keys: Sequence[str] = (),
     na_rm: bool = False,
     group_limit: int | None = None,
 ) -> DataFrame:
@@ -146,8 +149,8 @@ def oadr_by_column(
     A population row is read, joined and grouped once for all policies: a policy adds
     one sum, since everyone of working age or over is either a worker or a pensioner.
     The shuffle carries one row per replicate and year. Pension ages must lie at or
-    above working age. ``fill`` is as in ``attach_scheme``; without it, a year that a
-    policy lacks is NULL."""
+    above working age. ``fill`` and ``fill_keys`` are as in ``attach_scheme``; without
+    ``fill``, a year that a policy lacks is NULL."""
     on, columns = list(on), list(names)
     too_low = F.raise_error(F.lit("a pension age lies below working age")).cast("int")
     checked = schemes.select(
@@ -158,11 +161,7 @@ def oadr_by_column(
         ],
     )
     months = [f"_m{i}" for i in range(len(columns))]
-    aged = sim.join(checked, on, "left")
-    if fill:
-        met = sim.select(*on).distinct().join(checked, on)
-        lowest = met.agg(F.struct(*[F.min(m).alias(m) for m in months])).scalar()
-        aged = aged.withColumns({m: F.coalesce(m, lowest[m]) for m in months})
+    aged = join_ages(sim, checked, months, on, fill, fill_keys)
 
     age, people = F.col("Age"), F.col("Population")
     adult = age >= WORKING_AGE

@@ -142,6 +142,24 @@ def test_all_policies_in_one_pass(spark, table, options):
     assert both.Lo_x.values == pytest.approx(both.Lo_y.values)
 
 
+def test_fill_per_replicate(table):
+    """Replicate 1 never meets the low age of 2002, so its 1999 is filled higher."""
+    rows = [r for r in simulated(2, (1999, 2001, 2002)) if (r[0], r[1]) != (1, 2002)]
+    policy = [(2001, "P", 810), (2002, "P", 790)]
+    ages = {(0, 1999): 790, (1, 1999): 810}
+    scheme = table([(y, m) for y, _, m in policy], SCHEME)
+    named = table(policy, "Year int, Policy string, age_months int")
+    sim = table(rows, SIM)
+    want = sum(
+        by_rows([r[1:] for r in rows if r[:2] == (rep, 1999)], m) for (rep, _), m in ages.items()
+    ) / 2
+    for out in (
+        ratio.oadr_sim(sim, scheme, fill_keys=["Rep"]),
+        ratio.oadr_by_policy(sim, named, ["P"], fill_keys=["Rep"]),
+    ):
+        assert {r.Year: r.OADR for r in out.collect()}[1999] == pytest.approx(want)
+
+
 def test_policy_without_a_year_is_null_when_not_filled(table):
     sim = table(simulated(2, (2000, 2001)), SIM)
     policy = table([(2000, "P", 780)], "Year int, Policy string, age_months int")
