@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from agestrata.plans import all_oracles, all_queries
 from tools.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,14 +14,14 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, con, name):
     verdict, _, _, notes = compare(spark, con, name, SF)
     assert verdict in ("same", "rows only"), notes
 
 
 def test_only_eigenvectors_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
+    assert set(all_queries()) - set(all_oracles()) == {
         "principal_components",
         "coherent_forecast",
     }
