@@ -15,10 +15,12 @@ from agestrata.llm.store import new_folder
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with it in ``lang``. Those without letters go,
     and those whose best language scores less than ``LEAST_SCORE``."""
-    columns = docs.columns
-    found = langid.identify(docs, language_model(docs), tuple(columns))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    found = langid.identify(whole, language_model(docs), ("_row",))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in columns])
+    return kept.select(
+        *[(F.col("lang_pred") if c == "lang" else F.col("_row").getField(c)).alias(c) for c in docs.columns]
+    )
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
