@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from agestrata.llm import fingerprints as fp
+from agestrata.llm.queries import op1_syncmer_fingerprints
 
 
 def _edited(texts):
@@ -48,8 +49,8 @@ def test_likeness_follows_the_shared_share(documents):
     assert len(rows[0]["fingerprint"]) == 8 * fp.KEPT
 
 
-def test_no_python_in_the_plan(documents, capsys):
-    fp.edit_report(documents(["a b c d e f g"])).explain("formatted")
+def test_no_python_in_the_plan(spark, capsys):
+    op1_syncmer_fingerprints(spark, "/root/testdata/sf0.001").explain("formatted")
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
