@@ -16,6 +16,8 @@ ORDERS = (1, 2, 3)
 #: document, in code points, that may be one of them.
 FIT_ROWS, LANDMARKS, FIT_CHARS = 400, 48, 20_000
 RIDGE = 1e-2
+#: Texts that are looked at for each one wanted.
+SPARE = 3
 #: Sharpness of the score, a softmax over the outputs of the classes.
 SHARPNESS = 8.0
 #: Cells of a block of presence rows.
@@ -162,17 +164,29 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def train(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on ``text, lang``: for each language ``rows`` texts with a letter and of at most
-    ``FIT_CHARS`` code points, those whose digests come first. Ties do not matter, equal
-    texts have equal digests. The limit is applied before the shuffle too, and the driver
-    gets no more than that. Languages whose texts are all longer or empty are not learned.
+    """Fit on ``text, lang``: for each language ``rows`` different texts with a letter and of
+    at most ``FIT_CHARS`` code points, those whose digests come first. The driver gets no
+    more than that. Languages whose texts are all longer or empty are not learned.
+
+    A language may have most of the rows: its digests are counted first, and only texts
+    below a digest that some ``SPARE`` times ``rows`` of them have are shuffled at all,
+    equal ones once.
     """
     fits = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(
         "lang is not null and text is not null"
-    ).where((F.length("text") <= FIT_CHARS) & F.col("text").rlike(r"\p{L}"))
-    digest = F.xxhash64("text")
-    order = Window.partitionBy("lang").orderBy(digest, "text")
-    sample = fits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).orderBy("lang", "_n").collect()
+    ).where((F.length("text") <= FIT_CHARS) & F.col("text").rlike(r"\p{L}")).withColumn("_d", F.xxhash64("text"))
+    counts = fits.groupBy("lang").agg(F.approx_count_distinct("_d").alias("n")).collect()
+    limits = [(r["lang"], int(2.0**64 * min(1.0, SPARE * rows / max(1, r["n"]))) - 2**63) for r in counts]
+    limits = labelled.sparkSession.createDataFrame(
+        [(lang, min(limit, 2**63 - 1)) for lang, limit in limits], "lang string, _most long"
+    )
+    first = Window.partitionBy("lang").orderBy("_d")
+    sample = (
+        fits.join(limits, "lang").where("_d <= _most")
+        .groupBy("lang", "_d").agg(F.min("text").alias("text"))
+        .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows)
+        .orderBy("lang", "_n").collect()
+    )
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], landmarks, ridge)
 
 
