@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from agestrata.schema import WORKING_AGE
 
 MONTHS = 12
+# Names of the groups, from young to old.
+GROUPS = ("Child", "Workers", "Pension")
 
 
 def months_from_years(age: Column) -> Column:
@@ -33,15 +35,6 @@ def worker_months(age: Column, age_months: Column) -> Column:
     ).otherwise(F.lit(0))
 
 
-def age_group(age: Column, age_months: Column) -> Column:
-    """Child, Workers or Pension, by whole years against the exact pension age."""
-    return (
-        F.when((age >= WORKING_AGE) & (age * MONTHS < age_months), "Workers")
-        .when(age * MONTHS >= age_months, "Pension")
-        .otherwise("Child")
-    )
-
-
 def age_label(age_months: Column) -> Column:
     """``804 -> 67Y`` and ``810 -> 67Y+6M``."""
     months = age_months % MONTHS

@@ -1,35 +1,30 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, by one path for all.
 
-``percentile`` keeps every distinct value of a group in one task. That is fine
-for two thousand replicates and not for a billion, so the default here is a
-selection in two passes over the data:
+``percentile`` keeps every distinct value of a group in one task. Here a group is
+split by value instead:
 
-1. one mergeable aggregate per group gives its count, its mean and, for each
-   probability, two marks from ``percentile_approx`` that enclose the wanted rank;
-2. values outside every pair of marks are only counted, and counted before the
-   shuffle. Values inside (a small share of a large group) are ranked.
+1. equal values are counted, before the shuffle where they meet;
+2. a mergeable sketch of a group's distinct values gives edges that cut the line into
+   ``BINS`` bins, all of it covered;
+3. every bin is counted, and running counts show which bins hold the wanted ranks;
+4. only the values of those bins are ranked, a bin by itself.
 
-The marks only narrow the search. Ranks come from exact counts, and a rank that
-falls outside its marks raises, so a result is exact or absent, never near.
-The definition is linear interpolation between order statistics at
-``(n - 1) * p`` (R's type 7, the SQL ``percentile_cont``).
+The edges decide how evenly work is dealt out and nothing else: ranks come from exact
+counts, so any edges give the same result. The definition is linear interpolation
+between order statistics at ``(n - 1) * p`` (R's type 7, the SQL ``percentile_cont``).
 """
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from agestrata.sources.tables import load_result, save_result
-
-# percentile_approx errs by at most n / ACCURACY ranks. Marks stand 2n / ACCURACY
-# ranks off, so they enclose the rank once n / ACCURACY >= 2; smaller groups keep
-# all their values.
-ACCURACY = 500
-KEEP_WHOLE = 2 * ACCURACY
-_MARGIN = 2.0 / ACCURACY
+BINS = 64
+# Of the sketch; bins of a large group hold some 1 / BINS of its values.
+ACCURACY = 512
+# A group's values meet its edges in so many parts, so that no task gets a large group.
+PARTS = 16
 
 
 def interval_probabilities(level: float) -> dict[str, float]:
@@ -38,6 +33,19 @@ def interval_probabilities(level: float) -> dict[str, float]:
     return {"Lo": lower, "Hi": round(1 - lower, 12)}
 
 
+def _visible(has_null: Column, column: Column, na_rm: bool) -> Column:
+    return column if na_rm else F.when(~has_null, column)
+
+
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; NULL keys meet too."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,117 +53,59 @@ def group_quantiles(
     probs: Mapping[str, float],
     mean: str | None = None,
     na_rm: bool = False,
-    group_limit: int | None = None,
-    store_marks: bool = False,
 ) -> DataFrame:
-    """``keys`` + one column per entry of ``probs`` (+ the mean), one row per group.
-
-    ``group_limit`` states a known bound on rows per group, such as the number of
-    simulated paths. Given one, a single aggregate is used, and a larger group
-    raises. Key columns must not be NULL.
-
-    ``store_marks`` runs the first pass at once and writes its result, one row per
-    group, to the shared folder. Its size is then known when the second pass is
-    planned, so a large ``df`` meets it by broadcast if it is small and is never
-    shuffled whole. Use it when ``df`` is itself the large table.
-    """
-    if group_limit is not None:
-        return _in_one_pass(df, keys, value, probs, mean, na_rm, group_limit)
-    return _by_selection(df, keys, value, probs, mean, na_rm, store_marks)
-
-
-def _visible(has_null: Column, column: Column, na_rm: bool) -> Column:
-    return column if na_rm else F.when(~has_null, column)
-
-
-def _in_one_pass(df, keys, value, probs, mean, na_rm, group_limit):
-    v = F.col(value)
-    names = list(probs)
-    aggregates = [
-        F.count(F.lit(1)).alias("_rows"),
-        (F.count_if(v.isNull()) > 0).alias("_null"),
-        F.percentile(v, [float(probs[n]) for n in names]).alias("_q"),
-    ]
-    if mean:
-        aggregates.append(F.avg(v).alias("_mean"))
-    grouped = df.groupBy(*keys).agg(*aggregates)
-    too_large = F.raise_error(F.lit(f"a group has more than {group_limit} rows"))
-    null = F.when(F.col("_rows") > group_limit, too_large.cast("boolean")).otherwise(
-        F.col("_null")
-    )
-    out = [_visible(null, F.col("_q")[i], na_rm).alias(n) for i, n in enumerate(names)]
-    if mean:
-        out.append(_visible(null, F.col("_mean"), na_rm).alias(mean))
-    return grouped.select(*keys, *out)
-
-
-def _by_selection(df, keys, value, probs, mean, na_rm, store_marks):
+    """``keys`` + one column per entry of ``probs`` (+ the mean), one row per group. A group
+    with a NULL value is NULL, unless ``na_rm``. Nothing is collected or written, and no job
+    runs before the result is asked for."""
     keys = list(keys)
-    places = list(enumerate(probs.items()))
-    values = df.select(*keys, F.col(value).cast("double").alias("_v"))
-
-    marks = []
-    for p in probs.values():
-        marks += [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
-    summary = values.groupBy(*keys).agg(
-        F.expr("count(_v) AS _n"),
+    counted = (
+        df.select(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_m"))
+    )
+    groups = counted.groupBy(*keys).agg(
+        F.expr("coalesce(sum(CASE WHEN _v IS NOT NULL THEN _m END), 0L) AS _n"),
         F.expr("count(*) > count(_v) AS _null"),
-        F.expr("avg(_v) AS _mean"),
-        F.percentile_approx("_v", marks, ACCURACY).alias("_marks"),
+        F.expr("sum(_v * _m) AS _sum"),
+        F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], ACCURACY).alias("_edges"),
     )
-    if store_marks:
-        name = f"quantile-marks-{uuid.uuid4().hex}"
-        save_result(summary, name)
-        summary = load_result(df.sparkSession, name, shape=summary.schema)
-    of_group = ["_n", "_null", "_mean"]
-    carried = [F.expr(f"first({c}) AS {c}") for c in of_group]
-
-    # Values outside all marks share one row per group, which carries their counts
-    # below each lower mark.
-    inside = " OR ".join(
-        [f"_n <= {KEEP_WHOLE}"]
-        + [f"_v BETWEEN _marks[{2 * i}] AND _marks[{2 * i + 1}]" for i, _ in places]
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")
+    part = F.pmod(F.hash("_v"), F.lit(PARTS)).alias("_part")
+    dealt = counted.where("_v IS NOT NULL").select(*keys, "_v", "_m", part)
+    inner_edges = " + ".join(f"CAST(_v > _edges[{i}] AS INT)" for i in range(BINS - 1))
+    on = [*keys, "_part"]
+
+    def binned(of_group: DataFrame) -> DataFrame:
+        return _with(dealt, of_group.select("*", parts), on).withColumn("_bin", F.expr(inner_edges))
+
+    # Ranks wanted: two for every probability, the same one twice at the upper end.
+    position = {name: f"((_n - 1) * {float(p)!r}D)" for name, p in probs.items()}
+    ranks = [f"least(cast(floor({at}) AS BIGINT) + {up}, _n)" for at in position.values() for up in (1, 2)]
+    counts = binned(groups.select(*keys, "_edges")).groupBy(*keys, "_bin").agg(F.sum("_m").alias("_c"))
+    by_bin = Window.partitionBy(*keys).orderBy("_bin")
+    wanted = (
+        _with(counts.withColumn("_upto", F.sum("_c").over(by_bin)), groups.select(*keys, "_n"), keys)
+        .withColumn("_before", F.expr("_upto - _c"))
+        .where(" OR ".join(f"(_before < {r} AND {r} <= _upto)" for r in ranks))
+        .groupBy(*keys)
+        .agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_before"))).alias("_starts"))
     )
-    counted = (
-        values.join(summary, keys)
-        .select(*keys, "_v", "_marks", *of_group, F.expr(f"({inside}) AS _inside"))
-        .withColumn("_slot", F.expr("CASE WHEN _inside THEN _v END"))
-        .groupBy(*keys, "_slot")
-        .agg(
-            F.expr("count(_v) AS _m"),
-            *[
-                F.expr(f"count_if(NOT _inside AND _v < _marks[{2 * i}]) AS _below{i}")
-                for i, _ in places
-            ],
-            *carried,
-        )
+    held = (
+        binned(_with(groups.select(*keys, "_edges", "_n"), wanted, keys))
+        .withColumn("_start", F.expr("try_element_at(_starts, _bin)"))
+        .where("_start IS NOT NULL")
+        .select(*keys, "_bin", "_v", "_m", "_n", "_start")
     )
-    group = Window.partitionBy(*keys)
-    running = group.orderBy(F.expr("_slot").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    found = (
+        held.withColumn("_upto", F.col("_start") + F.sum("_m").over(in_bin))
+        .groupBy(*keys)
+        .agg(*[F.expr(f"min(CASE WHEN _upto >= {r} THEN _v END) AS _x{i}") for i, r in enumerate(ranks)])
     )
-    ranked = counted.withColumn(
-        "_upto", F.expr("sum(CASE WHEN _slot IS NULL THEN 0 ELSE _m END)").over(running)
-    ).withColumns({f"_below{i}": F.expr(f"max(_below{i})").over(group) for i, _ in places})
-
-    found, out = [], []
-    for i, (name, p) in places:
-        position = f"((_n - 1) * {float(p)!r}D)"
-        rank = f"(floor({position}) + 1)"
-        reached = f"_below{i} + _upto >= {rank}"
-        next_reached = f"_below{i} + _upto >= least({rank} + 1, _n)"
-        found += [
-            F.expr(f"min(CASE WHEN {reached} THEN _slot END) AS _x{i}"),
-            F.expr(f"min(CASE WHEN {next_reached} THEN _slot END) AS _y{i}"),
-            F.expr(f"max(_below{i}) < first({rank}) AS _ok{i}"),
-        ]
-        result = F.expr(
-            f"""CASE WHEN _n = 0 THEN CAST(NULL AS DOUBLE)
-                     WHEN _ok{i} AND _x{i} IS NOT NULL AND _y{i} IS NOT NULL
-                     THEN _x{i} + ({position} - floor({position})) * (_y{i} - _x{i})
-                     ELSE CAST(raise_error('quantile rank outside its marks') AS DOUBLE) END"""
-        )
-        out.append(_visible(F.col("_null"), result, na_rm).alias(name))
+    out = []
+    for i, (name, at) in enumerate(position.items()):
+        low, high = f"_x{2 * i}", f"_x{2 * i + 1}"
+        out.append(_visible(F.col("_null"), F.expr(f"{low} + ({at} - floor({at})) * ({high} - {low})"), na_rm).alias(name))
     if mean:
-        out.append(_visible(F.col("_null"), F.col("_mean"), na_rm).alias(mean))
-    return ranked.groupBy(*keys).agg(*carried, *found).select(*keys, *out)
+        out.append(_visible(F.col("_null"), F.expr("CASE WHEN _n > 0 THEN _sum / _n END"), na_rm).alias(mean))
+    return _with(groups.drop("_edges"), found, keys, "left").select(*keys, *out)

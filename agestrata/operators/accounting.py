@@ -53,15 +53,19 @@ def life_table(
     """``keys, Age, rate, q, l, d, lived, survival`` with radix 1 and ``top`` the open age.
 
     ``survival`` is the share of people of an age still alive a year later; for the
-    last two ages, the share that survives into (or within) the open group."""
+    last two ages, the share that survives into (or within) the open group. Who is left
+    after an age whose row or rate is missing is not known, and NULL; so is everybody
+    in a curve that does not start at age 0."""
     curve = Window.partitionBy(*keys).orderBy("Age")
     before = curve.rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows before an age as there are younger ages: none is missing.
+    whole = F.col("_whole")
     m, q, age, lived = F.col("rate"), F.col("q"), F.col("Age"), F.col("lived")
     dying = m / (1 + (1 - YEAR_SHARE) * m)
     # A running product of survival; ln(0) is NULL, so certain death is kept apart.
     log_survivors = F.coalesce(F.sum(F.when(q < 1, F.ln(1 - q))).over(before), F.lit(0.0))
-    none_left = F.count_if(q >= 1).over(before) > 0
-    unknown = F.count_if(q.isNull()).over(before) > 0
+    none_left = F.count_if((q >= 1) & whole).over(before) > 0
+    unknown = ~whole | (F.count_if(q.isNull()).over(before) > 0)
     older = F.first("lived").over(curve.rangeBetween(1, 1))
     younger = F.first("lived").over(curve.rangeBetween(-1, -1))
     survival = (
@@ -72,6 +76,7 @@ def life_table(
     return (
         rates.select(*keys, "Age", "rate")
         .withColumn("q", F.when((age == top) | (dying > 1), 1.0).otherwise(dying))
+        .withColumn("_whole", age == F.row_number().over(curve) - 1)
         .withColumn("l", F.when(none_left, 0.0).when(~unknown, F.exp(log_survivors)))
         .withColumn("d", F.col("l") * q)
         .withColumn(
@@ -81,6 +86,7 @@ def life_table(
             ),
         )
         .withColumn("survival", survival)
+        .drop("_whole")
     )
 
 
@@ -123,16 +129,17 @@ def cohort_deaths(
     """``keys, Sex, Year, Age, start, deaths`` by age at the end of the year.
 
     ``start`` is who was there: the people a year younger at the beginning of the
-    year (for the open group, its members too), or the births at age 0."""
+    year (for the open group, its members too), or the births at age 0. People or births
+    without a survival in the life table keep their ``start``; their deaths are NULL."""
     cell = [*keys, "Sex", "Year"]
-    people = pop.join(life.select(*cell, "Age", "survival"), [*cell, "Age"]).select(
+    people = pop.join(life.select(*cell, "Age", "survival"), [*cell, "Age"], "left").select(
         *cell,
         F.least(F.col("Age") + 1, F.lit(top)).cast("int").alias("Age"),
         F.col("Population").alias("start"),
         (F.col("Population") * (1 - F.col("survival"))).alias("deaths"),
     )
     first_age = life.where(F.col("Age") == 0).select(*cell, (F.col("lived") / F.col("l")).alias("_s"))
-    newborn = births.join(first_age, cell).select(
+    newborn = births.join(first_age, cell, "left").select(
         *cell,
         F.lit(0).alias("Age"),
         F.col("births").alias("start"),
@@ -145,14 +152,34 @@ def cohort_deaths(
     )
 
 
-def net_migration(pop: DataFrame, deaths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def net_migration(
+    pop: DataFrame, deaths: DataFrame, keys: Sequence[str] = (), absent_is_zero: bool = False
+) -> DataFrame:
     """``keys, Sex, Year, Age, net_migration`` by growth balance: who is there a year
-    later, less who was there, plus who died. ``deaths`` is from ``cohort_deaths``."""
+    later, less who was there, plus who died. ``deaths`` is from ``cohort_deaths``.
+
+    A cell of one side only (all came, or all went) is NULL, or with ``absent_is_zero``
+    counts nobody on the other. Years are those in which either side has rows for the
+    sex; cells meet in one aggregate, so nothing is joined."""
     cell = [*keys, "Sex", "Year", "Age"]
+    nobody = F.lit(None).cast("double")
     later = pop.select(
         *keys, "Sex", (F.col("Year") - 1).cast("int").alias("Year"), "Age",
-        F.col("Population").alias("end"),
+        F.lit(1).alias("_ends"), F.col("Population").alias("end"),
+        F.lit(0).alias("_starts"), nobody.alias("start"), nobody.alias("deaths"),
+    )
+    before = deaths.select(
+        *cell, F.lit(0).alias("_ends"), nobody.alias("end"), F.lit(1).alias("_starts"), "start", "deaths"
+    )
+    both = later.unionByName(before).groupBy(*cell).agg(
+        *[F.sum(c).alias(c) for c in ("_ends", "_starts", "end", "start", "deaths")]
     )
-    return deaths.join(later, cell).select(
-        *cell, (F.col("end") - F.col("start") + F.col("deaths")).alias("net_migration")
+    curve = Window.partitionBy(*keys, "Sex", "Year")
+    seen = both.withColumns({f"_any{c}": F.max(c).over(curve) for c in ("_ends", "_starts")})
+    end, start, dead = (F.col(c) for c in ("end", "start", "deaths"))
+    if absent_is_zero:
+        end = F.when(F.col("_ends") == 0, 0.0).otherwise(end)
+        start, dead = (F.when(F.col("_starts") == 0, 0.0).otherwise(c) for c in (start, dead))
+    return seen.where("_any_ends > 0 AND _any_starts > 0").select(
+        *cell, (end - start + dead).alias("net_migration")
     )

@@ -29,11 +29,15 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
 
 def _matrix(rows: pd.Series, columns: pd.Series, values: pd.Series):
     """Long cells as a dense matrix, absent and NULL ones being zero, and the sorted
-    column labels."""
+    column labels. A cell that comes twice, or is infinite, raises."""
     row_labels, i = np.unique(rows.to_numpy(), return_inverse=True)
     labels, j = np.unique(columns.to_numpy(), return_inverse=True)
-    x = np.zeros((len(row_labels), len(labels)))
-    x[i, j] = np.nan_to_num(values.to_numpy())
+    x, cells = np.zeros((len(row_labels), len(labels))), values.to_numpy(float)
+    if len(np.unique(i * len(labels) + j)) < len(cells):
+        raise ValueError("two rows for one cell")
+    if np.isinf(cells).any():
+        raise ValueError("an infinite cell")
+    x[i, j] = np.where(np.isnan(cells), 0.0, cells)
     return x, labels
 
 
@@ -43,6 +47,28 @@ def _with_keys(out: pd.DataFrame, group: pd.DataFrame, keys: Sequence[str]) -> p
     return out
 
 
+BASIS = "j int, Age int, phi double, share double"
+
+
+def _leading(matrix: np.ndarray, ages: np.ndarray, components: int) -> pd.DataFrame:
+    """Leading eigenvectors of one matrix as rows; the largest loading is positive."""
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(values)[::-1][:components]
+    whole = np.clip(values, 0.0, None).sum()
+    phi = vectors[:, order]
+    phi = phi * np.sign(phi[np.abs(phi).argmax(axis=0), np.arange(phi.shape[1])])
+    share = np.clip(values[order], 0.0, None) / whole if whole > 0 else np.zeros(len(order))
+    kept = len(order)
+    return pd.DataFrame(
+        {
+            "j": np.repeat(np.arange(1, kept + 1), len(ages)),
+            "Age": np.tile(ages, kept),
+            "phi": phi.T.ravel(),
+            "share": np.repeat(share, len(ages)),
+        }
+    )
+
+
 def curve_covariance(centered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, Age_i, Age_j, moment``: sum over years of products of centred values.
 
@@ -80,26 +106,41 @@ def principal_components(
 
     def decompose(group: pd.DataFrame) -> pd.DataFrame:
         matrix, ages = _matrix(group["Age_i"], group["Age_j"], group["moment"])
-        values, vectors = np.linalg.eigh(matrix)
-        order = np.argsort(values)[::-1][:components]
-        values_kept = np.clip(values[order], 0.0, None)
-        whole = np.clip(values, 0.0, None).sum()
-        phi = vectors[:, order]
-        phi = phi * np.sign(phi[np.abs(phi).argmax(axis=0), np.arange(phi.shape[1])])
-        share = values_kept / whole if whole > 0 else np.zeros(len(order))
-        kept = len(order)
-        out = pd.DataFrame(
-            {
-                "j": np.repeat(np.arange(1, kept + 1), len(ages)),
-                "Age": np.tile(ages, kept),
-                "phi": phi.T.ravel(),
-                "share": np.repeat(share, len(ages)),
-            }
-        )
-        return _with_keys(out, group, keys)
+        return _with_keys(_leading(matrix, ages, components), group, keys)
+
+    return covariance.groupBy(*keys).applyInPandas(decompose, _key_types(covariance, keys) + BASIS)
+
+
+def leading_components(
+    centered: DataFrame, keys: Sequence[str], components: int = COMPONENTS
+) -> DataFrame:
+    """``principal_components`` of centred curves, without the matrix as rows: a block of
+    years sends its moments as one packed triangle, and one call per series adds them up
+    and decomposes the sum."""
+    keys = list(keys)
+    block = F.expr(f"cast(Year div {YEARS_PER_BLOCK} as int)")
+    cells = centered.select(*keys, "Year", "Age", "centered", block.alias("_block"))
 
-    schema = _key_types(covariance, keys) + "j int, Age int, phi double, share double"
-    return covariance.groupBy(*keys).applyInPandas(decompose, schema)
+    def moments(group: pd.DataFrame) -> pd.DataFrame:
+        x, ages = _matrix(group["Year"], group["Age"], group["centered"])
+        packed = (x.T @ x)[np.triu_indices(len(ages))]
+        return _with_keys(pd.DataFrame({"_ages": [ages], "_packed": [packed]}), group, keys)
+
+    def decompose(group: pd.DataFrame) -> pd.DataFrame:
+        labels = np.unique(np.concatenate(group["_ages"].to_list()))
+        matrix = np.zeros((len(labels), len(labels)))
+        for ages, packed in zip(group["_ages"], group["_packed"]):
+            at = np.searchsorted(labels, ages)
+            i, j = np.triu_indices(len(ages))
+            matrix[at[i], at[j]] += packed
+        upper = np.triu(matrix, 1)
+        return _with_keys(_leading(matrix + upper.T, labels, components), group, keys)
+
+    types = _key_types(centered, keys)
+    blocks = cells.groupBy(*keys, "_block").applyInPandas(
+        moments, types + "_ages array<int>, _packed array<double>"
+    )
+    return blocks.groupBy(*keys).applyInPandas(decompose, types + BASIS)
 
 
 def variance_shares(basis: DataFrame, keys: Sequence[str]) -> DataFrame:

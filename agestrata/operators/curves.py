@@ -33,12 +33,13 @@ def smooth_by_age(
     weight: str | None = "weight",
 ) -> DataFrame:
     """``keys, Year, Age, smooth``: local-linear fit with tricube weights over the
-    ages within ``bandwidth``. Years are not mixed.
+    ages within ``bandwidth``. Years are not mixed. A cell without value or weight adds
+    to neither sum and is filled from its neighbours, if it has any.
 
     Each age reads its neighbours from window frames of one age each, so a curve is
     shuffled once and never multiplied, and a missing age is simply not there."""
     curve = Window.partitionBy(*keys, "Year").orderBy("Age")
-    own = F.col(weight) if weight else F.lit(1.0)
+    own = F.when(F.col(value).isNotNull(), F.col(weight) if weight else F.lit(1.0))
     cells = curves.withColumn("_c", F.struct(F.col(value).alias("y"), own.alias("w")))
     offsets = range(-bandwidth, bandwidth + 1)
     near = cells.select(
@@ -74,16 +75,24 @@ def smooth_by_age(
 
 
 def pair_cells(
-    df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str], value: str
+    df: DataFrame,
+    keys: Sequence[str],
+    name: str,
+    values: Sequence[str],
+    value: str,
+    drop_unpaired: bool = False,
 ) -> DataFrame:
     """Two labelled rows of a cell as two columns, by one aggregate instead of a
-    self-join. Cells that lack one of them are dropped; a repeated row raises."""
+    self-join. A part that a cell lacks is NULL, unless such cells are to be dropped; a
+    repeated row raises."""
     twice = F.raise_error(F.lit("two rows for one cell")).cast("double")
     out = []
     for v in values:
         cell = F.when(F.col(name) == v, F.col(value))
         out.append(F.when(F.count(cell) > 1, twice).otherwise(F.max(cell)).alias(v))
     paired = df.groupBy(*keys).agg(*out)
+    if not drop_unpaired:
+        return paired
     return paired.where(F.col(values[0]).isNotNull() & F.col(values[1]).isNotNull())
 
 

@@ -6,6 +6,7 @@ mean, so that the sexes do not drift apart.
 """
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,35 +18,28 @@ SLOPE_BOUND = 0.99
 
 
 def drift_forecast(
-    scores: DataFrame, keys: Sequence[str], horizon: int = HORIZON, value: str = "beta"
+    scores: DataFrame,
+    keys: Sequence[str],
+    horizon: int = HORIZON,
+    value: str = "beta",
+    level: float | None = None,
 ) -> DataFrame:
-    """``keys, h, Year, <value>``: the last value plus h average yearly changes."""
-    span = F.col("_last") - F.col("_first")
-    drift = F.coalesce(F.try_divide(F.col("_end") - F.col("_begin"), span), F.lit(0.0))
-    return (
-        scores.groupBy(*keys)
-        .agg(
-            F.min("Year").alias("_first"),
-            F.max("Year").alias("_last"),
-            F.min_by(value, "Year").alias("_begin"),
-            F.max_by(value, "Year").alias("_end"),
-        )
-        .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-        .select(
-            *keys,
-            "h",
-            (F.col("_last") + F.col("h")).cast("int").alias("Year"),
-            (F.col("_end") + F.col("h") * drift).alias(value),
-        )
-    )
+    """``keys, h, Year, <value>``: the last value plus h average yearly changes. With
+    ``level`` also ``lower`` and ``upper``, the ends of the central interval."""
+    return mixed_forecast(scores, keys, F.lit(False), horizon, value, level)
 
 
 def mean_reverting_forecast(
-    scores: DataFrame, keys: Sequence[str], horizon: int = HORIZON, value: str = "beta"
+    scores: DataFrame,
+    keys: Sequence[str],
+    horizon: int = HORIZON,
+    value: str = "beta",
+    level: float | None = None,
 ) -> DataFrame:
-    """``keys, h, Year, <value>`` from ``y_t = c + s y_{t-1}`` by least squares. The
-    window that pairs a year with the one before holds one score series."""
-    return mixed_forecast(scores, keys, F.lit(True), horizon, value)
+    """``keys, h, Year, <value>`` from ``y_t = c + s y_{t-1}`` by least squares, and
+    ``lower`` and ``upper`` with ``level``. The window that pairs a year with the one
+    before holds one score series."""
+    return mixed_forecast(scores, keys, F.lit(True), horizon, value, level)
 
 
 def mixed_forecast(
@@ -54,16 +48,30 @@ def mixed_forecast(
     reverting: Column,
     horizon: int = HORIZON,
     value: str = "beta",
+    level: float | None = None,
 ) -> DataFrame:
     """Both models from one pass over the scores: series that meet ``reverting``, a
-    condition on ``keys``, return to their mean, the others follow their drift."""
+    condition on ``keys``, return to their mean, the others follow their drift.
+
+    With ``level`` (80 for the central 80 percent) also ``lower`` and ``upper``, normal
+    intervals from the mean square ``v`` of the n one-year errors. A drift that is itself
+    estimated gives ``v h (1 + h / n)``, with v over n - 1; an autoregression
+    ``v (1 - s^2h) / (1 - s^2)``, with v over n - 2. Too few years for v give NULL."""
     yearly = Window.partitionBy(*keys).orderBy("Year").rangeBetween(-1, -1)
     paired = scores.withColumn("_prev", F.first(value).over(yearly))
     y, prev = F.col(value), F.col("_prev")
+    step = y - prev
     fit = paired.groupBy(*keys).agg(
         F.regr_slope(y, prev).alias("_slope"),
+        # Over the pairs that the slope is from.
         F.avg(F.when(prev.isNotNull(), y)).alias("_y"),
-        F.avg(prev).alias("_x"),
+        F.avg(F.when(y.isNotNull(), prev)).alias("_x"),
+        F.regr_sxx(y, prev).alias("_sxx"),
+        F.regr_syy(y, prev).alias("_syy"),
+        F.regr_sxy(y, prev).alias("_sxy"),
+        F.count(step).cast("double").alias("_n"),
+        F.sum(step).alias("_d"),
+        F.sum(step * step).alias("_dd"),
         F.min("Year").alias("_first"),
         F.max("Year").alias("_last"),
         F.min_by(value, "Year").alias("_begin"),
@@ -76,14 +84,25 @@ def mixed_forecast(
     )
     path = F.expr("_level + pow(_s, h) * (_end - _level)")
     drift = F.expr("_end + h * coalesce(try_divide(_end - _begin, _last - _first), 0D)")
-    return (
+    ahead = (
         fit.withColumn("_s", bounded)
         .withColumn("_level", F.expr("coalesce((_y - _s * _x) / (1 - _s), _end)"))
         .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-        .select(
-            *keys,
-            "h",
-            F.expr("cast(_last + h as int) AS Year"),
-            F.when(reverting, path).otherwise(drift).alias(value),
-        )
+        .withColumn("_mean", F.when(reverting, path).otherwise(drift))
     )
+    out = [*keys, "h", F.expr("cast(_last + h as int) AS Year"), F.col("_mean").alias(value)]
+    if level is not None:
+        # Errors of the fitted lines: y - c - s x with c from the means, and steps less
+        # their average. greatest() keeps rounding from going below zero.
+        of_path = F.expr(
+            """try_divide(greatest(_syy - 2 * _s * _sxy + _s * _s * _sxx, 0D), _n - 2)
+               * (1 - pow(_s, 2 * h)) / (1 - _s * _s)"""
+        )
+        of_drift = F.expr(
+            "try_divide(greatest(_dd - _d * _d / nullif(_n, 0D), 0D), _n - 1) * h * (1 + h / nullif(_n, 0D))"
+        )
+        enough = F.when(reverting, F.col("_n") > 2).otherwise(F.col("_n") > 1)
+        variance = F.when(enough, F.when(reverting, of_path).otherwise(of_drift))
+        half = F.lit(NormalDist().inv_cdf(0.5 + level / 200)) * F.sqrt(variance)
+        out += [(F.col("_mean") - half).alias("lower"), (F.col("_mean") + half).alias("upper")]
+    return ahead.select(*out)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from agestrata.operators.components import (
     COMPONENTS,
     component_scores,
-    curve_covariance,
-    principal_components,
+    leading_components,
     reconstruct,
 )
 from agestrata.operators.curves import (
@@ -29,7 +28,7 @@ def _fit(curves: DataFrame, keys: Sequence[str], components: int, value: str):
     for k in [*keys, "Year", "Age"]:
         curves = curves.where(F.col(k).isNotNull())
     centered = center_curves(curves, keys, value)
-    basis = principal_components(curve_covariance(centered, keys), keys, components)
+    basis = leading_components(centered, keys, components)
     # The mean is the same in every year. Taking it by year keeps the rows behind it the
     # same as those of the scores, so that Spark reuses their shuffle.
     mu = centered.groupBy(*keys, "Age").agg(F.max_by("mu", "Year").alias("mu"))

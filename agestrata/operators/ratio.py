@@ -10,9 +10,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from agestrata.functions.ages import MONTHS, age_group, pensioner_months, worker_months
+from agestrata.functions.ages import GROUPS, MONTHS, pensioner_months, worker_months
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import group_quantiles, interval_probabilities
 from agestrata.operators.policy import CAPS, attach_scheme, join_ages
@@ -20,24 +19,30 @@ from agestrata.operators.reshape import union_labelled
 from agestrata.schema import WORKING_AGE
 
 
-def split_partial_age(aged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Row form of the split: at the pension age's whole year keep the working share
-    of the people; move the rest to the next age. Adds ``Group``. Each window holds
-    the ages of one year and sex.
-
-    Use it to inspect rows. ``oadr`` gets the same ratio without a window."""
-    months, whole = F.col("age_months") % MONTHS, F.floor(F.col("age_months") / MONTHS)
-    people = F.col("Population")
-    previous_age = Window.partitionBy(*keys, "Year", "Sex").orderBy("Age").rangeBetween(-1, -1)
-    moved = F.coalesce(F.first("Population").over(previous_age), F.lit(0.0))
-    split = (
-        F.when(months == 0, people)
-        .when(F.col("Age") == whole, people * months / MONTHS)
-        .when(F.col("Age") == whole + 1, people + moved * (MONTHS - months) / MONTHS)
-        .otherwise(people)
+def split_partial_age(aged: DataFrame) -> DataFrame:
+    """Row form of the split: each row as its pensioners, its workers and its children;
+    adds ``Group``. People of the pension age's whole year stay at that age, so no
+    other row is needed. Without an age or a pension age the row stays whole, its group
+    NULL.
+
+    Use it to inspect rows. ``oadr`` gets the same ratio without them."""
+    age, months, people = F.col("Age"), F.col("age_months"), F.col("Population")
+    pension = pensioner_months(age, months)
+    work = worker_months(age, months)
+    arms = F.array(
+        *[
+            F.struct(F.lit(group).alias("Group"), share.alias("share"))
+            for group, share in zip(GROUPS, (MONTHS - pension - work, work, pension))
+        ]
+    )
+    unknown = F.array(F.struct(F.lit(None).cast("string").alias("Group"), F.lit(MONTHS).alias("share")))
+    held = F.when(pension.isNull(), unknown).otherwise(F.filter(arms, lambda a: a["share"] > 0))
+    parts = aged.withColumn("_part", F.explode(held))
+    return (
+        parts.withColumn("Group", F.col("_part.Group"))
+        .withColumn("Population", people * F.col("_part.share") / MONTHS)
+        .drop("_part")
     )
-    group = age_group(F.col("Age"), F.col("age_months"))
-    return aged.withColumn("Group", group).withColumn("Population", split)
 
 
 def _month_sums(df: DataFrame, keys: Sequence[str], na_rm: bool) -> DataFrame:
@@ -60,7 +65,7 @@ def group_population(
         *keys,
         *[
             (F.col(c) / MONTHS).alias(name)
-            for c, name in (("_child", "Child"), ("_work", "Workers"), ("_pension", "Pension"))
+            for c, name in zip(("_child", "_work", "_pension"), GROUPS)
         ],
     )
 
@@ -99,12 +104,10 @@ def interval_summary(
     level: float = 80,
     value: str = "OADR",
     na_rm: bool = False,
-    group_limit: int | None = None,
-    store_marks: bool = False,
 ) -> DataFrame:
     """``keys, Lo, Hi, <value>``: central interval and mean over replicates."""
     probs = interval_probabilities(level)
-    return group_quantiles(df, keys, value, probs, value, na_rm, group_limit, store_marks)
+    return group_quantiles(df, keys, value, probs, value, na_rm)
 
 
 def oadr_sim(
@@ -115,14 +118,11 @@ def oadr_sim(
     fill: bool = True,
     fill_keys: Sequence[str] = (),
     na_rm: bool = False,
-    group_limit: int | None = None,
 ) -> DataFrame:
     """Ratio per replicate, then interval and mean per ``keys, Year``. Replicates that
     cover different years may need ``fill_keys=["Rep"]``."""
     ratios = oadr(sim, scheme, [*keys, "Rep"], fill=fill, fill_keys=fill_keys, na_rm=na_rm)
-    return interval_summary(
-        ratios, [*keys, "Year"], level, na_rm=na_rm, group_limit=group_limit
-    )
+    return interval_summary(ratios, [*keys, "Year"], level, na_rm=na_rm)
 
 
 def oadr_rolling(rolling_sim: DataFrame, scheme: DataFrame, level: float = 80, **options):
@@ -140,7 +140,6 @@ def oadr_by_column(
     fill: bool = True,
     fill_keys: Sequence[str] = (),
     na_rm: bool = False,
-    group_limit: int | None = None,
 ) -> DataFrame:
     """``keys, Policy, policy_rank, Year, Lo, Hi, OADR`` for schemes held side by side:
     ``schemes`` has one row per ``on`` and a column of pension months per entry of
@@ -180,13 +179,7 @@ def oadr_by_column(
         for rank, name in enumerate(names.values(), 1)
     ]
     ratios = sums.select(*per_rep, F.explode(F.array(*arms)).alias("_a")).select(*per_rep, "_a.*")
-    return interval_summary(
-        ratios,
-        [*keys, "Policy", "policy_rank", "Year"],
-        level,
-        na_rm=na_rm,
-        group_limit=group_limit,
-    )
+    return interval_summary(ratios, [*keys, "Policy", "policy_rank", "Year"], level, na_rm=na_rm)
 
 
 def oadr_by_policy(

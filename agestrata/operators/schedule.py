@@ -63,7 +63,6 @@ def candidate_ratios(
 
 def oadr_grid(ratios: DataFrame, keys: Sequence[str] = (), level: float = 80, **options) -> DataFrame:
     """``keys, Year, age_months, Lo, Hi, OADR`` from ``candidate_ratios``."""
-    options.setdefault("store_marks", True)
     return interval_summary(ratios, [*keys, "Year", "age_months"], level, **options)
 
 
@@ -134,15 +133,18 @@ def capped_schedule(
     From one year to the next the age may stay or rise by up to ``yearly_cap``; it
     rises to what the year needs if that is in reach. NULL need means out of reach.
     Each year depends on the one before, so a key's years (one row each) are folded
-    in order. A year without any simulated row raises."""
+    in order. A year without any simulated row makes the schedules of its key NULL, and
+    raises where there are no keys."""
     columns = dict(columns or {"age_months": "need"})
     years = last_year - first_year + 1
     needed = list(dict.fromkeys(columns.values()))
     rows = F.array_sort(F.collect_list(F.struct("Year", *needed)))
     row_type = "array<struct<Year:int,%s>>" % ",".join(f"{c}:int" for c in needed)
-    checked = F.when(F.size("_rows") == years, F.col("_rows")).otherwise(
-        F.raise_error(F.lit("a schedule year has no simulated population")).cast(row_type)
-    )
+    whole = F.size("_rows") == years
+    lacking = F.raise_error(F.lit("a schedule year has no simulated population")).cast(row_type)
+    checked = F.col("_rows") if keys else F.when(whole, F.col("_rows")).otherwise(lacking)
+    all_years = F.sequence(F.lit(first_year), F.lit(last_year))
+    unknown = F.array_repeat(F.lit(None).cast("int"), years)
 
     def fold(need_column):
         def step(ages, row):
@@ -153,7 +155,8 @@ def capped_schedule(
 
         # A leading start value keeps element_at off an empty array.
         begin = F.array(F.lit(start_month).cast("int"))
-        return F.slice(F.aggregate(F.col("_rows"), begin, step), 2, years)
+        folded = F.slice(F.aggregate(F.col("_rows"), begin, step), 2, years)
+        return F.when(whole, folded).otherwise(unknown)
 
     in_range = need.where(F.col("Year").between(first_year, last_year))
     typed = in_range.select(
@@ -165,7 +168,7 @@ def capped_schedule(
         typed.groupBy(*keys)
         .agg(rows.alias("_rows"))
         .withColumn("_rows", checked)
-        .select(*keys, "_rows.Year", *[fold(c).alias(name) for name, c in columns.items()])
+        .select(*keys, all_years.alias("Year"), *[fold(c).alias(name) for name, c in columns.items()])
     )
     zipped = F.explode(F.arrays_zip("Year", *columns)).alias("_z")
     return folded.select(*keys, zipped).select(*keys, "_z.Year", *[f"_z.{c}" for c in columns])

@@ -26,12 +26,9 @@ def age_profile_summary(
     sim: DataFrame,
     keys: Sequence[str] = ("Sex", "Age", "Year"),
     na_rm: bool = False,
-    group_limit: int | None = None,
 ) -> DataFrame:
     """``keys, Mean, Lower, Upper`` of Population over replicates."""
-    return group_quantiles(
-        sim, keys, "Population", PROFILE_QUANTILES, "Mean", na_rm, group_limit, store_marks=True
-    )
+    return group_quantiles(sim, keys, "Population", PROFILE_QUANTILES, "Mean", na_rm)
 
 
 def total_population(
@@ -45,13 +42,10 @@ def total_population_summary(
     sim: DataFrame,
     keys: Sequence[str] = ("Sex", "Year"),
     na_rm: bool = False,
-    group_limit: int | None = None,
 ) -> DataFrame:
     """Total per replicate, then mean and quantiles over replicates."""
     totals = total_population(sim, ["Rep", *keys], na_rm)
-    return group_quantiles(
-        totals, keys, "Population", TOTAL_QUANTILES, "Mean", na_rm, group_limit
-    )
+    return group_quantiles(totals, keys, "Population", TOTAL_QUANTILES, "Mean", na_rm)
 
 
 def total_population_table(history: DataFrame, sim: DataFrame, **options) -> DataFrame:
@@ -63,6 +57,8 @@ def total_population_table(history: DataFrame, sim: DataFrame, **options) -> Dat
     )
 
 
-def pyramid_table(history: DataFrame, future: DataFrame, ahead: int = 20) -> DataFrame:
-    """Last observed age profile and the forecast profile ``ahead`` years later."""
-    return union_missing(latest_year(history), at_horizon(future, history, ahead))
+def pyramid_table(history: DataFrame, sim: DataFrame, ahead: int = 20, **options) -> DataFrame:
+    """Last observed age profile and the summary of the simulated ones ``ahead`` years
+    later; the other years of ``sim`` are dropped before anything is summarised."""
+    horizon = at_horizon(sim, history, ahead)
+    return union_missing(latest_year(history), age_profile_summary(horizon, **options))

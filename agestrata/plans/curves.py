@@ -1,8 +1,9 @@
 """Rates, life tables, growth balance, curves and their components."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from agestrata.operators import accounting, components, curves, folds, forecast, rate_models
+from agestrata.operators import accounting, components, curves, fertility, folds, forecast, rate_models
 from agestrata.plans import views as V
 from agestrata.plans.registry import query, r, rounded
 from agestrata.plans.views import FOLD_HORIZON, FOLD_TRAIN, with_views
@@ -28,10 +29,13 @@ LIFE = """, chances AS (
   SELECT series, Sex, Year, Age, rate,
          CASE WHEN Age = 100 THEN 1.0 ELSE least(1.0, rate / (1 + 0.5 * rate)) END AS q
   FROM v_rates),
+counted AS (
+  SELECT *, Age = row_number() OVER (PARTITION BY series, Sex, Year ORDER BY Age) - 1 AS whole FROM chances),
 alive AS (
-  SELECT *, coalesce(product(1 - q) OVER (PARTITION BY series, Sex, Year ORDER BY Age
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS l
-  FROM chances),
+  SELECT *, CASE WHEN whole THEN coalesce(product(1 - q) OVER younger, 1.0)
+                 WHEN bool_or(q >= 1 AND whole) OVER younger THEN 0.0 END AS l
+  FROM counted
+  WINDOW younger AS (PARTITION BY series, Sex, Year ORDER BY Age ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 years_lived AS (
   SELECT *, l * q AS d,
          CASE WHEN Age = 100 THEN l / nullif(rate, 0) ELSE l - 0.5 * l * q END AS lived FROM alive),
@@ -81,12 +85,11 @@ DEATHS = (
     + """, moves AS (
   SELECT p.series, p.Sex, p.Year, least(p.Age + 1, 100) AS Age, p.exposure AS start,
          p.exposure * (1 - survival) AS deaths
-  FROM v_rates p JOIN life l ON p.series = l.series AND p.Sex = l.Sex AND p.Year = l.Year
-                                AND p.Age = l.Age
+  FROM v_rates p LEFT JOIN life l ON p.series = l.series AND p.Sex = l.Sex AND p.Year = l.Year
+                                     AND p.Age = l.Age
   UNION ALL
   SELECT b.series, b.Sex, b.Year, 0, births, births * (1 - lived / l)
-  FROM newborn b JOIN life l ON b.series = l.series AND b.Sex = l.Sex AND b.Year = l.Year
-  WHERE l.Age = 0),
+  FROM newborn b LEFT JOIN life l ON b.series = l.series AND b.Sex = l.Sex AND b.Year = l.Year AND l.Age = 0),
 cohorts AS (
   SELECT series, Sex, Year, CAST(Age AS INTEGER) AS Age, sum(start) AS start,
          CASE WHEN count(*) = count(deaths) THEN sum(deaths) END AS deaths
@@ -94,6 +97,16 @@ cohorts AS (
 )
 
 
+# Cells of either side, in the years that both sides have.
+BALANCE = """, later AS (SELECT series, Sex, CAST(Year - 1 AS INTEGER) AS Year, Age, exposure AS "end" FROM v_rates),
+balance AS (
+  SELECT series, Sex, Year, Age, "end", start, deaths, l.rowid_ IS NOT NULL AS came, c.rowid_ IS NOT NULL AS was
+  FROM (SELECT *, 1 AS rowid_ FROM cohorts) c FULL JOIN (SELECT *, 1 AS rowid_ FROM later) l USING (series, Sex, Year, Age)
+  WHERE (series, Sex, Year) IN (SELECT series, Sex, Year FROM cohorts)
+    AND (series, Sex, Year) IN (SELECT series, Sex, Year FROM later))
+"""
+
+
 def _population(spark, sf_dir):
     return V.rates(spark, sf_dir).select("series", "Sex", "Year", "Age", F.col("exposure").alias("Population"))
 
@@ -119,10 +132,8 @@ def cohort_deaths(spark, sf_dir):
     with_views(
         ["v_rates", "v_births"],
         DEATHS
-        + f"""SELECT c.series, c.Sex, c.Year, c.Age,
-                     {r('p.exposure - start + deaths')} AS net_migration
-              FROM cohorts c JOIN v_rates p ON p.series = c.series AND p.Sex = c.Sex
-                   AND p.Year = c.Year + 1 AND p.Age = c.Age""",
+        + BALANCE
+        + f"""SELECT series, Sex, Year, Age, {r('"end" - start + deaths')} AS net_migration FROM balance""",
     )
 )
 def net_migration(spark, sf_dir):
@@ -130,6 +141,24 @@ def net_migration(spark, sf_dir):
     return rounded(balance, "net_migration")
 
 
+@query(
+    with_views(
+        ["v_rates", "v_births"],
+        DEATHS
+        + BALANCE
+        + f"""SELECT series, Sex, Year, Age,
+                     {r('CASE WHEN came THEN "end" ELSE 0 END - CASE WHEN was THEN start ELSE 0 END'
+                        ' + CASE WHEN was THEN deaths ELSE 0 END')} AS net_migration
+              FROM balance""",
+    )
+)
+def net_migration_absent_is_zero(spark, sf_dir):
+    balance = accounting.net_migration(
+        _population(spark, sf_dir), _deaths(spark, sf_dir), ["series"], absent_is_zero=True
+    )
+    return rounded(balance, "net_migration")
+
+
 # --- curves -----------------------------------------------------------------------
 
 LOGS = f""", logs AS (
@@ -182,10 +211,41 @@ def smooth_by_age(spark, sf_dir):
     return rounded(curves.smooth_by_age(_logs(spark, sf_dir), SERIES), "smooth")
 
 
+# A third of the cells lack a rate; each is still a cell to be filled.
+def _smooth_gaps_sql(weight):
+    return f""", gaps AS (
+  SELECT series, Sex, Year, Age, CASE WHEN (Age + Year) % 3 > 0 THEN rate END AS value, {weight} AS weight
+  FROM v_rates),
+near AS (
+  SELECT t.series, t.Sex, t.Year, t.Age, s.Age - t.Age AS d, s.value AS y,
+         CASE WHEN s.value IS NOT NULL THEN s.weight * pow(1 - pow(abs(s.Age - t.Age) / 6.0, 3), 3) END AS w
+  FROM gaps t JOIN gaps s ON s.series = t.series AND s.Sex = t.Sex AND s.Year = t.Year
+                             AND s.Age BETWEEN t.Age - 5 AND t.Age + 5)
+SELECT series, Sex, Year, Age,
+       {r("""(sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
+             / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d))""")} AS smooth
+FROM near GROUP BY series, Sex, Year, Age"""
+
+
+def _gaps(spark, sf_dir):
+    held = F.when((F.col("Age") + F.col("Year")) % 3 > 0, F.col("rate"))
+    return V.rates(spark, sf_dir).withColumn("value", held).withColumn("weight", F.col("exposure"))
+
+
+@query(with_views(["v_rates"], _smooth_gaps_sql("exposure")))
+def smooth_with_gaps(spark, sf_dir):
+    return rounded(curves.smooth_by_age(_gaps(spark, sf_dir), SERIES), "smooth")
+
+
+@query(with_views(["v_rates"], _smooth_gaps_sql("1.0")))
+def smooth_unweighted_with_gaps(spark, sf_dir):
+    return rounded(curves.smooth_by_age(_gaps(spark, sf_dir), SERIES, weight=None), "smooth")
+
+
 PAIRED = """, paired AS (
-  SELECT m.series, m.Year, m.Age, m.exposure AS M, f.exposure AS F
-  FROM v_rates m JOIN v_rates f ON m.series = f.series AND m.Year = f.Year AND m.Age = f.Age
-  WHERE m.Sex = 'Male' AND f.Sex = 'Female')"""
+  SELECT series, Year, Age, max(exposure) FILTER (WHERE Sex = 'Male') AS M,
+         max(exposure) FILTER (WHERE Sex = 'Female') AS F
+  FROM v_rates GROUP BY series, Year, Age)"""
 
 
 def _paired(spark, sf_dir, how):
@@ -219,8 +279,8 @@ def sum_difference(spark, sf_dir):
 ROUND_TRIP = with_views(
     ["v_rates"],
     PAIRED
-    + f"""SELECT series, 'Male' AS Sex, Year, Age, {r('M')} AS value FROM paired
-          UNION ALL SELECT series, 'Female', Year, Age, {r('F')} FROM paired""",
+    + f"""SELECT series, 'Male' AS Sex, Year, Age, {r('M + 0 * F')} AS value FROM paired
+          UNION ALL SELECT series, 'Female', Year, Age, {r('F + 0 * M')} FROM paired""",
 )
 
 
@@ -276,7 +336,7 @@ def curve_covariance(spark, sf_dir):
 
 
 def _basis(centered):
-    return components.principal_components(components.curve_covariance(centered, SERIES), SERIES)
+    return components.leading_components(centered, SERIES)
 
 
 # Eigenvectors are not SQL; tests compare them with numpy.
@@ -301,6 +361,90 @@ def variance_shares(spark, sf_dir):
     return rounded(whole, "whole")
 
 
+# What makes a vector a principal component, checked for each: the matrix (which has its
+# own query) maps it to its share of the trace times itself, it has length 1 and stands
+# at right angles to the others, and shares do not rise.
+@query(
+    with_views(
+        ["v_rates"],
+        """SELECT series, Sex, CAST(unnest(range(1, 7)) AS INTEGER) AS j, 0.0::DOUBLE AS off_eigen,
+                  0.0::DOUBLE AS off_length, 0.0::DOUBLE AS off_angle, true AS in_order
+           FROM v_rates GROUP BY series, Sex""",
+    )
+)
+def component_check(spark, sf_dir):
+    centered = _centered(spark, sf_dir)
+    matrix, basis = components.curve_covariance(centered, SERIES), _basis(centered)
+    trace = matrix.where("Age_i = Age_j").groupBy(*SERIES).agg(F.sum("moment").alias("trace"))
+    other = basis.select(*SERIES, F.col("Age").alias("Age_j"), "j", F.col("phi").alias("_phi"))
+    image = (
+        matrix.join(other, [*SERIES, "Age_j"]).groupBy(*SERIES, "j", F.col("Age_i").alias("Age"))
+        .agg(F.sum(F.col("moment") * F.col("_phi")).alias("image"))
+    )
+    whole = basis.join(image, [*SERIES, "j", "Age"]).join(trace, SERIES)
+    eigen = whole.groupBy(*SERIES, "j").agg(
+        F.max(F.abs(F.col("image") - F.col("share") * F.col("trace") * F.col("phi"))).alias("off_eigen"),
+        F.abs(F.sum(F.col("phi") * F.col("phi")) - 1).alias("off_length"),
+        F.max("share").alias("share"),
+    )
+    partner = basis.select(*SERIES, "Age", F.col("j").alias("k"), F.col("phi").alias("_phi"))
+    angles = (
+        basis.join(partner, [*SERIES, "Age"]).where("j != k").groupBy(*SERIES, "j", "k")
+        .agg(F.abs(F.sum(F.col("phi") * F.col("_phi"))).alias("angle"))
+        .groupBy(*SERIES, "j").agg(F.max("angle").alias("off_angle"))
+    )
+    before = F.lag("share").over(Window.partitionBy(*SERIES).orderBy("j"))
+    return rounded(
+        eigen.join(angles, [*SERIES, "j"]).withColumn("in_order", F.coalesce(F.col("share") <= before, F.lit(True)))
+        .drop("share"),
+        "off_eigen", "off_length", "off_angle",
+    )
+
+
+# The leading component alone, whose direction and share SQL can find: a fixed number of
+# squarings of the small matrix of years by years leaves it.
+@query(
+    with_views(
+        ["v_rates"],
+        CENTERED
+        + f""", gram AS (
+  SELECT a.series, a.Sex, a.Year AS i, b.Year AS k, sum(a.centered * b.centered) AS g
+  FROM centered a JOIN centered b ON a.series = b.series AND a.Sex = b.Sex AND a.Age = b.Age
+  GROUP BY ALL),
+scale AS (SELECT series, Sex, sum(g) AS trace FROM gram WHERE i = k GROUP BY ALL),
+powers AS (
+  SELECT 0 AS n, gram.series, gram.Sex, i, k, g / trace AS g FROM gram JOIN scale USING (series, Sex)
+  UNION ALL
+  (WITH squared AS (
+     SELECT a.n + 1 AS n, a.series, a.Sex, a.i, b.k, sum(a.g * b.g) AS g
+     FROM powers a JOIN powers b ON a.series = b.series AND a.Sex = b.Sex AND a.k = b.i
+     WHERE a.n < 40 GROUP BY ALL),
+   size AS (SELECT series, Sex, sum(g) AS size FROM squared WHERE i = k GROUP BY ALL)
+   SELECT n, squared.series, squared.Sex, i, k, g / size AS g FROM squared JOIN size USING (series, Sex))),
+-- The limit is v v', so v' G v is the sum of its products with G.
+largest AS (
+  SELECT series, Sex, sum(p.g * gram.g) AS lambda_
+  FROM powers p JOIN gram USING (series, Sex, i, k) WHERE n = 40 GROUP BY ALL),
+fitted AS (
+  SELECT c.series, c.Sex, p.k AS Year, c.Age, sum(p.g * c.centered) AS part
+  FROM powers p JOIN centered c ON c.series = p.series AND c.Sex = p.Sex AND c.Year = p.i
+  WHERE n = 40 GROUP BY ALL)
+SELECT f.series, f.Sex, f.Year, f.Age, {r('mu + part')} AS fitted, {r('lambda_ / trace')} AS share
+FROM fitted f JOIN mean_curve m ON m.series = f.series AND m.Sex = f.Sex AND m.Age = f.Age
+     JOIN largest l ON l.series = f.series AND l.Sex = f.Sex JOIN scale s ON s.series = f.series AND s.Sex = f.Sex""",
+        recursive=True,
+    )
+)
+def leading_component(spark, sf_dir):
+    centered = _centered(spark, sf_dir)
+    basis = components.leading_components(centered, SERIES, 1)
+    scores = components.component_scores(centered, basis, SERIES, 1)
+    mu = centered.groupBy(*SERIES, "Age").agg(F.max_by("mu", "Year").alias("mu"))
+    fitted = components.reconstruct(mu, basis, scores, SERIES, 1)
+    shares = components.variance_shares(basis, SERIES).select(*SERIES, "share")
+    return rounded(fitted.join(shares, SERIES), "fitted", "share")
+
+
 # A basis SQL can form too: the centred curves of the first two years.
 @query(
     with_views(
@@ -335,10 +479,11 @@ def component_scores(spark, sf_dir):
     )
 )
 def reconstruct(spark, sf_dir):
-    logs, centered = _logs(spark, sf_dir), _centered(spark, sf_dir)
+    centered = _centered(spark, sf_dir)
     basis = _basis(centered)
     scores = components.component_scores(centered, basis, SERIES)
-    fitted = components.reconstruct(curves.mean_curve(logs, SERIES), basis, scores, SERIES)
+    mu = centered.groupBy(*SERIES, "Age").agg(F.max_by("mu", "Year").alias("mu"))
+    fitted = components.reconstruct(mu, basis, scores, SERIES)
     return rounded(fitted, "fitted")
 
 
@@ -367,7 +512,7 @@ def drift_forecast(spark, sf_dir):
     with_views(
         ["v_rates"],
         PAIRED
-        + f""", ratios AS (SELECT series, Year, Age, ln(sqrt(M / F)) AS value FROM paired),
+        + f""", ratios AS (SELECT series, Year, Age, ln(sqrt(M / F)) AS value FROM paired WHERE M / F IS NOT NULL),
 steps AS (
   SELECT a.*, b.value AS prev FROM ratios a
   LEFT JOIN ratios b ON a.series = b.series AND a.Age = b.Age AND b.Year = a.Year - 1),
@@ -386,13 +531,73 @@ FROM (SELECT *, unnest(range(1, 34)) AS h FROM leveled)""",
     )
 )
 def mean_reverting_forecast(spark, sf_dir):
-    ratios = _paired(spark, sf_dir, curves.product_ratio).select(
+    ratios = _paired(spark, sf_dir, curves.product_ratio).where("ratio IS NOT NULL").select(
         "series", "Year", "Age", F.ln("ratio").alias("value")
     )
     ahead = forecast.mean_reverting_forecast(ratios, ["series", "Age"], value="value")
     return rounded(ahead, "value")
 
 
+# Fixed value: the normal quantile of 0.9, for central intervals of 80 percent.
+NORMAL_90 = 1.2815515655446004
+STEPS = """, steps AS (
+  SELECT a.*, b.value AS prev, a.value - b.value AS step FROM logs a
+  LEFT JOIN logs b ON a.series = b.series AND a.Sex = b.Sex AND a.Age = b.Age AND b.Year = a.Year - 1)"""
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        LOGS
+        + STEPS
+        + f""", fit AS (
+  SELECT series, Sex, Age, min(Year) AS first, max(Year) AS last, arg_min(value, Year) AS a, arg_max(value, Year) AS b,
+         count(step)::DOUBLE AS n, var_samp(step) AS v FROM steps GROUP BY series, Sex, Age),
+ahead AS (
+  SELECT *, b + h * coalesce((b - a) / nullif(last - first, 0), 0) AS value,
+         CASE WHEN n > 1 THEN {NORMAL_90} * sqrt(v * h * (1 + h / n)) END AS half
+  FROM (SELECT *, unnest(range(1, 34)) AS h FROM fit))
+SELECT series, Sex, Age, CAST(h AS INTEGER) AS h, CAST(last + h AS INTEGER) AS Year, {r('value')} AS value,
+       {r('value - half')} AS lower, {r('value + half')} AS upper
+FROM ahead""",
+    )
+)
+def drift_interval(spark, sf_dir):
+    ahead = forecast.drift_forecast(_logs(spark, sf_dir), CELL, value="value", level=80)
+    return rounded(ahead, "value", "lower", "upper")
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        LOGS
+        + STEPS
+        + f""", fit AS (
+  SELECT series, Sex, Age, max(Year) AS last, arg_max(value, Year) AS last_value, count(step)::DOUBLE AS n,
+         regr_slope(value, prev) AS slope, avg(value) FILTER (WHERE prev IS NOT NULL) AS y, avg(prev) AS x
+  FROM steps GROUP BY series, Sex, Age),
+bounded AS (
+  SELECT *, CASE WHEN slope IS NULL OR isnan(slope) THEN 0 ELSE least(0.99, greatest(-0.99, slope)) END AS s FROM fit),
+leveled AS (SELECT *, coalesce((y - s * x) / (1 - s), last_value) AS level FROM bounded),
+spread AS (
+  SELECT l.series, l.Sex, l.Age, sum(pow(p.value - y - s * (p.prev - x), 2)) / nullif(any_value(n) - 2, 0) AS v
+  FROM leveled l JOIN steps p ON p.series = l.series AND p.Sex = l.Sex AND p.Age = l.Age AND p.prev IS NOT NULL
+  GROUP BY l.series, l.Sex, l.Age),
+ahead AS (
+  SELECT l.*, h, level + pow(s, h) * (last_value - level) AS value,
+         CASE WHEN n > 2 THEN {NORMAL_90} * sqrt(v * (1 - pow(s, 2 * h)) / (1 - s * s)) END AS half
+  FROM (SELECT *, unnest(range(1, 34)) AS h FROM leveled) l
+       LEFT JOIN spread p ON p.series = l.series AND p.Sex = l.Sex AND p.Age = l.Age)
+SELECT series, Sex, Age, CAST(h AS INTEGER) AS h, CAST(last + h AS INTEGER) AS Year, {r('value')} AS value,
+       {r('value - half')} AS lower, {r('value + half')} AS upper
+FROM ahead""",
+    )
+)
+def mean_reverting_interval(spark, sf_dir):
+    ahead = forecast.mean_reverting_forecast(_logs(spark, sf_dir), CELL, value="value", level=80)
+    return rounded(ahead, "value", "lower", "upper")
+
+
 # Three training years have two components, so drift of all scores is drift of each
 # age: last + h * (last - first) / 2, with the mean where a year lacks the age.
 BACKTEST = (
@@ -504,7 +709,7 @@ def coherent_forecast_product(spark, sf_dir):
     with_views(
         ["v_rates"],
         PAIRED
-        + """, shared AS (SELECT series, Year, Age, (M + F) / 2 AS value FROM paired)"""
+        + """, shared AS (SELECT series, Year, Age, (M + F) / 2 AS value FROM paired WHERE M + F IS NOT NULL)"""
         + _drift_sql("shared", ["series"])
         + f"SELECT series, Year, Age, {r('value')} AS half_sum FROM ahead",
     )
@@ -514,3 +719,66 @@ def coherent_forecast_sum(spark, sf_dir):
     ahead = rate_models.coherent_forecast(measure, ["series"], log=False)
     shared = curves.sum_difference(ahead, ["series"]).select("series", "Year", "Age", "half_sum")
     return rounded(shared, "half_sum")
+
+
+# --- whole models: measured, smoothed, fitted and forecast ------------------------
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        SMOOTH
+        + """, shared AS (
+  SELECT m.series, m.Year, m.Age, (m.value + f.value) / 2 AS value
+  FROM smooth m JOIN smooth f ON m.series = f.series AND m.Year = f.Year AND m.Age = f.Age
+  WHERE m.Sex = 'Male' AND f.Sex = 'Female')"""
+        + _drift_sql("shared", ["series"])
+        + f"SELECT series, Year, Age, {r('exp(value)')} AS product FROM ahead",
+    )
+)
+def mortality_model(spark, sf_dir):
+    """Rates, their logarithms smoothed over age, both sexes forecast together; the part
+    that the sexes share is compared."""
+    smooth = _smooth(spark, sf_dir).withColumn("value", F.exp("value"))
+    ahead = rate_models.coherent_forecast(smooth, ["series"])
+    shared = curves.product_ratio(ahead, ["series"]).select("series", "Year", "Age", "product")
+    return rounded(shared, "product")
+
+
+MIGRATION = (
+    DEATHS
+    + BALANCE
+    + """, moved AS (SELECT series, Sex, Year, Age, "end" - start + deaths AS value FROM balance),
+near AS (
+  SELECT t.series, t.Sex, t.Year, t.Age, s.Age - t.Age AS d, s.value AS y,
+         CASE WHEN s.value IS NOT NULL THEN pow(1 - pow(abs(s.Age - t.Age) / 6.0, 3), 3) END AS w
+  FROM moved t JOIN moved s ON s.series = t.series AND s.Sex = t.Sex AND s.Year = t.Year
+                               AND s.Age BETWEEN t.Age - 5 AND t.Age + 5),
+smooth AS (
+  SELECT series, Sex, Year, Age,
+         (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
+         / nullif(sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d), 0) AS value
+  FROM near GROUP BY series, Sex, Year, Age)"""
+)
+
+
+@query(
+    with_views(
+        ["v_rates", "v_births"],
+        MIGRATION
+        + """, shared AS (
+  SELECT m.series, m.Year, m.Age, (m.value + f.value) / 2 AS value
+  FROM smooth m JOIN smooth f ON m.series = f.series AND m.Year = f.Year AND m.Age = f.Age
+  WHERE m.Sex = 'Male' AND f.Sex = 'Female' AND m.value + f.value IS NOT NULL)"""
+        + _drift_sql("shared", ["series"])
+        + f"SELECT series, Year, Age, {r('value')} AS half_sum FROM ahead",
+    )
+)
+def migration_model(spark, sf_dir):
+    """Net migration by growth balance, smoothed over age without weights, both sexes
+    forecast together by half sums and half differences; the half sum is compared."""
+    moved = accounting.net_migration(_population(spark, sf_dir), _deaths(spark, sf_dir), ["series"])
+    smooth = curves.smooth_by_age(moved, SERIES, value="net_migration", weight=None)
+    ahead = rate_models.coherent_forecast(smooth.withColumnRenamed("smooth", "value"), ["series"], log=False)
+    shared = curves.sum_difference(ahead, ["series"]).select("series", "Year", "Age", "half_sum")
+    return rounded(shared, "half_sum")

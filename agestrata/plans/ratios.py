@@ -44,9 +44,9 @@ def policy_schedule(spark, sf_dir):
     return V.policy(spark, sf_dir)
 
 
-@query(with_views(["v_policy"], "SELECT * FROM v_policy WHERE Year >= 1997"))
+@query(with_views(["v_policy"], "SELECT * FROM v_policy"))
 def order_by_policy(spark, sf_dir):
-    return policy.order_by_policy(filters.restrict_years(V.policy(spark, sf_dir), 1997))
+    return policy.order_by_policy(V.policy(spark, sf_dir))
 
 
 @query(with_views(["v_policy"], "SELECT Year, age_months FROM v_policy WHERE Policy = 'Proposed' AND Year >= 1997"))
@@ -63,15 +63,14 @@ def attach_scheme(spark, sf_dir):
     with_views(
         ["v_pop", "v_policy"],
         f""", aged AS {FILLED}
-SELECT a.Year, a.Sex, a.Age, a.age_months,
-       CASE WHEN a.Age >= 15 AND a.Age * 12 < a.age_months THEN 'Workers'
-            WHEN a.Age * 12 >= a.age_months THEN 'Pension' ELSE 'Child' END AS "Group",
-       {r('''CASE WHEN a.age_months % 12 = 0 THEN a.Population
-            WHEN a.Age = a.age_months // 12 THEN a.Population * (a.age_months % 12) / 12
-            WHEN a.Age = a.age_months // 12 + 1 THEN
-                 a.Population + coalesce(b.Population, 0) * (12 - a.age_months % 12) / 12
-            ELSE a.Population END''')} AS Population
-FROM aged a LEFT JOIN aged b ON a.Year = b.Year AND a.Sex = b.Sex AND a.Age = b.Age + 1""",
+SELECT Year, Sex, Age, age_months, part."Group", {r('Population * part.share / 12.0')} AS Population
+FROM (
+  SELECT *, unnest([
+    {{'Group': 'Child', 'share': CASE WHEN Age < 15 THEN 12 - older ELSE 0 END}},
+    {{'Group': 'Workers', 'share': CASE WHEN Age < 15 THEN 0 ELSE 12 - older END}},
+    {{'Group': 'Pension', 'share': older}}]) AS part
+  FROM (SELECT *, least(12, greatest(0, 12 * Age + 12 - age_months)) AS older FROM aged))
+WHERE part.share > 0""",
     )
 )
 def split_partial_age(spark, sf_dir):
@@ -224,6 +223,22 @@ def age_profile_summary(spark, sf_dir):
     return rounded(summary.age_profile_summary(V.sim(spark, sf_dir)), "Mean", "Lower", "Upper")
 
 
+# A replicate per order: thousands of them in a group even in the small tables, and ever
+# more with the data. Whole quantities of few items make many ties.
+@query(
+    with_views(
+        ["v_sim_orders"],
+        f"""
+SELECT Sex, Year, {r('avg(Population)')} AS Mean, {r('quantile_cont(Population, 0.1)')} AS Lower,
+       {r('quantile_cont(Population, 0.9)')} AS Upper
+FROM v_sim_orders GROUP BY Sex, Year""",
+    )
+)
+def age_profile_summary_large_groups(spark, sf_dir):
+    sim = V.sim(spark, sf_dir, F.col("l_orderkey"))
+    return rounded(summary.age_profile_summary(sim, ["Sex", "Year"]), "Mean", "Lower", "Upper")
+
+
 TOTALS = "(SELECT Rep, Sex, Year, sum(Population) / 1000.0 AS P FROM v_sim GROUP BY ALL)"
 TOTAL_SUMMARY = f"""
 SELECT Sex, Year, {r('avg(P)')} AS Mean, {r('median(P)')} AS Median,
@@ -238,6 +253,28 @@ def total_population_summary(spark, sf_dir):
     return rounded(summary.total_population_summary(V.sim(spark, sf_dir)), *_TOTAL_COLUMNS)
 
 
+@query(with_views(["v_sim_orders"], TOTAL_SUMMARY.replace("FROM v_sim ", "FROM v_sim_orders ")))
+def total_population_summary_large_groups(spark, sf_dir):
+    sim = V.sim(spark, sf_dir, F.col("l_orderkey"))
+    return rounded(summary.total_population_summary(sim), *_TOTAL_COLUMNS)
+
+
+@query(
+    with_views(
+        ["v_sim_orders", "v_policy"],
+        f""", ratios AS (
+  SELECT Rep, s.Year, nullif({ratio_sql('age_months')}, 0) AS OADR
+  FROM v_sim_orders s JOIN {CURRENT} c ON s.Year = c.Year GROUP BY Rep, s.Year, age_months)
+SELECT Year, {r('quantile_cont(OADR, 0.1)')} AS Lo, {r('quantile_cont(OADR, 0.9)')} AS Hi, {r('avg(OADR)')} AS OADR
+FROM ratios GROUP BY Year""",
+    )
+)
+def oadr_sim_large_groups(spark, sf_dir):
+    sim = V.sim(spark, sf_dir, F.col("l_orderkey"))
+    out = ratio.oadr_sim(sim, _current(spark, sf_dir), fill=False, na_rm=True)
+    return rounded(out, "Lo", "Hi", "OADR")
+
+
 @query(
     with_views(
         ["v_pop"], "SELECT Sex, Year, sum(Population) / 1000.0 AS Population FROM v_pop GROUP BY Sex, Year"
@@ -267,20 +304,19 @@ def total_population_table(spark, sf_dir):
 @query(
     with_views(
         ["v_pop", "v_sim"],
-        f""", history AS (SELECT * FROM v_pop WHERE Year <= 1998)
+        f""", future AS (SELECT Rep, CAST(Year + 4 AS INTEGER) AS Year, Sex, Age, Population FROM v_sim)
 SELECT Year, Sex, Age, Population, CAST(NULL AS DOUBLE) AS Mean, CAST(NULL AS DOUBLE) AS Lower,
        CAST(NULL AS DOUBLE) AS Upper
-FROM history WHERE Year = (SELECT max(Year) FROM history)
+FROM v_pop WHERE Year = (SELECT max(Year) FROM v_pop)
 UNION ALL BY NAME
 SELECT Year, Sex, Age, CAST(NULL AS DOUBLE) AS Population, {r('avg(Population)')} AS Mean,
        {r('quantile_cont(Population, 0.1)')} AS Lower, {r('quantile_cont(Population, 0.9)')} AS Upper
-FROM v_sim WHERE Year = (SELECT max(Year) + 2 FROM history) GROUP BY Sex, Age, Year""",
+FROM future WHERE Year = (SELECT max(Year) + 2 FROM v_pop) GROUP BY Sex, Age, Year""",
     )
 )
 def pyramid_table(spark, sf_dir):
-    history = filters.restrict_years(V.pop(spark, sf_dir), last=1998)
-    future = summary.age_profile_summary(V.sim(spark, sf_dir))
-    out = summary.pyramid_table(history, future, ahead=2)
+    future = V.sim(spark, sf_dir).withColumn("Year", (F.col("Year") + 4).cast("int"))
+    out = summary.pyramid_table(V.pop(spark, sf_dir), future, ahead=2)
     return rounded(out, "Mean", "Lower", "Upper")
 
 

@@ -1,5 +1,9 @@
 """Registry of queries."""
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +43,24 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 def r(expression: str) -> str:
     """The same rounding in SQL."""
     return f"floor(CAST({expression} AS DOUBLE) * {SCALE:.0f} + {SHIFT}) / {SCALE:.0f}"
+
+
+_folders: dict[str, str] = {}
+
+
+def results_folder(spark: SparkSession) -> str:
+    """Where queries that store something put it: a folder of this program's own under the
+    one named in ``spark.checkpoint.dir``. A local session that names none, as in tests,
+    uses a temporary one. Removed when the program ends, if it can be reached then."""
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+            shared = tempfile.gettempdir()
+        path = f"{shared.rstrip('/')}/agestrata-{uuid.uuid4().hex}"
+        if "://" not in path or path.startswith("file:"):
+            atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        _folders[context.applicationId] = path
+    return _folders[context.applicationId]

@@ -1,7 +1,7 @@
 """Schedule-search queries: target 0.60 from age 65, years 1995 to 2001."""
 
 from agestrata.operators import ratio, report, schedule
-from agestrata.operators.filters import policy_slice, restrict_years
+from agestrata.operators.filters import policy_slice
 from agestrata.plans import views as V
 from agestrata.plans.ratios import ratio_sql
 from agestrata.plans.registry import query, r, rounded
@@ -212,7 +212,7 @@ def side_by_side(spark, sf_dir):
 under AS (
   SELECT Policy, policy_rank, Rep, s.Year, {ratio_sql('age_months')} AS OADR
   FROM v_sim s JOIN named p ON s.Year = p.Year
-  WHERE s.Year >= 1998 GROUP BY Policy, policy_rank, Rep, s.Year, age_months)
+  GROUP BY Policy, policy_rank, Rep, s.Year, age_months)
 SELECT Policy, policy_rank, Year, {r('quantile_cont(OADR, 0.1)')} AS Lo,
        {r('quantile_cont(OADR, 0.9)')} AS Hi, {r('avg(OADR)')} AS OADR
 FROM under GROUP BY Policy, policy_rank, Year""",
@@ -221,8 +221,7 @@ FROM under GROUP BY Policy, policy_rank, Year""",
 def oadr_under_schedules(spark, sf_dir):
     policy = V.policy(spark, sf_dir)
     named = {"Later": policy_slice(policy, "Proposed"), "Sooner": policy_slice(policy, "Age65")}
-    recent = restrict_years(V.sim(spark, sf_dir), 1998)
-    out = ratio.oadr_under_schedules(recent, named, fill=False)
+    out = ratio.oadr_under_schedules(V.sim(spark, sf_dir), named, fill=False)
     return rounded(out, "Lo", "Hi", "OADR")
 
 

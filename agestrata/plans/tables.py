@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agestrata.operators import accounting, curves, fertility, filters, reshape
 from agestrata.plans import views as V
-from agestrata.plans.registry import query, r, rounded
+from agestrata.plans.registry import query, r, results_folder, rounded
 from agestrata.plans.views import FERTILITY_REGION, with_views
 from agestrata.sources import tables
 
@@ -53,12 +53,13 @@ def latest_year(spark, sf_dir):
 @query(
     with_views(
         ["v_pop", "v_sim"],
-        "SELECT * FROM v_sim WHERE Year = (SELECT max(Year) + 1 FROM v_pop WHERE Year <= 1999)",
+        """SELECT Rep, CAST(Year + 4 AS INTEGER) AS Year, Sex, Age, Population
+           FROM v_sim WHERE Year + 4 = (SELECT max(Year) + 1 FROM v_pop)""",
     )
 )
 def at_horizon(spark, sf_dir):
-    history = filters.restrict_years(V.pop(spark, sf_dir), last=1999)
-    return filters.at_horizon(V.sim(spark, sf_dir), history, ahead=1)
+    future = filters.shift_and_cap_years(V.sim(spark, sf_dir), 4, 9999)
+    return filters.at_horizon(future, V.pop(spark, sf_dir), ahead=1)
 
 
 @query(with_views(["v_pop"], "SELECT Year, Sex, Age, Population * 0.001 AS Population FROM v_pop"))
@@ -203,11 +204,14 @@ paths AS (
 
 @query(
     with_views(
-        ["v_sim"], FULL + "SELECT Rep, Age, Year, Population FROM paths WHERE Sex = 'Female'"
+        ["v_sim"], FULL + "SELECT Rep, Age, Sex, Year, Population FROM paths"
     )
 )
 def array_to_long(spark, sf_dir):
-    return reshape.array_to_long(_arrays(spark, sf_dir), ["Rep", "Age"], "female", YEARS[0])
+    arrays = _arrays(spark, sf_dir)
+    return reshape.union_sexes(
+        *[reshape.array_to_long(arrays, ["Rep", "Age"], c, YEARS[0]) for c in ("male", "female")]
+    )
 
 
 @query(
@@ -227,8 +231,8 @@ def simulation_from_arrays(spark, sf_dir):
 
 
 def _stored(df, name, form="parquet"):
-    """A path holding ``df``, fresh per call, in the cluster's shared folder."""
-    path = f"{tables.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """A path holding ``df``, fresh per call."""
+    path = f"{results_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("header", True) if form == "csv" else df.write
     writer.format(form).save(path)
     return path
@@ -256,11 +260,16 @@ def read_fertility_history(spark, sf_dir):
     return tables.read_fertility_history(spark, _stored(V.fertility_history(spark, sf_dir), "history"))
 
 
-@query(with_views(["v_sim"], "SELECT * FROM v_sim WHERE Year >= 1998"))
+@query(with_views(["v_sim"], "SELECT * FROM v_sim"))
 def save_and_load_result(spark, sf_dir):
-    name = f"sim-{uuid.uuid4().hex}"
-    tables.save_result(V.sim(spark, sf_dir), name, partition_by=["Year"])
-    return filters.restrict_years(tables.load_result(spark, name), 1998)
+    name, folder = f"sim-{uuid.uuid4().hex}", results_folder(spark)
+    tables.save_result(V.sim(spark, sf_dir), name, folder, partition_by=["Year"])
+    return tables.load_result(spark, name, folder)
+
+
+@query(with_views(["v_sim"], "SELECT * FROM v_sim"))
+def read_simulation(spark, sf_dir):
+    return tables.read_simulation(spark, _stored(V.sim(spark, sf_dir), "simulation"))
 
 
 # --- fertility --------------------------------------------------------------------

@@ -156,6 +156,11 @@ SQL_VIEWS = {
         SELECT Year, Sex, RawAge AS Age, sum(Population) AS Population FROM people GROUP BY ALL""",
     "v_sim": """
         SELECT Rep, Year, Sex, Age, sum(Population) AS Population FROM people GROUP BY ALL""",
+    "v_sim_orders": """
+        SELECT l_orderkey AS Rep, CAST(year(l_shipdate) AS INTEGER) AS Year,
+               CASE WHEN l_linestatus = 'F' THEN 'Female' ELSE 'Male' END AS Sex,
+               CAST(l_partkey % 101 AS INTEGER) AS Age, sum(l_quantity) AS Population
+        FROM lineitem GROUP BY ALL""",
     "v_years": "SELECT DISTINCT Year FROM people",
     "v_policy": f"""
         SELECT Year, Policy, CAST(policy_rank AS INTEGER) AS policy_rank,

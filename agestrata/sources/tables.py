@@ -1,9 +1,9 @@
 """Reading landed tables with stated schemas, and storing results by name."""
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agestrata import schema as shapes
@@ -40,35 +40,25 @@ def read_fertility_history(spark: SparkSession, path: str, form: str = "parquet"
     return _read(spark, path, shapes.FERTILITY_HISTORY, form)
 
 
-_local_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``, which all executors
-    reach. Only a local session that names none, as in tests, gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="agestrata-")
-    return _local_folders[context.applicationId]
-
-
 def save_result(
-    df: DataFrame, name: str, folder: str | None = None, partition_by: Sequence[str] = ()
+    df: DataFrame,
+    name: str,
+    folder: str,
+    partition_by: Sequence[str] = (),
+    files: int = 8,
 ) -> None:
-    """Store a result under its name. Partition large tables that are read by year by
-    Year. A stored table also cuts lineage and survives the loss of executors."""
-    folder = folder or shared_folder(df.sparkSession)
+    """Store a result under its name in ``folder``, one that all executors reach. Partition
+    large tables that are read by year by Year; each of its folders gets at most
+    ``files`` files, however many tasks there were. A stored table also cuts lineage and
+    survives the loss of executors."""
+    if partition_by:
+        spread = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+        df = df.repartition(*[F.col(c) for c in partition_by], spread)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{name}")
 
 
 def load_result(
-    spark: SparkSession, name: str, folder: str | None = None, shape: T.StructType | None = None
+    spark: SparkSession, name: str, folder: str, shape: T.StructType | None = None
 ) -> DataFrame:
-    folder = folder or shared_folder(spark)
     reader = spark.read if shape is None else spark.read.schema(shape)
     return reader.parquet(f"{folder}/{name}")

@@ -143,3 +143,28 @@ def test_repeated_fertility_cell_is_refused(table):
     df = table(rows, "Year int, Age int, Measure string, Value double")
     with pytest.raises(Exception, match="two rows for one cell"):
         fertility.births_and_pop(df).collect()
+
+
+def test_nobody_is_known_after_a_missing_age(table):
+    rows = [("a", "Male", 2000, age, 0.5) for age in (0, 1, 2, 4, 5)] + [("b", "Male", 2000, age, 0.5) for age in (1, 2)]
+    got = accounting.life_table(table(rows, "series string, Sex string, Year int, Age int, rate double")).collect()
+    alive = {(r.series, r.Age): r.l for r in got}
+    assert [alive["a", x] for x in (0, 1, 2)] == pytest.approx([1, 0.6, 0.36])
+    assert [alive[k] for k in (("a", 4), ("a", 5), ("b", 1), ("b", 2))] == [None] * 4
+
+
+def test_no_cell_of_the_balance_is_lost(table):
+    cell = "Sex string, Year int, Age int, "
+    pop = table(
+        [("Male", 2000, 1, 10.0), ("Male", 2001, 2, 8.0), ("Male", 2001, 7, 5.0), ("Male", 2000, 3, 4.0)], cell + "Population double"
+    )
+    life = table([("Male", 2000, 1, 0.9, 1.0, 1.0)], cell + "survival double, lived double, l double")
+    births = table([("Male", 2000, 6.0)], "Sex string, Year int, births double")
+    deaths = accounting.cohort_deaths(pop, life, births)
+    rows = {(r.Year, r.Age): (r.start, r.deaths) for r in deaths.collect()}
+    # No survival at age 3 and no age 0 in the life table: who was there stays.
+    assert rows[2000, 2] == pytest.approx((10.0, 1.0)) and rows[2000, 4] == (4.0, None) and rows[2000, 0] == (6.0, None)
+    got = {(r.Year, r.Age): r.net_migration for r in accounting.net_migration(pop, deaths).collect()}
+    assert got == {(2000, 2): pytest.approx(-1.0), (2000, 7): None, (2000, 4): None, (2000, 0): None}
+    zero = {(r.Year, r.Age): r.net_migration for r in accounting.net_migration(pop, deaths, absent_is_zero=True).collect()}
+    assert zero[2000, 7] == 5.0 and zero[2000, 4] is None and zero[2000, 2] == pytest.approx(-1.0)

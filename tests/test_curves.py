@@ -255,3 +255,61 @@ def test_coherent_forecast_against_numpy(spark, log):
         part = wide(got.where(f"Sex = '{sex}'"), "value")
         assert list(part.index) == [2015, 2016, 2017, 2018]
         np.testing.assert_allclose(part.to_numpy(), scale(want), atol=1e-8)
+
+
+@pytest.mark.parametrize("weight", ["weight", None])
+def test_a_constant_curve_with_gaps_stays_constant(table, weight):
+    rows = [("a", 2000, age, None if age in (0, 5, 6, 17) else 10.0, float(1 + age % 4)) for age in range(20)]
+    curve = table(rows, "series string, Year int, Age int, value double, weight double")
+    got = curves.smooth_by_age(curve, ["series"], weight=weight).collect()
+    assert len(got) == 20 and all(r.smooth == pytest.approx(10.0) for r in got)
+
+
+def test_a_missing_weight_counts_as_a_missing_value(table):
+    rows = [("a", 2000, age, 1000.0 if age == 5 else 10.0, None if age == 5 else 1.0) for age in range(12)]
+    curve = table(rows, "series string, Year int, Age int, value double, weight double")
+    assert all(r.smooth == pytest.approx(10.0) for r in curves.smooth_by_age(curve, ["series"]).collect())
+
+
+def test_unpaired_cells_stay_unless_dropped(table):
+    rows = [("Male", 2000, 1, 4.0), ("Female", 2000, 1, 1.0), ("Male", 2000, 2, 9.0)]
+    df = table(rows, "Sex string, Year int, Age int, value double")
+    got = {r.Age: (r.Male, r.Female) for r in curves.pair_sexes(df).collect()}
+    assert got == {1: (4.0, 1.0), 2: (9.0, None)}
+    assert {r.Age: r["product"] for r in curves.product_ratio(df).collect()} == {1: 2.0, 2: None}
+    kept = curves.pair_cells(df, ["Year", "Age"], "Sex", ["Male", "Female"], "value", drop_unpaired=True)
+    assert [r.Age for r in kept.collect()] == [1]
+
+
+def test_packed_moments_give_the_same_components(table):
+    rng = np.random.default_rng(8)
+    rows = [
+        ("a", year, age, float(rng.normal()))
+        for year in [*range(2000, 2004), *range(2600, 2604)]
+        for age in range(10) if (year, age) != (2601, 3) and not (year > 2500 and age == 9)
+    ]
+    centered = curves.center_curves(table(rows, "series string, Year int, Age int, value double"), ["series"])
+    by_rows = components.principal_components(components.curve_covariance(centered, ["series"]), ["series"], 3)
+    packed = components.leading_components(centered, ["series"], 3)
+    a, b = ({(r.j, r.Age): (r.phi, r.share) for r in df.collect()} for df in (by_rows, packed))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_repeated_and_infinite_cells_are_refused(table):
+    shape = "series string, Year int, Age int, centered double"
+    for bad, message in (([("a", 1, 1, 1.0), ("a", 1, 1, 2.0)], "two rows"), ([("a", 1, 1, float("inf"))], "infinite")):
+        with pytest.raises(Exception, match=message):
+            components.leading_components(table(bad, shape), ["series"]).collect()
+
+
+def test_intervals_of_scores(table):
+    values = [1.0, 2.5, 3.0, 5.5, 6.0]
+    df = table([("a", 2000 + i, v) for i, v in enumerate(values)], "k string, Year int, beta double")
+    steps = np.diff(values)
+    z, v, n = 1.2815515655446004, steps.var(ddof=1), len(steps)
+    for r in forecast.drift_forecast(df, ["k"], 5, level=80).collect():
+        mean = values[-1] + r.h * steps.mean()
+        half = z * np.sqrt(v * r.h * (1 + r.h / n))
+        assert (r.beta, r.lower, r.upper) == pytest.approx((mean, mean - half, mean + half))
+    short = forecast.mean_reverting_forecast(df.where("Year < 2002"), ["k"], 2, level=80).collect()
+    assert all(r.lower is None and r.beta is not None for r in short)

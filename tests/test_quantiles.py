@@ -20,13 +20,12 @@ def _check(spark, frame, **options):
 
 def _frame(seed=3):
     rng = np.random.default_rng(seed)
-    limit = quantiles.KEEP_WHOLE
     groups = {
         "one": [1.5],
         "two": [1.0, 4.0],
         "small": rng.normal(size=37),
-        "edge": rng.normal(size=limit),
-        "past": rng.normal(size=limit + 1),
+        "bins": rng.normal(size=quantiles.BINS),
+        "more": rng.normal(size=1001),
         "large": rng.lognormal(size=40_000),
         # A third of the values are the same, and sit on a wanted rank.
         "ties": np.r_[np.full(10_000, 0.5), rng.uniform(size=20_000)],
@@ -41,27 +40,38 @@ def test_selection_is_exact(spark):
     _check(spark, _frame())
 
 
-def test_stored_marks_are_exact(spark):
-    _check(spark, _frame(4), store_marks=True)
+@pytest.mark.parametrize("bins", [2, 5, 64])
+def test_any_number_of_bins_is_exact(spark, monkeypatch, bins):
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    _check(spark, _frame(4))
 
 
-def test_one_pass_is_exact(spark):
-    _check(spark, _frame(5), group_limit=100_000)
+def test_poor_edges_are_exact(spark, monkeypatch):
+    """Ranks come from counts: a sketch that is far off only deals work out unevenly."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 1)
+    _check(spark, _frame(5))
 
 
-def test_larger_group_than_stated_raises(spark):
-    df = spark.range(20).selectExpr("1 as k", "cast(id as double) as v")
-    with pytest.raises(Exception, match="more than 10 rows"):
-        group_quantiles(df, ["k"], "v", {"q": 0.5}, group_limit=10).collect()
+def test_no_job_runs_before_the_result_is_asked_for(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS k", "cast(id AS double) AS v")
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    out = group_quantiles(df, ["k"], "v", PROBS)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    assert out.count() == 2
 
 
-@pytest.mark.parametrize("options", [{}, {"group_limit": 100}])
-def test_null_makes_a_group_null_unless_removed(table, options):
+def test_null_keys_are_groups(table):
+    df = table([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    got = {r.k: r.q for r in group_quantiles(df, ["k"], "v", {"q": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+
+
+def test_null_makes_a_group_null_unless_removed(table):
     df = table([("a", 1.0), ("a", None), ("b", 2.0), ("c", None)], "k string, v double")
-    kept = group_quantiles(df, ["k"], "v", {"q": 0.5}, "m", **options).toPandas().set_index("k")
+    kept = group_quantiles(df, ["k"], "v", {"q": 0.5}, "m").toPandas().set_index("k")
     assert pd.isna(kept.loc["a", "q"]) and pd.isna(kept.loc["a", "m"])
     assert kept.loc["b", "q"] == 2.0
-    out = group_quantiles(df, ["k"], "v", {"q": 0.5}, "m", na_rm=True, **options)
+    out = group_quantiles(df, ["k"], "v", {"q": 0.5}, "m", na_rm=True)
     out = out.toPandas().set_index("k")
     assert out.loc["a", "q"] == 1.0 and out.loc["a", "m"] == 1.0
     assert pd.isna(out.loc["c", "q"])

@@ -117,14 +117,13 @@ def simulated(reps, years, seed=0):
     return [(rep, *row) for rep in range(reps) for row in people(seed + rep, years)]
 
 
-@pytest.mark.parametrize("options", [{}, {"group_limit": 50}])
-def test_all_policies_in_one_pass(spark, table, options):
+def test_all_policies_in_one_pass(spark, table):
     years = range(2015, 2026)
     rows = simulated(9, years)
     sim = table(rows, SIM)
     policy = policy_schedule(year_spine(spark, 2017, 2025))
     ages = {(r.Policy, r.Year): r.age_months for r in policy.collect()}
-    got = ratio.oadr_by_policy(sim, policy, **options).toPandas()
+    got = ratio.oadr_by_policy(sim, policy).toPandas()
     assert len(got) == 3 * len(years)
     for row in got.itertuples():
         lowest = min(a for (p, _), a in ages.items() if p == row.Policy)
@@ -135,7 +134,7 @@ def test_all_policies_in_one_pass(spark, table, options):
         assert row.OADR == pytest.approx(ratios.mean())
         assert row.Lo == pytest.approx(ratios.quantile(0.1))
         assert row.Hi == pytest.approx(ratios.quantile(0.9))
-    single = ratio.oadr_sim(sim, policy.where("Policy = 'Current'"), **options).toPandas()
+    single = ratio.oadr_sim(sim, policy.where("Policy = 'Current'")).toPandas()
     both = got[got.Policy == "Current"].merge(single, on="Year")
     assert len(both) == len(years)
     assert both.OADR_x.values == pytest.approx(both.OADR_y.values)

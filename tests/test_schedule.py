@@ -152,3 +152,11 @@ def test_two_sided_report(table):
     rows = table([(2019, 804, 810)], "Year int, lower int, upper int")
     first = schedule_report(rows, ["lower", "upper"]).first()
     assert (first.lower, first.upper) == ("67Y", "67Y+6M")
+
+
+def test_a_key_without_a_year_does_not_stop_the_others(table):
+    need = table(
+        [("a", 2000, 790), ("a", 2001, 795), ("b", 2000, 790)], "country string, Year int, need int"
+    )
+    got = {(r.country, r.Year): r.age_months for r in schedule.capped_schedule(need, 780, 2000, 2001, ["country"]).collect()}
+    assert got == {("a", 2000): 790, ("a", 2001): 795, ("b", 2000): None, ("b", 2001): None}
