@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from agestrata.functions.aggregates import mean_absolute, root_mean_square
 from agestrata.operators.components import COMPONENTS
-from agestrata.operators.rate_models import component_forecast
+from agestrata.operators.rate_models import coherent_forecast, component_forecast
 
 
 def fold_table(years: DataFrame, train: int, horizon: int) -> DataFrame:
@@ -107,3 +107,40 @@ def rolling_rate_backtest(
         forecast.withColumnRenamed("fitted", "value"), actual, [*keys, "Year", "Age"], "value"
     )
     return horizon_rmse(errors, [*keys, "h"])
+
+
+def rolling_coherent_forecast(
+    df: DataFrame,
+    folds: DataFrame,
+    keys: Sequence[str],
+    horizon: int,
+    components: int = COMPONENTS,
+    value: str = "value",
+    log: bool = True,
+) -> DataFrame:
+    """``keys, id, h, Sex, Year, Age, value``: ``coherent_forecast`` of both sexes from the
+    training years of each origin, all origins in one job."""
+    keyed = [*keys, "id"]
+    training = df.join(fold_years(folds, "train"), "Year")
+    fitted = coherent_forecast(training, keyed, horizon, components, value, log)
+    last = folds.select("id", F.col("train_to").alias("_last"))
+    return fitted.join(last, "id").select(
+        *keyed, (F.col("Year") - F.col("_last")).cast("int").alias("h"), "Sex", "Year", "Age", "value"
+    )
+
+
+def rolling_coherent_backtest(
+    df: DataFrame,
+    folds: DataFrame,
+    keys: Sequence[str],
+    horizon: int,
+    components: int = COMPONENTS,
+    value: str = "value",
+    log: bool = True,
+) -> DataFrame:
+    """``keys, Sex, h, RMSE`` of those forecasts over ages and origins, on the scale of
+    ``value``."""
+    forecast = rolling_coherent_forecast(df, folds, keys, horizon, components, value, log)
+    cell = [*keys, "Sex", "Year", "Age"]
+    actual = df.select(*cell, F.col(value).alias("value"))
+    return horizon_rmse(attach_actual(forecast, actual, cell, "value"), [*keys, "Sex", "h"])

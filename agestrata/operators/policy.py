@@ -13,6 +13,7 @@ STEP_MONTHS = 6
 STEP_YEARS = 2
 CAPS = {"Proposed": 70 * 12, "Current": 67 * 12, "Age65": 65 * 12}
 FIRST_YEAR, LAST_YEAR = 1920, 2050
+MOST_YEARS = 2000
 
 
 def year_spine(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
@@ -43,8 +44,13 @@ def policy_schedule(
         ]
     )
     # Distinct years as one array: one row at most, which Catalyst knows to be small
-    # and so broadcasts, however large the table the years come from.
-    spine = years.agg(F.collect_set("Year").alias("_y")).select(F.explode("_y").alias("Year"))
+    # and so broadcasts, however large the table the years come from. More years than a
+    # calendar has are refused, before they are gathered.
+    held = years.select("Year").distinct().limit(MOST_YEARS + 1).agg(F.collect_list("Year").alias("_y"))
+    too_many = F.raise_error(F.lit(f"more than {MOST_YEARS} years")).cast("array<int>")
+    spine = held.select(
+        F.explode(F.when(F.size("_y") <= MOST_YEARS, F.col("_y").cast("array<int>")).otherwise(too_many)).alias("Year")
+    )
     return (
         spine.select("Year", steps.alias("_s"), F.explode(arms).alias("_p"))
         .select(

@@ -15,30 +15,50 @@ from agestrata.functions.ages import MONTHS
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import interval_probabilities
 from agestrata.operators.ratio import interval_summary, oadr_by_column
-from agestrata.schema import WORKING_AGE
+from agestrata.schema import OPEN_AGE, WORKING_AGE
 
 YEARLY_CAP = 12
 
 
+def _with_value(
+    df: DataFrame, value: int | float | DataFrame, column: str, keys: Sequence[str]
+) -> DataFrame:
+    """``df`` with ``column``: one value for all, or a table's (``keys``, ``column``) by key.
+    A key that the table lacks gets NULL."""
+    if not isinstance(value, DataFrame):
+        return df.withColumn(column, F.lit(value))
+    twice = F.raise_error(F.lit(f"two rows of {column} for one key")).cast("double")
+    one = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max(column)).alias(column)
+    return df.join(value.groupBy(*keys).agg(one), list(keys), "left")
+
+
 def candidate_ratios(
     sim: DataFrame,
-    start_month: int,
+    start_month: int | DataFrame,
     first_year: int,
     last_year: int,
     keys: Sequence[str] = (),
     yearly_cap: int = YEARLY_CAP,
     na_rm: bool = False,
+    ages: tuple[int, int] = (WORKING_AGE + 1, OPEN_AGE),
 ) -> DataFrame:
     """``keys, Rep, Year, age_months, OADR`` for every month the schedule could have
     reached by then: ``start_month`` to ``start_month + yearly_cap * n`` in year n.
 
     One shuffle, of one short array per replicate and year; months are expanded
-    after it. ``start_month`` must lie above working age."""
-    if start_month // MONTHS <= WORKING_AGE:
-        raise ValueError("start_month must lie above working age")
+    after it. ``start_month`` must lie above working age. It may be a table ``keys,
+    start_month``; then ``ages`` are the youngest and the oldest whole age that any
+    schedule can reach, and one that leaves them raises. Keys without a start have no
+    candidates."""
     years = last_year - first_year + 1
-    lowest = start_month // MONTHS
-    highest = (start_month + yearly_cap * years) // MONTHS + 1
+    by_key = isinstance(start_month, DataFrame)
+    if by_key:
+        lowest, highest = ages[0], ages[1] + 1
+    else:
+        if start_month // MONTHS <= WORKING_AGE:
+            raise ValueError("start_month must lie above working age")
+        lowest = start_month // MONTHS
+        highest = (start_month + yearly_cap * years) // MONTHS + 1
     age, people = F.col("Age"), F.col("Population")
     above = [F.sum(F.when(age >= a, people)) for a in range(lowest, highest + 1)]
     adults = total_where(age >= WORKING_AGE, people, na_rm)
@@ -47,8 +67,14 @@ def candidate_ratios(
         .groupBy(*keys, "Rep", "Year")
         .agg(adults.alias("_adults"), F.array(*above).alias("_above"))
     )
-    last_month = F.lit(start_month) + yearly_cap * (F.col("Year") - (first_year - 1))
-    months = per_year.withColumn("age_months", F.explode(F.sequence(F.lit(start_month), last_month)))
+    started = _with_value(per_year, start_month, "start_month", keys)
+    start = F.col("start_month").cast("int")
+    if by_key:
+        outside = F.raise_error(F.lit("a schedule leaves the stated ages")).cast("int")
+        inside = (start >= lowest * MONTHS) & (start + yearly_cap * years < highest * MONTHS)
+        start = F.when(inside | start.isNull(), start).otherwise(outside)
+    last_month = start + yearly_cap * (F.col("Year") - (first_year - 1))
+    months = started.withColumn("age_months", F.explode(F.sequence(start, last_month.cast("int"))))
     step = F.expr(f"cast(age_months div {MONTHS} as int) - {lowest}")
     part = F.col("age_months") % MONTHS
     # Nobody past the whole age itself leaves no pensioners (NULL, as in ``oadr``);
@@ -72,18 +98,18 @@ def need_month(grid: DataFrame, target: float, statistic: str = "OADR", keys: Se
     return grid.groupBy(*keys, "Year").agg(F.min(F.when(met, F.col("age_months"))).alias("need"))
 
 
-def _quantile_at_most(target: float, prob: float) -> Column:
-    """Whether a group's quantile is at or below ``target``, from aggregates that
+def _quantile_at_most(prob: float) -> Column:
+    """Whether a group's quantile is at or below its ``_target``, from aggregates that
     combine before the shuffle. With c values at or below the target, the quantile's
     two order statistics both lie below it or both above it, unless c equals the rank
     of the lower one; then they are the largest value below and the least above."""
-    ratio, bound = F.col("OADR"), F.lit(float(target))
+    ratio, bound = F.col("OADR"), F.col("_target")
     position = (F.count("OADR") - 1) * F.lit(float(prob))
     rank, share = F.floor(position) + 1, position - F.floor(position)
     below = F.count_if(ratio <= bound)
     largest_below = F.max(F.when(ratio <= bound, ratio))
     least_above = F.min(F.when(ratio > bound, ratio))
-    straddling = largest_below + share * (least_above - largest_below) <= bound
+    straddling = largest_below + share * (least_above - largest_below) <= F.max(bound)
     return (
         F.when(F.count("OADR") == 0, False)
         .when(below > rank, True)
@@ -94,24 +120,26 @@ def _quantile_at_most(target: float, prob: float) -> Column:
 
 def need_months(
     ratios: DataFrame,
-    target: float,
+    target: float | DataFrame,
     level: float = 80,
     keys: Sequence[str] = (),
     na_rm: bool = False,
 ) -> DataFrame:
     """``keys, Year, lower, optimal, upper``: the month each year needs for the
-    interval's lower end, the mean and the upper end to meet the target.
+    interval's lower end, the mean and the upper end to meet the target, one for all or
+    a table ``keys, target``.
 
     Gives what ``need_month`` reads off ``oadr_grid``, without computing any
     quantile, so nothing grows with the number of replicates."""
     probs = interval_probabilities(level)
     met = {
-        "lower": _quantile_at_most(target, probs["Lo"]),
-        "optimal": F.avg("OADR") <= F.lit(float(target)),
-        "upper": _quantile_at_most(target, probs["Hi"]),
+        "lower": _quantile_at_most(probs["Lo"]),
+        "optimal": F.avg("OADR") <= F.max("_target"),
+        "upper": _quantile_at_most(probs["Hi"]),
     }
     complete = F.lit(True) if na_rm else F.count_if(F.col("OADR").isNull()) == 0
-    by_month = ratios.groupBy(*keys, "Year", "age_months").agg(
+    aimed = _with_value(ratios, target, "target", keys).withColumn("_target", F.col("target").cast("double"))
+    by_month = aimed.groupBy(*keys, "Year", "age_months").agg(
         *[(complete & c).alias(name) for name, c in met.items()]
     )
     return by_month.groupBy(*keys, "Year").agg(
@@ -121,7 +149,7 @@ def need_months(
 
 def capped_schedule(
     need: DataFrame,
-    start_month: int,
+    start_month: int | DataFrame,
     first_year: int,
     last_year: int,
     keys: Sequence[str] = (),
@@ -154,7 +182,7 @@ def capped_schedule(
             return F.concat(ages, F.array(F.least(reach, F.greatest(last, wanted)).cast("int")))
 
         # A leading start value keeps element_at off an empty array.
-        begin = F.array(F.lit(start_month).cast("int"))
+        begin = F.array(F.col("_start").cast("int"))
         folded = F.slice(F.aggregate(F.col("_rows"), begin, step), 2, years)
         return F.when(whole, folded).otherwise(unknown)
 
@@ -167,6 +195,10 @@ def capped_schedule(
     folded = (
         typed.groupBy(*keys)
         .agg(rows.alias("_rows"))
+    )
+    folded = (
+        _with_value(folded, start_month, "start_month", keys)
+        .withColumnRenamed("start_month", "_start")
         .withColumn("_rows", checked)
         .select(*keys, all_years.alias("Year"), *[fold(c).alias(name) for name, c in columns.items()])
     )
@@ -176,17 +208,19 @@ def capped_schedule(
 
 def schedule_band(
     sim: DataFrame,
-    start_month: int,
+    start_month: int | DataFrame,
     first_year: int,
     last_year: int,
-    target: float,
+    target: float | DataFrame,
     level: float = 80,
     keys: Sequence[str] = (),
     yearly_cap: int = YEARLY_CAP,
     na_rm: bool = False,
+    **options,
 ) -> DataFrame:
-    """``keys, Year, lower, optimal, upper`` schedules in months, from one pass."""
-    ratios = candidate_ratios(sim, start_month, first_year, last_year, keys, yearly_cap, na_rm)
+    """``keys, Year, lower, optimal, upper`` schedules in months, from one pass. Start and
+    target may be tables by key, as in ``candidate_ratios`` and ``need_months``."""
+    ratios = candidate_ratios(sim, start_month, first_year, last_year, keys, yearly_cap, na_rm, **options)
     need = need_months(ratios, target, level, keys, na_rm)
     bands = {name: name for name in ("lower", "optimal", "upper")}
     return capped_schedule(need, start_month, first_year, last_year, keys, bands, yearly_cap)
@@ -223,8 +257,25 @@ def compare_schemes(policy: DataFrame, band: DataFrame, first_year: int = 2005)
     return optimal.unionByName(others).where(F.col("Year") >= first_year)
 
 
+# Series names, in reporting order.
+BAND_NAMES = {"optimal": "Optimal", "lower": "Lower boundary", "upper": "Upper boundary"}
+
+
 def oadr_under_band(sim: DataFrame, band: DataFrame, **options) -> DataFrame:
-    """Ratio under the optimal, lower and upper schedules, as ``oadr_by_column``."""
-    # Series names, in reporting order.
-    names = {"optimal": "Optimal", "lower": "Lower boundary", "upper": "Upper boundary"}
-    return oadr_by_column(sim, band, names, **options)
+    """Ratio under the optimal, lower and upper schedules, as ``oadr_by_column``: for any
+    years, also those before the searched ones."""
+    return oadr_by_column(sim, band, BAND_NAMES, **options)
+
+
+def searched_ratios(
+    ratios: DataFrame, band: DataFrame, keys: Sequence[str] = (), level: float = 80, na_rm: bool = False
+) -> DataFrame:
+    """``oadr_under_band`` for the searched years, from the ``candidate_ratios`` that the
+    band came from: its months are among them, so the simulation is read once."""
+    arms = [
+        F.struct(F.lit(name).alias("Policy"), F.lit(rank).alias("policy_rank"), F.col(c).alias("age_months"))
+        for rank, (c, name) in enumerate(BAND_NAMES.items(), 1)
+    ]
+    chosen = band.select(*keys, "Year", F.explode(F.array(*arms)).alias("_a")).select(*keys, "Year", "_a.*")
+    met = ratios.join(chosen, [*keys, "Year", "age_months"])
+    return interval_summary(met, [*keys, "Policy", "policy_rank", "Year"], level, na_rm=na_rm)

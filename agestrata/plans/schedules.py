@@ -133,6 +133,32 @@ FROM under GROUP BY Policy, policy_rank, Year""",
     )
 )
 def oadr_under_band(spark, sf_dir):
+    ratios = _ratios(spark, sf_dir)
+    need = schedule.need_months(ratios, TARGET)
+    bands = {name: name for name in ("lower", "optimal", "upper")}
+    band = schedule.capped_schedule(need, START, FIRST, LAST, columns=bands)
+    return rounded(schedule.searched_ratios(ratios, band), "Lo", "Hi", "OADR")
+
+
+@query(
+    with_views(
+        _VIEWS,
+        BAND
+        + f""", named AS (
+  SELECT Year, 'Optimal' AS Policy, 1 AS policy_rank, optimal AS age_months FROM schedule
+  UNION ALL SELECT Year, 'Lower boundary', 2, lower FROM schedule
+  UNION ALL SELECT Year, 'Upper boundary', 3, upper FROM schedule),
+under AS (
+  SELECT Policy, policy_rank, Rep, s.Year, {ratio_sql('age_months')} AS OADR
+  FROM v_sim s JOIN named p ON s.Year = p.Year
+  GROUP BY Policy, policy_rank, Rep, s.Year, age_months)
+SELECT Policy, policy_rank, Year, {r('quantile_cont(OADR, 0.1)')} AS Lo,
+       {r('quantile_cont(OADR, 0.9)')} AS Hi, {r('avg(OADR)')} AS OADR
+FROM under GROUP BY Policy, policy_rank, Year""",
+        recursive=True,
+    )
+)
+def oadr_under_band_of_all_years(spark, sf_dir):
     out = schedule.oadr_under_band(V.sim(spark, sf_dir), _band(spark, sf_dir), fill=False)
     return rounded(out, "Lo", "Hi", "OADR")
 
@@ -226,36 +252,45 @@ def oadr_under_schedules(spark, sf_dir):
 
 
 # A schedule per key: here each sex is its own population.
-@query(
-    with_views(
-        _VIEWS,
-        f""", candidates AS (
-  SELECT Year, CAST(unnest(range({START}, {START} + 12 * (Year - {FIRST - 1}) + 1)) AS INTEGER) AS age_months
-  FROM v_years),
+def _by_key_sql(female, male):
+    (f_start, f_target), (m_start, m_target) = female, male
+    return f""", starts(Sex, start, target) AS (VALUES ('Female', {f_start}, {f_target}), ('Male', {m_start}, {m_target})),
+candidates AS (
+  SELECT Sex, Year, CAST(unnest(range(start, start + 12 * (Year - {FIRST - 1}) + 1)) AS INTEGER) AS age_months
+  FROM v_years, starts),
 ratios AS (
-  SELECT Sex, Rep, s.Year, age_months, {ratio_sql('age_months')} AS OADR
-  FROM v_sim s JOIN candidates c ON s.Year = c.Year GROUP BY Sex, Rep, s.Year, age_months),
+  SELECT s.Sex, Rep, s.Year, age_months, {ratio_sql('age_months')} AS OADR
+  FROM v_sim s JOIN candidates c ON s.Year = c.Year AND s.Sex = c.Sex GROUP BY s.Sex, Rep, s.Year, age_months),
 need AS (
-  SELECT Sex, Year, min(age_months) FILTER (WHERE lo <= {TARGET}) AS lower,
-         min(age_months) FILTER (WHERE m <= {TARGET}) AS optimal,
-         min(age_months) FILTER (WHERE hi <= {TARGET}) AS upper
+  SELECT Sex, Year, min(age_months) FILTER (WHERE lo <= target) AS lower,
+         min(age_months) FILTER (WHERE m <= target) AS optimal,
+         min(age_months) FILTER (WHERE hi <= target) AS upper
   FROM (SELECT Sex, Year, age_months, quantile_cont(OADR, 0.1) AS lo, avg(OADR) AS m,
                quantile_cont(OADR, 0.9) AS hi
-        FROM ratios GROUP BY Sex, Year, age_months)
+        FROM ratios GROUP BY Sex, Year, age_months) JOIN starts USING (Sex)
   GROUP BY Sex, Year),
 band AS (
-  SELECT Sex, CAST({FIRST - 1} AS INTEGER) AS Year, CAST({START} AS INTEGER) AS lower,
-         CAST({START} AS INTEGER) AS optimal, CAST({START} AS INTEGER) AS upper
-  FROM (SELECT DISTINCT Sex FROM v_sim)
+  SELECT Sex, CAST({FIRST - 1} AS INTEGER) AS Year, CAST(start AS INTEGER) AS lower,
+         CAST(start AS INTEGER) AS optimal, CAST(start AS INTEGER) AS upper
+  FROM starts
   UNION ALL
   SELECT n.Sex, n.Year,
          least(b.lower + 12, greatest(b.lower, coalesce(n.lower, b.lower + 12))),
          least(b.optimal + 12, greatest(b.optimal, coalesce(n.optimal, b.optimal + 12))),
          least(b.upper + 12, greatest(b.upper, coalesce(n.upper, b.upper + 12)))
   FROM band b JOIN need n ON n.Year = b.Year + 1 AND n.Sex = b.Sex)
-SELECT * FROM band WHERE Year >= {FIRST}""",
-        recursive=True,
-    )
-)
+SELECT * FROM band WHERE Year >= {FIRST}"""
+
+
+@query(with_views(_VIEWS, _by_key_sql((START, TARGET), (START, TARGET)), recursive=True))
 def schedule_band_by_key(spark, sf_dir):
     return schedule.schedule_band(V.sim(spark, sf_dir), START, FIRST, LAST, TARGET, keys=["Sex"])
+
+
+# Each key with its own start and target.
+@query(with_views(_VIEWS, _by_key_sql((774, 0.55), (786, 0.70)), recursive=True))
+def schedule_band_by_key_start(spark, sf_dir):
+    table = spark.createDataFrame([("Female", 774, 0.55), ("Male", 786, 0.70)], "Sex string, start_month int, target double")
+    return schedule.schedule_band(
+        V.sim(spark, sf_dir), table.drop("target"), FIRST, LAST, table.drop("start_month"), keys=["Sex"], ages=(60, 75)
+    )

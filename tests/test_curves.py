@@ -313,3 +313,22 @@ def test_intervals_of_scores(table):
         assert (r.beta, r.lower, r.upper) == pytest.approx((mean, mean - half, mean + half))
     short = forecast.mean_reverting_forecast(df.where("Year < 2002"), ["k"], 2, level=80).collect()
     assert all(r.lower is None and r.beta is not None for r in short)
+
+
+def test_coherent_rolling_errors_are_those_of_each_origin(table):
+    rng = np.random.default_rng(3)
+    rows = [
+        ("a", sex, 1990 + t, age, float(np.exp(rng.normal(0, 0.1) - 4 + 0.05 * age - 0.02 * t)))
+        for sex in ("Male", "Female") for t in range(8) for age in range(6)
+    ]
+    df = table(rows, "series string, Sex string, Year int, Age int, value double")
+    origins = folds.fold_table(df, 4, 2)
+    got = {(r.Sex, r.h): r.RMSE for r in folds.rolling_coherent_backtest(df, origins, ["series"], 2, 2).collect()}
+    actual = {(r[1], r[2], r[3]): r[4] for r in rows}
+    errors = {}
+    for o in origins.collect():
+        training = df.where(f"Year BETWEEN {o.train_from} AND {o.train_to}")
+        for r in rate_models.coherent_forecast(training, ["series"], 2, 2).collect():
+            errors.setdefault((r.Sex, r.Year - o.train_to), []).append(actual[r.Sex, r.Year, r.Age] - r.value)
+    assert got.keys() == errors.keys()
+    assert all(got[k] == pytest.approx(np.sqrt(np.mean(np.square(e)))) for k, e in errors.items())

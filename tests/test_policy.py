@@ -98,3 +98,9 @@ def test_year_filters(table):
     assert [r.Year for r in filters.at_horizon(pop, history, 2).collect()] == [2004]
     shifted = filters.shift_and_cap_years(pop, 1, 2003)
     assert sorted(r.Year for r in shifted.collect()) == [2001, 2002, 2003]
+
+
+def test_more_years_than_a_calendar_has_are_refused(spark):
+    policy_schedule(year_spine(spark, 1, 2000)).count()
+    with pytest.raises(Exception, match="more than 2000 years"):
+        policy_schedule(year_spine(spark, 1, 2001)).count()

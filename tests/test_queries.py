@@ -24,6 +24,7 @@ def test_only_eigenvectors_lack_sql():
     assert set(all_queries()) - set(all_oracles()) == {
         "principal_components",
         "coherent_forecast",
+        "rolling_coherent_backtest",
     }
 
 
