@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from agestrata.operators import accounting, components, curves, fertility, folds, forecast, rate_models
 from agestrata.plans import views as V
 from agestrata.plans.registry import query, r, rounded
-from agestrata.plans.views import FOLD_HORIZON, FOLD_TRAIN, with_views
+from agestrata.plans.tables import CELLS
+from agestrata.plans.views import FERTILITY_REGION, FOLD_HORIZON, FOLD_TRAIN, with_views
 
 # Rates of cells without events are raised to this before taking logs.
 FLOOR = 0.001
@@ -816,3 +817,36 @@ def migration_model(spark, sf_dir):
     ahead = rate_models.coherent_forecast(smooth.withColumnRenamed("smooth", "value"), ["series"], log=False)
     shared = curves.sum_difference(ahead, ["series"]).select("series", "Year", "Age", "half_sum")
     return rounded(shared, "half_sum")
+
+
+@query(
+    with_views(
+        ["v_file", "v_hist"],
+        f""", merged AS (
+  SELECT Year, Age, births / females AS rate, females AS exposure FROM {CELLS}
+  UNION ALL
+  SELECT Year, Age, rate, exposure FROM v_hist WHERE Year < (SELECT min(Year) FROM {CELLS})),
+logs AS (
+  SELECT Year, Age, ln(greatest(rate, {FLOOR})) AS value, greatest(rate, {FLOOR}) * exposure AS weight
+  FROM merged WHERE rate IS NOT NULL),
+near AS (
+  SELECT t.Year, t.Age, s.Age - t.Age AS d, s.value AS y, s.weight * pow(1 - pow(abs(s.Age - t.Age) / 6.0, 3), 3) AS w
+  FROM logs t JOIN logs s ON s.Year = t.Year AND s.Age BETWEEN t.Age - 5 AND t.Age + 5),
+smooth AS (
+  SELECT '{FERTILITY_REGION}' AS Region, Year, Age,
+         (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
+         / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d)) AS value
+  FROM near GROUP BY Year, Age)"""
+        + _drift_sql("smooth", ["Region"])
+        + f"SELECT Region, Year, Age, {r('value')} AS fitted FROM ahead",
+    )
+)
+def fertility_model(spark, sf_dir):
+    """A new fertility file joined to the history, smoothed over age, fitted and forecast.
+    Eleven components of twelve years leave nothing out."""
+    merged = fertility.merge_fertility(
+        V.fertility_history(spark, sf_dir), V.fertility_file(spark, sf_dir), FERTILITY_REGION
+    )
+    logs = curves.log_rates(merged.where("rate IS NOT NULL"), FLOOR).withColumn("Region", F.lit(FERTILITY_REGION))
+    smooth = curves.smooth_by_age(logs, ["Region"]).withColumnRenamed("smooth", "value")
+    return rounded(rate_models.component_forecast(smooth, ["Region"], components=11), "fitted")

@@ -209,26 +209,28 @@ def schedule_report(spark, sf_dir):
     return report.schedule_report(_band(spark, sf_dir), ["lower", "optimal", "upper"])
 
 
-@query(
-    with_views(
-        _VIEWS,
-        BAND
-        + f""", cells AS (
-  SELECT (Year - {FIRST}) % 3 AS row, (Year - {FIRST}) // 3 + 1 AS block, Year,
-         {LABEL.format('optimal')} AS optimal FROM schedule)
-SELECT CAST(row AS INTEGER) AS row, """
-        + ", ".join(
-            f"max({c}) FILTER (WHERE block = {b}) AS {c}_{b}" for b in (1, 2, 3) for c in ("Year", "optimal")
-        )
-        + " FROM cells GROUP BY row",
-        recursive=True,
+def _blocks_sql(columns):
+    labels = ", ".join(f"{LABEL.format(c)} AS {c}" for c in columns)
+    cells = ", ".join(
+        f"max({c}) FILTER (WHERE block = {b}) AS {c}_{b}" for b in (1, 2, 3) for c in ("Year", *columns)
     )
-)
+    return f""", cells AS (
+  SELECT (Year - {FIRST}) % 3 AS row, (Year - {FIRST}) // 3 + 1 AS block, Year, {labels} FROM schedule)
+SELECT CAST(row AS INTEGER) AS row, {cells} FROM cells GROUP BY row"""
+
+
+@query(with_views(_VIEWS, BAND + _blocks_sql(["optimal"]), recursive=True))
 def side_by_side(spark, sf_dir):
     labels = report.schedule_report(_band(spark, sf_dir), ["optimal"])
     return report.side_by_side(labels, ["optimal"], FIRST, LAST, block=3)
 
 
+@query(with_views(_VIEWS, BAND + _blocks_sql(["lower", "upper"]), recursive=True))
+def side_by_side_band(spark, sf_dir):
+    labels = report.schedule_report(_band(spark, sf_dir), ["lower", "upper"])
+    return report.side_by_side(labels, ["lower", "upper"], FIRST, LAST, block=3)
+
+
 @query(
     with_views(
         ["v_sim", "v_policy"],
