@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words of an anchor, words of the inner runs that decide whether it is one, and anchors
+from agestrata.llm.store import written
+
+#: Units of an anchor, units of the inner runs that decide whether it is one, and anchors
 #: that a fingerprint keeps.
 K, S, KEPT = 5, 2, 128
-#: Words split at ASCII white space; longer ones are cut, so that text without spaces has
-#: words too.
-UNIT = r"[^\x20\x09-\x0D]{1,24}"
+#: A unit is up to four code points of a word, counted from its start; words are split at
+#: ASCII white space. So an anchor spans some three words, texts of a few words have
+#: several, and text without spaces has them too.
+UNIT = r"[^\x20\x09-\x0D]{1,4}"
 #: Documents that one task has in order, on average, and ranges that come from quantiles;
 #: ranges are cut evenly beyond that.
-ORDERED, RANGES = 4_000, 128
+ORDERED, RANGES = 2_000, 128
 
 
 def _hashed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out_h``, a hash per word, and ``out_g``, one per inner run of S words."""
+    """Adds ``out_h``, a hash per unit, and ``out_g``, one per inner run of S words."""
     df = df.withColumn(f"{out}_u", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), 0))
     df = df.withColumn(f"{out}_h", F.transform(f"{out}_u", lambda w: F.xxhash64(w))).drop(f"{out}_u")
     h, n = F.col(f"{out}_h"), F.size(f"{out}_h")
@@ -28,10 +31,10 @@ def _hashed(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: ``struct<at, hash>`` for every closed syncmer of the whole ``text``, in
-    order: runs of K words whose smallest inner run of S words is the first or the last in
-    them. Whether a run is one depends on its own words only, so equal passages have equal
-    anchors wherever they stand. A text of too few words, or without a syncmer, has one
-    anchor, of all its words, and an empty or NULL text none.
+    order: runs of K units whose smallest inner run of S units is the first or the last in
+    them. Whether a run is one depends on its own units only, so equal passages have equal
+    anchors wherever they stand. A text of too few units, or without a syncmer, has one
+    anchor, of all its units, and an empty or NULL text none.
     """
     df = _hashed(df, text, out)
     h, g, n = F.col(f"{out}_h"), F.col(f"{out}_g"), F.size(f"{out}_h")
@@ -54,13 +57,17 @@ def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def sketch(found: Column, kept: int = KEPT) -> Column:
     """The ``kept`` smallest distinct anchors, by the upper 32 bits of their hashes: all
-    anchors of a text of some 250 words, an even sample of a longer one's."""
-    short = F.transform(found, lambda a: F.shiftrightunsigned(a["hash"], 32))
+    anchors of a text of some 150 words, an even sample of a longer one's."""
+    short = F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return F.slice(F.sort_array(F.array_distinct(short)), 1, kept)
 
 
 def as_text(marks: str) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """Eight hex digits for each anchor."""
+    unsigned = F.lit(2**32 - 1)
+    return F.array_join(
+        F.transform(marks, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(unsigned))), 8, "0")), ""
+    )
 
 
 def likeness(a: str, b: str, kept: int = KEPT) -> Column:
@@ -94,13 +101,17 @@ def _dealt(docs: DataFrame, ordered: int) -> DataFrame:
     return docs.withColumn("_range", choose(0, len(lows))).withColumn("_at", bucket.cast("long")).drop("_range")
 
 
-def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], ordered: int = ORDERED) -> DataFrame:
-    """``prepare`` of ``docs (doc_id, text)`` and, in ``_next``, the same columns of the next row
-    in order of (doc_id, NULL last, text), after the last those of the first.
+def with_next(
+    docs: DataFrame, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, ordered: int = ORDERED
+) -> DataFrame:
+    """``doc_id, text`` and what ``prepare`` adds to them, and as ``_next`` the same, without
+    doc_id, of the next row in order of (doc_id, NULL last, text), after the last that of
+    the first.
 
     No task orders more than some ``ordered`` rows: rows are dealt out by ranges of
     doc_id, and each range also gets the first document of the range after it. That one is
-    found from ids alone; texts are shuffled once.
+    found from ids alone and stored, a row per range, so that the planner knows whether
+    it can be broadcast; texts are then shuffled once.
     """
     rows = _dealt(docs.select("doc_id", "text"), ordered)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
@@ -112,13 +123,15 @@ def with_next(docs: DataFrame, prepare: Callable[[DataFrame], DataFrame], ordere
         F.coalesce(F.lag("_at").over(following), F.last("_at").over(everything)).alias("_before"),
         F.col("_at").alias("_own"), F.col("_r").getField("doc_id").alias("_first"),
     )
+    edges = written(edges, "fingerprints-edges")
     guards = rows.join(
         edges, (F.col("_at") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_first"))
     ).select("doc_id", "text", F.col("_before").alias("_at"), F.lit(1).alias("_guard"))
     order = Window.partitionBy("_at").orderBy("_guard", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
-    ready = prepare(rows.withColumn("_guard", F.lit(0)).unionByName(guards))
-    carried = [c for c in ready.columns if c not in ("doc_id", "_at", "_guard")]
-    return ready.withColumn("_next", F.lead(F.struct(*carried)).over(order)).where("_guard = 0")
+    both = prepare(rows.withColumn("_guard", F.lit(0)).unionByName(guards))
+    carried = [c for c in both.columns if c not in ("doc_id", "_at", "_guard")]
+    following = F.lead(F.struct(*carried)).over(order)
+    return both.withColumn("_next", following).where("_guard = 0").select("doc_id", *carried, "_next")
 
 
 def edited(text: str, following: str) -> Column:
@@ -149,8 +162,7 @@ def edit_report(docs: DataFrame, kept: int = KEPT) -> DataFrame:
         return anchors(df, text, out).withColumn(out, sketch(F.col(out), kept))
 
     both = with_next(docs, lambda df: marked(df, "text", "_a")).select(
-        "doc_id", "text", "_a", F.col("_next").getField("_a").alias("_c"),
-        edited("text", "_next.text").alias("_edited"),
+        "doc_id", "text", "_a", F.col("_next._a").alias("_c"), edited("text", "_next.text").alias("_edited")
     )
     both = marked(both, "_edited", "_b")
     return both.select(

@@ -20,7 +20,7 @@ def test_edits_and_order_over_many_ranges(spark, documents):
     ids = sorted(rng.sample(range(10**6), 300))
     docs = documents(list(zip(ids, texts))).repartition(7)
     want = {i: hashlib.sha256(e.encode()).hexdigest() for i, e in zip(ids, _edited(texts))}
-    after = fp.with_next(docs, lambda df: df, ordered=10).selectExpr("doc_id", "_next.text AS t").collect()
+    after = fp.with_next(docs, ordered=10).selectExpr("doc_id", "_next.text AS t").collect()
     assert {r["doc_id"]: r["t"] for r in after} == dict(zip(ids, texts[1:] + texts[:1]))
     rows = fp.edit_report(docs).collect()
     assert {r["doc_id"]: r["edited_sha256"] for r in rows} == want
@@ -29,8 +29,9 @@ def test_edits_and_order_over_many_ranges(spark, documents):
 
 def test_anchors_are_closed_and_free_of_context(documents):
     rng = random.Random(6)
-    passage = [f"p{rng.random()}" for _ in range(60)]
-    before, after = [[f"q{rng.random()}" for _ in range(30)] for _ in range(2)]
+    # Words of one unit each.
+    passage = [f"{rng.randrange(16**4):04x}" for _ in range(60)]
+    before, after = [[f"{rng.randrange(16**4):04x}" for _ in range(30)] for _ in range(2)]
     docs = documents([" ".join(passage), " ".join(before + passage + after)])
     rows = fp.anchors(docs.select("doc_id", "text"), "text", "a").orderBy("doc_id").collect()
     alone, within = [[(a["at"], a["hash"]) for a in r["a"]] for r in rows]
