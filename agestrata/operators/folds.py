@@ -31,9 +31,9 @@ def fold_table(years: DataFrame, train: int, horizon: int) -> DataFrame:
 
 
 def fold_years(folds: DataFrame, part: str) -> DataFrame:
-    """``id, Year`` for the ``train`` or ``test`` years of each origin. Joining on
+    """``id, train_to, Year`` for the ``train`` or ``test`` years of each origin. Joining on
     Year is then an equi-join, not a range join."""
-    return folds.select("id", F.explode(F.sequence(f"{part}_from", f"{part}_to")).alias("Year"))
+    return folds.select("id", "train_to", F.explode(F.sequence(f"{part}_from", f"{part}_to")).alias("Year"))
 
 
 def horizon_number(rolling: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -84,13 +84,12 @@ def rolling_rate_forecast(
     """``keys, id, h, Year, Age, fitted``: for each origin, components of the training
     curves, scores extended with drift, curves rebuilt. The origin is one more key, so
     all origins are one job."""
-    keyed = [*keys, "id"]
+    # The end of training goes with the origin through the whole job, as one more key.
+    keyed = [*keys, "id", "train_to"]
     training = curves.join(fold_years(folds, "train"), "Year")
     fitted = component_forecast(training, keyed, horizon, components)
-    last = folds.select("id", F.col("train_to").alias("_last"))
-    return fitted.join(last, "id").select(
-        *keyed, (F.col("Year") - F.col("_last")).cast("int").alias("h"), "Year", "Age", "fitted"
-    )
+    ahead = (F.col("Year") - F.col("train_to")).cast("int").alias("h")
+    return fitted.select(*keys, "id", ahead, "Year", "Age", "fitted")
 
 
 def rolling_rate_backtest(
@@ -120,13 +119,11 @@ def rolling_coherent_forecast(
 ) -> DataFrame:
     """``keys, id, h, Sex, Year, Age, value``: ``coherent_forecast`` of both sexes from the
     training years of each origin, all origins in one job."""
-    keyed = [*keys, "id"]
+    keyed = [*keys, "id", "train_to"]
     training = df.join(fold_years(folds, "train"), "Year")
     fitted = coherent_forecast(training, keyed, horizon, components, value, log)
-    last = folds.select("id", F.col("train_to").alias("_last"))
-    return fitted.join(last, "id").select(
-        *keyed, (F.col("Year") - F.col("_last")).cast("int").alias("h"), "Sex", "Year", "Age", "value"
-    )
+    ahead = (F.col("Year") - F.col("train_to")).cast("int").alias("h")
+    return fitted.select(*keys, "id", ahead, "Sex", "Year", "Age", "value")
 
 
 def rolling_coherent_backtest(

@@ -136,7 +136,7 @@ def folds(spark, sf_dir) -> DataFrame:
 
 def rolling_sim(spark, sf_dir) -> DataFrame:
     """Each origin's test years of the simulation."""
-    return sim(spark, sf_dir).join(fold_years(folds(spark, sf_dir), "test"), "Year")
+    return sim(spark, sf_dir).join(fold_years(folds(spark, sf_dir), "test").drop("train_to"), "Year")
 
 
 SQL_VIEWS = {
