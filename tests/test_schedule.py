@@ -160,3 +160,55 @@ def test_a_key_without_a_year_does_not_stop_the_others(table):
     )
     got = {(r.country, r.Year): r.age_months for r in schedule.capped_schedule(need, 780, 2000, 2001, ["country"]).collect()}
     assert got == {("a", 2000): 790, ("a", 2001): 795, ("b", 2000): None, ("b", 2001): None}
+
+
+def _stored(spark, tmp_path, rows):
+    path = str(tmp_path / "sim")
+    spark.createDataFrame(rows, SIM).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+
+
+def test_search_and_its_ratios_read_the_simulation_once(spark, tmp_path):
+    sim = _stored(spark, tmp_path, simulated(3, range(2024, 2026)))
+    ratios = schedule.candidate_ratios(sim, 804, 2024, 2025)
+    bands = {name: name for name in ("lower", "optimal", "upper")}
+    band = schedule.capped_schedule(schedule.need_months(ratios, 0.2), 804, 2024, 2025, columns=bands)
+    plan = _final_plan(schedule.searched_ratios(ratios, band))
+    assert plan.count("FileScan parquet") == 1
+
+
+def test_ratios_of_a_search_equal_a_second_pass(table):
+    sim = table(simulated(5, range(2024, 2027)), SIM)
+    ratios = schedule.candidate_ratios(sim, 804, 2024, 2026)
+    band = schedule.schedule_band(sim, 804, 2024, 2026, 0.2)
+    once = schedule.searched_ratios(ratios, band).orderBy("Policy", "Year").collect()
+    again = schedule.oadr_under_band(sim, band, fill=False).orderBy("Policy", "Year").collect()
+    assert [(r.Policy, r.Year) for r in once] == [(r.Policy, r.Year) for r in again]
+    for a, b in zip(once, again):
+        assert (a.Lo, a.Hi, a.OADR) == pytest.approx((b.Lo, b.Hi, b.OADR))
+
+
+def test_a_pyramid_reads_the_years_it_shows(spark, tmp_path):
+    from agestrata.operators import summary
+
+    sim = _stored(spark, tmp_path, simulated(3, range(2024, 2030)))
+    history = sim.where("Rep = 0 AND Year < 2026").drop("Rep")
+    df = summary.pyramid_table(history, sim, ahead=3)
+    rows = df.where("Mean IS NOT NULL").collect()
+    assert {r.Year for r in rows} == {2028}
+
+
+def test_starts_outside_the_stated_ages_are_refused(spark, table):
+    sim = table([("a", *r) for r in simulated(2, range(2024, 2026))], "country string, " + SIM)
+    low = spark.createDataFrame([("a", 700)], "country string, start_month int")
+    with pytest.raises(Exception, match="leaves the stated ages"):
+        schedule.candidate_ratios(sim, low, 2024, 2025, ["country"], ages=(60, 80)).count()
+    fine = spark.createDataFrame([("a", 804)], "country string, start_month int")
+    one = schedule.candidate_ratios(sim, 804, 2024, 2025, ["country"])
+    by_key = schedule.candidate_ratios(sim, fine, 2024, 2025, ["country"], ages=(60, 80))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, by_key.collect()))
