@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from agestrata.llm.store import in_small_batches
+
 #: Orders of the n-grams of the blended spectrum.
 ORDERS = (1, 2, 3)
 #: Bounds of the fit: documents per language, landmarks per language, and the longest
@@ -190,24 +193,39 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS,
     return fit([r["text"] for r in sample], [r["lang"] for r in sample], landmarks, ridge)
 
 
-def identify(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of ``docs`` with ``lang_pred, score`` for every whole ``text``: only the text
-    is an input. NULL, texts without a letter and all texts, if no language was learned,
-    are ``und`` with score 0. A text with letters of which the landmarks had none gets the
-    first language, with the score of a tie. Repeated rows repeat; other columns are left
-    out, whatever their names."""
+def _identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``docs``, renamed ``c0, c1`` and so on, and ``lang_pred, score`` of its
+    ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(columns)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = predict(shared.value, batch.column(n).to_pylist())
+            found = predict(shared.value, batch.column(at).to_pylist())
+            languages, scores = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names[:n], "lang_pred", "score"],
+                [*batch.columns, languages, scores], [*batch.schema.names, "lang_pred", "score"]
             )
 
-    types = docs.select(*[f"`{c}`" for c in columns]).schema
-    return docs.select(*[f"`{c}`" for c in columns], F.col("text").alias("_text")).mapInArrow(
-        run, types.add("lang_pred", "string").add("score", "double")
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    shape = StructType(list(named.schema.fields)).add("lang_pred", "string").add("score", "double")
+    return in_small_batches(named).mapInArrow(run, shape)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, lang_pred, score`` for every whole ``text``: only the text is an input. NULL,
+    texts without a letter and all texts, if no language was learned, are ``und`` with
+    score 0. A text with letters of which the landmarks had none gets the first language,
+    with the score of a tie. Repeated rows repeat; other columns are left out, whatever
+    their names."""
+    found = _identified(docs.select("doc_id", "text"), model)
+    return found.select(F.col("c0").alias("doc_id"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with a score of ``least`` or more,
+    with it in ``lang``. Texts that are ``und`` go. All columns stay, whatever their names."""
+    found = _identified(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(
+        *[(F.col("lang_pred") if c == "lang" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
     )

@@ -1,5 +1,6 @@
 """Best-fit packing of token sequences by a configuration linear program."""
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from agestrata.llm.store import written
+from agestrata.llm.store import in_small_batches, written
 
 #: Rows of one length that one task ranks, on average.
 RANKED = 50_000
@@ -32,19 +33,26 @@ class _Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        ranks = {
-            bytes(map(_BYTE_OF.__getitem__, token)): i
-            for token, i in self.slow.get_vocab(with_added_tokens=False).items()
-        }
+
+        self.path, self._slow = path, None
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        ranks = {bytes(map(_BYTE_OF.__getitem__, token)): i for token, i in vocabulary.items()}
         self.fast = tiktoken.Encoding(
             "same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.unchecked = self.CHECKED
 
+    @property
+    def slow(self):
+        """The tokenizer itself; not kept once the first texts are checked, it is large."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
     def _slowly(self, text: str) -> np.ndarray:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -56,6 +64,8 @@ class _Encoder:
             self.unchecked -= 1
             if not np.array_equal(ids, self._slowly(text)):
                 raise ValueError("the tokenizer file is not a byte-level BPE in order of its merges")
+            if not self.unchecked:
+                self._slow = None
         return ids
 
 
@@ -101,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 

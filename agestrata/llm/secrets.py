@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from agestrata.llm.store import in_small_batches
+
 #: Kinds of spans, in the order in which those at one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt", "encoded")
 BASE = KINDS[:3]
@@ -237,7 +239,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(
         run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
     )
 
@@ -264,4 +266,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     columns[count] = pa.array(lengths, batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

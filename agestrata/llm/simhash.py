@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from agestrata.llm.components import connected_components
-from agestrata.llm.store import written
+from agestrata.llm.store import in_small_batches, written
 
 SEED = 42
 BYTES = 8
@@ -51,7 +51,7 @@ def simhash(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], ["doc_id", "key", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", row_key()).mapInArrow(run, f"doc_id {kind}, key long, fp long")
+    return in_small_batches(docs.select("doc_id", "text", row_key())).mapInArrow(run, f"doc_id {kind}, key long, fp long")
 
 
 def row_key() -> Column:

@@ -4,10 +4,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = str(8 << 20)
 _own: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,17 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a lost executor loses nothing, and the planner knows the size."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _written[table] = folder
+    return table
 
 
-def remove(df: DataFrame) -> None:
+def remove(table: DataFrame) -> None:
     """Delete the files of a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(table))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after rows of its session travel to Python in batches of ``BATCH_BYTES``,
+    unless the user has set another size: a task holds several batches at a time, in the
+    JVM and in Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+    return df

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agestrata.llm.store import new_folder, written
+from agestrata.llm.store import in_small_batches, new_folder, written
 
 VERSION = b"WARC/1.1"
 #: A file is closed when it holds so many bytes; readers hold one whole file.
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["file"])
 
-    pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string").write.parquet(f"{folder}/manifest")
+    in_small_batches(pages.select("page_id", "url", "html", "refers_to")).mapInArrow(run, "file string").write.parquet(f"{folder}/manifest")
 
 
 @dataclass

@@ -5,7 +5,6 @@ columns of ``documents``.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from agestrata.llm import langid, mixing, packing, secrets, simhash
 from agestrata.llm.queries import LEAST_SCORE, TOKENIZER, language_model, table
@@ -15,12 +14,7 @@ from agestrata.llm.store import new_folder
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised, with it in ``lang``. Those without letters go,
     and those whose best language scores less than ``LEAST_SCORE``."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    found = langid.identify(whole, language_model(docs), ("_row",))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(
-        *[(F.col("lang_pred") if c == "lang" else F.col("_row").getField(c)).alias(c) for c in docs.columns]
-    )
+    return langid.accepted(docs, language_model(docs), LEAST_SCORE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
