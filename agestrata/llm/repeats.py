@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from agestrata.llm.store import written
+from agestrata.llm.store import in_small_batches, remove, written
 
 #: Words in a seed.
 SEED_WORDS = 5
@@ -71,7 +71,7 @@ def _seed_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"hash long, doc_id {kind}, at int")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"hash long, doc_id {kind}, at int")
 
 
 def _occurrences(docs: DataFrame, met: DataFrame, window: int, seed: int) -> DataFrame:
@@ -192,6 +192,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) ->
     )
     mark = (F.col("at") * 2 + (F.col("n") > HOT).cast("int")).alias("mark")
     marked = seeds.join(met, "hash").select("doc_id", mark).groupBy("doc_id").agg(F.collect_set("mark").alias("met"))
+    marked = written(marked, "repeats-marked")
+    remove(seeds)
+    remove(met)
     found = _seen_before(_occurrences(texts, marked, window, seed), kind)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "start")
     first = F.min(place).over(Window.partitionBy("key"))
