@@ -17,7 +17,7 @@ from agestrata.llm import (
     simhash,
     warc,
 )
-from agestrata.llm.store import new_folder
+from agestrata.llm.store import new_folder, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Documents held out of the fit, and the least score of a language that is accepted.
@@ -42,19 +42,19 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent twice, as after a lost reply, and counts once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     blank = F.lit(" \t\n\x0b\x0c\r")
-    trimmed = docs.withColumn("text", F.btrim("text", blank))
+    trimmed = docs.withColumn("text", F.btrim("text", blank)).withColumn("_h", F.sha2("text", 256))
     changed = F.octet_length("text") != F.octet_length(F.btrim("text", blank))
-    first = docs.groupBy(F.sha2(F.btrim("text", blank), 256).alias("h")).agg(F.min("doc_id").alias("kept"))
-    copies = (
-        trimmed.withColumn("h", F.sha2("text", 256)).join(first, "h").where("doc_id != kept").drop("h", "kept")
-    )
+    first = trimmed.groupBy("_h").agg(F.min("doc_id").alias("_kept"), F.count("*").alias("_n")).where("_n > 1")
+    # Stored, so that its size is known; the other side has counts in place of texts.
+    first = written(first.drop("_n"), "rollup-copies")
+    copies = rollups.counted(trimmed, also=["_h"]).join(first, "_h").where("doc_id != _kept")
     before = rollups.counted(docs.where(changed))
     after = rollups.counted(docs.where(changed).withColumn("text", F.btrim("text", blank)))
     rollup = rollups.Rollup(spark, new_folder(spark, "rollup"))
     for _ in range(2):
         rollup.commit("arrived", rollups.inserts(rollups.counted(docs)))
         rollup.commit("recounted", rollups.revisions(before, after))
-        rollup.commit("copies-gone", rollups.deletes(rollups.counted(copies)))
+        rollup.commit("copies-gone", rollups.deletes(copies))
     return rollup.totals()
 
 

@@ -1,7 +1,7 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed
 batches."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +24,13 @@ def byte_count(text: str) -> Column:
 TOKENIZERS: Mapping[str, Column] = {"words-1": word_count, "utf8-bytes-1": byte_count}
 
 
-def counted(docs: DataFrame, tokenizers: Mapping = TOKENIZERS) -> DataFrame:
-    """``doc_id, source, lang, tokenizer, tokens``: a row per document and tokenizer
+def counted(docs: DataFrame, tokenizers: Mapping = TOKENIZERS, also: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source, lang, *also, tokenizer, tokens``: a row per document and tokenizer
     version, in one pass over the texts. A tokenizer is a function from a column name to
     a count column. NULL texts have 0 tokens; NULL sources and languages stay."""
     counts = [F.struct(F.lit(k).alias("tokenizer"), f("text").alias("tokens")) for k, f in tokenizers.items()]
-    return docs.select("doc_id", "source", "lang", F.explode(F.array(*counts)).alias("c")).select(
-        "doc_id", "source", "lang", "c.tokenizer", "c.tokens"
-    )
+    kept = ["doc_id", "source", "lang", *also]
+    return docs.select(*kept, F.explode(F.array(*counts)).alias("_c")).select(*kept, "_c.tokenizer", "_c.tokens")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
