@@ -179,13 +179,15 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS,
         "lang is not null and text is not null"
     ).where((F.length("text") <= FIT_CHARS) & F.col("text").rlike(r"\p{L}")).withColumn("_d", F.xxhash64("text"))
     counts = fits.groupBy("lang").agg(F.approx_count_distinct("_d").alias("n")).collect()
-    limits = [(r["lang"], int(2.0**64 * min(1.0, SPARE * rows / max(1, r["n"]))) - 2**63) for r in counts]
-    limits = labelled.sparkSession.createDataFrame(
-        [(lang, min(limit, 2**63 - 1)) for lang, limit in limits], "lang string, _most long"
-    )
+    if not counts:
+        return fit([], [], landmarks, ridge)
+    limits = []
+    for r in counts:
+        share = min(1.0, SPARE * rows / max(1, r["n"]))
+        limits += [F.lit(r["lang"]), F.lit(min(2**63 - 1, int(2.0**64 * share) - 2**63)).cast("long")]
     first = Window.partitionBy("lang").orderBy("_d")
     sample = (
-        fits.join(limits, "lang").where("_d <= _most")
+        fits.where(F.col("_d") <= F.element_at(F.create_map(*limits), F.col("lang")))
         .groupBy("lang", "_d").agg(F.min("text").alias("text"))
         .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows)
         .orderBy("lang", "_n").collect()
