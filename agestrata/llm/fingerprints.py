@@ -80,8 +80,9 @@ def likeness(a: str, b: str, kept: int = KEPT) -> Column:
 
 
 def _dealt(docs: DataFrame, ordered: int) -> DataFrame:
-    """``docs`` with ``_at``, a number that grows with doc_id, for some ``ordered`` rows each:
-    ranges between quantiles, cut evenly. NULL ids get the last."""
+    """``docs`` with ``_range`` and ``_at``, numbers that grow with doc_id: ranges between
+    quantiles, and cells of some ``ordered`` rows each, into which they are cut evenly. NULL
+    ids get the last."""
     shares = F.array(*[F.lit(i / RANGES) for i in range(RANGES + 1)])
     n, marks = docs.agg(F.count("*"), F.percentile_approx("doc_id", shares, F.lit(20_000))).first()
     marks = sorted(set(marks or [0]))
@@ -98,7 +99,8 @@ def _dealt(docs: DataFrame, ordered: int) -> DataFrame:
     cell = F.floor((F.col("doc_id") - F.lit(lows)[at]) / F.lit(widths)[at] * cells)
     cell = F.least(F.greatest(cell, F.lit(0)), F.lit(cells - 1))
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(lows) * cells)).otherwise(at * cells + cell)
-    return docs.withColumn("_range", choose(0, len(lows))).withColumn("_at", bucket.cast("long")).drop("_range")
+    ranges = F.when(F.col("doc_id").isNull(), F.lit(len(lows))).otherwise(choose(0, len(lows)))
+    return docs.withColumn("_range", ranges).withColumn("_at", bucket.cast("long"))
 
 
 def with_next(
@@ -115,21 +117,27 @@ def with_next(
     """
     rows = _dealt(docs.select("doc_id", "text"), ordered)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    edges = rows.groupBy("_at").agg(F.min(rank).alias("_r"))
-    # A row per range, that is per ``ordered`` documents.
-    following = Window.orderBy("_at")
+    edges = rows.groupBy("_range", "_at").agg(F.min(rank).alias("_r"))
+    # The cell before the first of a range is the last of the range before; there are
+    # RANGES of them at most, so their order is one small task.
+    ends = edges.groupBy("_range").agg(F.max("_at").alias("_end"))
+    following = Window.orderBy("_range")
     everything = following.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select(
-        F.coalesce(F.lag("_at").over(following), F.last("_at").over(everything)).alias("_before"),
-        F.col("_at").alias("_own"), F.col("_r").getField("doc_id").alias("_first"),
+    ends = ends.select(
+        "_range", F.coalesce(F.lag("_end").over(following), F.last("_end").over(everything)).alias("_end")
+    )
+    within = Window.partitionBy("_range").orderBy("_at")
+    edges = edges.withColumn("_lag", F.lag("_at").over(within)).join(ends, "_range").select(
+        F.coalesce("_lag", "_end").alias("_before"), F.col("_at").alias("_own"),
+        F.col("_r").getField("doc_id").alias("_first"),
     )
     edges = written(edges, "fingerprints-edges")
     guards = rows.join(
         edges, (F.col("_at") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_first"))
-    ).select("doc_id", "text", F.col("_before").alias("_at"), F.lit(1).alias("_guard"))
+    ).select("doc_id", "text", "_range", F.col("_before").alias("_at"), F.lit(1).alias("_guard"))
     order = Window.partitionBy("_at").orderBy("_guard", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
     both = prepare(rows.withColumn("_guard", F.lit(0)).unionByName(guards))
-    carried = [c for c in both.columns if c not in ("doc_id", "_at", "_guard")]
+    carried = [c for c in both.columns if c not in ("doc_id", "_range", "_at", "_guard")]
     following = F.lead(F.struct(*carried)).over(order)
     return both.withColumn("_next", following).where("_guard = 0").select("doc_id", *carried, "_next")
 
