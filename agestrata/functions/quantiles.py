@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BINS = 64
+BINS = 32
 # Of the sketch; bins of a large group hold some 1 / BINS of its values.
-ACCURACY = 512
+ACCURACY = 256
 # A group's values meet its edges in so many parts, so that no task gets a large group.
-PARTS = 16
+PARTS = 8
 
 
 def interval_probabilities(level: float) -> dict[str, float]:
@@ -63,35 +63,50 @@ def group_quantiles(
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_m"))
     )
+    # All that is known of a group goes in one array: edges, number of values, their sum,
+    # and whether one is missing. Every use below then reads the same aggregate, which
+    # Spark computes once; columns of their own would be pruned differently for each.
     groups = counted.groupBy(*keys).agg(
-        F.expr("coalesce(sum(CASE WHEN _v IS NOT NULL THEN _m END), 0L) AS _n"),
-        F.expr("count(*) > count(_v) AS _null"),
-        F.expr("sum(_v * _m) AS _sum"),
-        F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], ACCURACY).alias("_edges"),
+        F.concat(
+            F.coalesce(
+                F.percentile_approx("_v", [i / BINS for i in range(1, BINS)], ACCURACY),
+                F.array_repeat(F.lit(None).cast("double"), BINS - 1),
+            ),
+            F.array(
+                F.expr("coalesce(sum(CASE WHEN _v IS NOT NULL THEN _m END), 0D)"),
+                F.sum(F.col("_v") * F.col("_m")),
+                F.expr("CASE WHEN count(*) > count(_v) THEN 1D ELSE 0D END"),
+            ),
+        ).alias("_g")
     )
+    size = f"CAST(_g[{BINS - 1}] AS BIGINT) AS _n"
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")
     part = F.pmod(F.hash("_v"), F.lit(PARTS)).alias("_part")
-    dealt = counted.where("_v IS NOT NULL").select(*keys, "_v", "_m", part)
-    inner_edges = " + ".join(f"CAST(_v > _edges[{i}] AS INT)" for i in range(BINS - 1))
+    # Missing values count nothing and have no bin. A filter would be pushed below the
+    # counts, which would then be made a second time.
+    dealt = counted.select(*keys, "_v", F.expr("CASE WHEN _v IS NULL THEN 0L ELSE _m END AS _m"), part)
+    inner_edges = " + ".join(f"CAST(_v > _g[{i}] AS INT)" for i in range(BINS - 1))
     on = [*keys, "_part"]
 
     def binned(of_group: DataFrame) -> DataFrame:
-        return _with(dealt, of_group.select("*", parts), on).withColumn("_bin", F.expr(inner_edges))
+        # A part of a group is a row to build on; hashing it spares a sort of the values.
+        right = of_group.select("*", parts).hint("shuffle_hash")
+        return _with(dealt, right, on).withColumn("_bin", F.expr(inner_edges)).drop("_g")
 
     # Ranks wanted: two for every probability, the same one twice at the upper end.
     position = {name: f"((_n - 1) * {float(p)!r}D)" for name, p in probs.items()}
     ranks = [f"least(cast(floor({at}) AS BIGINT) + {up}, _n)" for at in position.values() for up in (1, 2)]
-    counts = binned(groups.select(*keys, "_edges")).groupBy(*keys, "_bin").agg(F.sum("_m").alias("_c"))
+    counts = binned(groups).groupBy(*keys, "_bin").agg(F.sum("_m").alias("_c"))
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
     wanted = (
-        _with(counts.withColumn("_upto", F.sum("_c").over(by_bin)), groups.select(*keys, "_n"), keys)
+        _with(counts.withColumn("_upto", F.sum("_c").over(by_bin)), groups.select(*keys, F.expr(size)), keys)
         .withColumn("_before", F.expr("_upto - _c"))
         .where(" OR ".join(f"(_before < {r} AND {r} <= _upto)" for r in ranks))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_before"))).alias("_starts"))
     )
     held = (
-        binned(_with(groups.select(*keys, "_edges", "_n"), wanted, keys))
+        binned(_with(groups.select("*", F.expr(size)), wanted, keys))
         .withColumn("_start", F.expr("try_element_at(_starts, _bin)"))
         .where("_start IS NOT NULL")
         .select(*keys, "_bin", "_v", "_m", "_n", "_start")
@@ -102,10 +117,13 @@ def group_quantiles(
         .groupBy(*keys)
         .agg(*[F.expr(f"min(CASE WHEN _upto >= {r} THEN _v END) AS _x{i}") for i, r in enumerate(ranks)])
     )
+    whole = groups.select(
+        *keys, F.expr(size), F.expr(f"_g[{BINS}] AS _sum"), F.expr(f"_g[{BINS + 1}] > 0 AS _null")
+    )
     out = []
     for i, (name, at) in enumerate(position.items()):
         low, high = f"_x{2 * i}", f"_x{2 * i + 1}"
         out.append(_visible(F.col("_null"), F.expr(f"{low} + ({at} - floor({at})) * ({high} - {low})"), na_rm).alias(name))
     if mean:
         out.append(_visible(F.col("_null"), F.expr("CASE WHEN _n > 0 THEN _sum / _n END"), na_rm).alias(mean))
-    return _with(groups.drop("_edges"), found, keys, "left").select(*keys, *out)
+    return _with(whole, found, keys, "left").select(*keys, *out)
