@@ -167,6 +167,12 @@ LOGS = f""", logs AS (
          greatest(rate, {FLOOR}) * exposure AS weight
   FROM v_rates)"""
 
+# The line through the neighbours, at their middle; with one age in reach, its value.
+LINEAR = """CASE WHEN sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d) <= 1e-12 * sum(w) * sum(w * d * d)
+              THEN sum(w * y) / nullif(sum(w), 0)
+              ELSE (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
+                   / nullif(sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d), 0) END"""
+
 SMOOTH = (
     LOGS
     + """, near AS (
@@ -176,8 +182,9 @@ SMOOTH = (
                              AND s.Age BETWEEN t.Age - 5 AND t.Age + 5),
 smooth AS (
   SELECT series, Sex, Year, Age,
-         (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
-         / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d)) AS value
+         """
+    + LINEAR
+    + """ AS value
   FROM near GROUP BY series, Sex, Year, Age)"""
 )
 
@@ -223,8 +230,7 @@ near AS (
   FROM gaps t JOIN gaps s ON s.series = t.series AND s.Sex = t.Sex AND s.Year = t.Year
                              AND s.Age BETWEEN t.Age - 5 AND t.Age + 5)
 SELECT series, Sex, Year, Age,
-       {r("""(sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
-             / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d))""")} AS smooth
+       {r(LINEAR)} AS smooth
 FROM near GROUP BY series, Sex, Year, Age"""
 
 
@@ -791,8 +797,9 @@ near AS (
                                AND s.Age BETWEEN t.Age - 5 AND t.Age + 5),
 smooth AS (
   SELECT series, Sex, Year, Age,
-         (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
-         / nullif(sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d), 0) AS value
+         """
+    + LINEAR
+    + """ AS value
   FROM near GROUP BY series, Sex, Year, Age)"""
 )
 
@@ -834,8 +841,7 @@ near AS (
   FROM logs t JOIN logs s ON s.Year = t.Year AND s.Age BETWEEN t.Age - 5 AND t.Age + 5),
 smooth AS (
   SELECT '{FERTILITY_REGION}' AS Region, Year, Age,
-         (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))
-         / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d)) AS value
+         {LINEAR} AS value
   FROM near GROUP BY Year, Age)"""
         + _drift_sql("smooth", ["Region"])
         + f"SELECT Region, Year, Age, {r('value')} AS fitted FROM ahead",
