@@ -320,9 +320,9 @@ def merge_fertility(spark, sf_dir):
 @query(
     with_views(
         ["v_pop"],
-        """SELECT m.Year, m.Age, m.Population AS Male, f.Population AS Female
-           FROM v_pop m JOIN v_pop f ON m.Year = f.Year AND m.Age = f.Age
-           WHERE m.Sex = 'Male' AND f.Sex = 'Female'""",
+        """SELECT Year, Age, max(Population) FILTER (WHERE Sex = 'Male') AS Male,
+                  max(Population) FILTER (WHERE Sex = 'Female') AS Female
+           FROM v_pop GROUP BY Year, Age""",
     )
 )
 def pair_sexes(spark, sf_dir):
