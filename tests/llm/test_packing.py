@@ -104,3 +104,24 @@ def test_one_length_holds_most_rows(documents, monkeypatch):
     rng = random.Random(1)
     docs = [(i, "same text here" if i % 3 else " ".join("word" for _ in range(rng.randrange(9)))) for i in range(900)]
     _check(pk.pack(documents(docs), TOKENIZER, most=16).collect(), docs, 16)
+
+
+def test_added_tokens_in_texts_are_found(documents):
+    t = Tokenizer.from_file(TOKENIZER)
+    texts = [
+        "a <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", " <|endoftext|>\n\n <|endoftext|", "<|endoftext|>'s  é",
+        "z" * 6000 + "<|endoftext|>", "none",
+    ]
+    want = [t.encode(text, add_special_tokens=False).ids for text in texts]
+    assert want[0] == [64, 220, 50256, 2124]
+    for unchecked in (0, 5):
+        encode = pk._Encoder(TOKENIZER)
+        encode.unchecked = encode.unchecked_added = unchecked
+        assert [encode(text).tolist() for text in texts] == want
+    encode.alike = False
+    assert [encode(text).tolist() for text in texts] == want
+    rows = {r["doc_id"]: r for r in pk.pack(documents(texts), TOKENIZER).collect() if r["piece"] == 0}
+    for i, ids in enumerate(want):
+        ids = np.array([*ids, 0], "<u4")
+        if len(ids) <= 2048:
+            assert (rows[i]["length"], rows[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
