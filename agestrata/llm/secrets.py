@@ -23,11 +23,20 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|-(?!----))*)-----END \1-----")
+#: White space and slashes in a key may be escaped, as in JSON, more than once too.
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
+    r"((?:[A-Za-z0-9+/=\s:,]|\\+(?:[nrt/]|u000[9AaDd])|-(?!----))*)-----END \1-----"
+)
+ESCAPED = re.compile(r"\\+([nrt/]|u000[9AaDd])")
 # The first segment of a signed token is the base64 of an object, so it starts with {".
 JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){16,}(?![0-9A-Fa-f])")
+# The shortest credential, as token=abcdef, has 12 bytes: 16 characters, or 24 hex digits.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
+# Lines of base64 or hex with nothing else in them but for the ends of the first and last.
+BREAK = re.compile(r"[ \t]*+(?:\r\n?|\n|\\+r\\+n|\\+n)[ \t]*+")
+LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -149,13 +158,21 @@ def is_signed_token(run: str) -> bool:
     )
 
 
+def _decode16(run: str) -> bytes | None:
+    try:
+        return bytes.fromhex(run)
+    except ValueError:
+        return None
+
+
 def _holds_secret(data: bytes) -> bool:
-    """Decoded text in which a credential stands."""
+    """Decoded text in which a credential stands, or something that is one once decoded;
+    decoding shortens it, so that ends."""
     try:
-        text = data.decode("ascii")
+        text = data.decode("utf-8")
     except UnicodeDecodeError:
         return False
-    return text.isprintable() and any(kind != "hex" for kind, _, _ in base_spans(text))
+    return any(kind != "hex" for kind, _, _ in base_spans(text)) or bool(confirmed_spans(text))
 
 
 def _confirmed(data: bytes | None) -> str | None:
@@ -168,27 +185,66 @@ def _confirmed(data: bytes | None) -> str | None:
     return "encoded" if _holds_secret(data) else None
 
 
+def _starts(text: str, start: int) -> list[int]:
+    """Where a run found at ``start`` may begin: the letter of an escape is not part of it."""
+    return [start, start + 1] if text[start - 1 : start] == "\\" and text[start] in "nrt" else [start]
+
+
+def _line_spans(text: str) -> list[tuple[str, int, int]]:
+    """Spans over several lines: those of one width, with or without the line before, which
+    may begin further right, and the one after, which may be shorter."""
+    found = []
+    for m in LINES.finditer(text) if "\n" in text or "\\n" in text else ():
+        breaks = list(BREAK.finditer(text, m.start(), m.end()))
+        lines = list(zip([m.start(), *(b.end() for b in breaks)], [*(b.start() for b in breaks), m.end()]))
+        lines[0] = (_starts(text, m.start())[-1], lines[0][1])
+        # The padding of the last line is no part of its width.
+        width = [e - s for s, e in lines]
+        width[-1] = len(text[slice(*lines[-1])].rstrip("="))
+        i = done = 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and width[j] == width[i]:
+                j += 1
+            tails = (j + 1, j) if j < len(lines) else (j,)
+            heads = (i, i - 1) if i > done else (i,)
+            for first, last in [(h, t) for h in heads for t in tails if t - h > 1]:
+                run = "".join(text[s:e] for s, e in lines[first:last])
+                kind = _confirmed(_decode64(run)) or _confirmed(_decode16(run))
+                if kind:
+                    found.append((kind, lines[first][0], lines[last - 1][1]))
+                    j = done = last
+                    break
+            i = j
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of base64 or hex that decode to something with the structure of a secret."""
     found = []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
+            body = ESCAPED.sub(lambda x: {"r": "", "t": "\t", "/": "/"}.get(x[1], "" if x[1] in ("u000d", "u000D") else "\n"), m[2])
             # Header lines of an armoured key end with a blank line.
-            body = re.sub(r"\s", "", m[2].rsplit("\n\n", 1)[-1])
+            body = re.sub(r"\s", "", body.replace("\r", "").rsplit("\n\n", 1)[-1])
             data = _decode64(body)
             encrypted = data is not None and _element(data, 0, len(data)) is not None and "ENCRYPTED" in m[0]
             if data and (is_private_der(data) or is_private_ssh(data) or encrypted):
                 found.append(("pem", m.start(), m.end()))
     if "ey" in text and "." in text:
         found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    taken = sorted((s, e) for _, s, e in found)
+    found += [x for x in _line_spans(text) if not any(s < x[2] and x[1] < e for s, e in taken)]
     taken = [(s, e) for _, s, e in found]
-    for pattern, decode in ((BASE64, _decode64), (HEX_ANY, lambda run: bytes.fromhex(run))):
+    for pattern, decode in ((BASE64, _decode64), (HEX_ANY, _decode16)):
         for m in pattern.finditer(text):
-            if any(s <= m.start() < e for s, e in taken):
-                continue
-            kind = _confirmed(decode(m[0]))
-            if kind:
-                found.append((kind, m.start(), m.end()))
+            for start in _starts(text, m.start()):
+                if any(s <= start < e for s, e in taken):
+                    break
+                kind = _confirmed(decode(text[start : m.end()]))
+                if kind:
+                    found.append((kind, start, m.end()))
+                    break
     return found
 
 

@@ -99,3 +99,32 @@ def test_rows_and_redaction(spark, odd, documents):
     assert [r["text"] for r in out] == ['é [SECRET]" z', None, "clean text"] and out[0]["n_chars"] == 13
     assert sc.scan_secrets(odd).count() == sc.redact_secrets(odd).count() == odd.count()
     assert sc.redact_secrets(odd).schema == odd.schema and sc.scan_secrets(documents([])).collect() == []
+
+
+def test_decoded_text_has_lines_other_letters_and_structures():
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = "\n".join(re.findall(".{1,64}", b64(_rsa())))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----\n"
+    token = _token(json.dumps({"alg": "HS256"}).encode())
+    for data in (
+        b"password=hunter2hunter2\n", b"[default]\r\n\tsecret = abcdefgh\n", "Schlüssel: password=hunter22".encode(), pem.encode(),
+        f"Bearer {token}\n".encode(), b"token=abcdef", b64(_rsa()).encode(),
+    ):
+        for run in (b64(data), data.hex()):
+            assert _kinds(f"v {run} w") == {"encoded": run}, data
+    assert b64(pem.encode()).startswith("LS0tLS1CRUdJTi") and len(b64(b"token=abcdef")) == 16
+
+
+def test_keys_with_escaped_and_wrapped_lines():
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = re.findall(".{1,64}", b64(_rsa()))
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----"
+    for escaped in (json.dumps(pem), json.dumps(json.dumps(pem)), json.dumps(pem.replace("\n", "\r\n")).replace("/", "\\/")):
+        found = _kinds('{"private_key": ' + escaped + "}")
+        assert list(found) == ["pem"] and found["pem"].endswith("-----END PRIVATE KEY-----")
+    for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+        for data, kind in ((_rsa(), "der"), (_ssh(), "ssh"), (b"user = me\nhost = h\n" * 4 + b"password = hunter2hunter2\n", "encoded")):
+            run = end.join(re.findall(".{1,64}", b64(data)))
+            for text in (f"key: {run} z", f"a{end}word{end}{run}{end}z", run, f"{run[5:]} x {run}"):
+                assert _kinds(text) == {kind: run}, (text, end)
+    assert sc.confirmed_spans("word\n" * 50_000 + "A" * 200_000 + "\\n" * 50_000) == []
