@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from agestrata.llm.store import written
 
 #: Units of an anchor, units of the inner runs that decide whether it is one, and anchors
-#: that a fingerprint keeps.
+#: that a fingerprint keeps; likeness is judged on all.
 K, S, KEPT = 5, 2, 128
 #: A unit is up to four code points of a word, counted from its start; words are split at
 #: ASCII white space. So an anchor spans some three words, texts of a few words have
@@ -55,6 +55,26 @@ def anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     )
 
 
+def marks(found: str, out: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``out``: a number for every anchor of ``found``, which is the same in two texts for
+    the first, second and so on of equal anchors, so that sets of them count repeats."""
+
+    def add(df: DataFrame) -> DataFrame:
+        df = df.withColumn(f"{out}_s", F.sort_array(F.transform(found, lambda a: a["hash"])))
+        s, n = F.col(f"{out}_s"), F.size(f"{out}_s")
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn(f"{out}_f", F.filter(places, lambda i: (i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))])))
+        f, m = F.col(f"{out}_f"), F.size(f"{out}_f")
+
+        def numbered(at: Column, j: Column) -> Column:
+            count = F.when(j + 1 < m, f[F.least(j + 1, m - 1)]).otherwise(n) - at
+            return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.when(k == 0, s[at]).otherwise(F.xxhash64(s[at], k)))
+
+        return df.withColumn(out, F.flatten(F.transform(f, numbered))).drop(f"{out}_s", f"{out}_f")
+
+    return add
+
+
 def sketch(found: Column, kept: int = KEPT) -> Column:
     """The ``kept`` smallest distinct anchors, by the upper 32 bits of their hashes: all
     anchors of a text of some 150 words, an even sample of a longer one's."""
@@ -70,13 +90,12 @@ def as_text(marks: str) -> Column:
     )
 
 
-def likeness(a: str, b: str, kept: int = KEPT) -> Column:
-    """Share of the anchors of both texts that both have (Jaccard), judged on the smallest
-    ``kept`` of them: exact as long as both fingerprints hold all anchors. Two texts
-    without any are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, kept)
-    common = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), union))
-    return F.when(F.size(union) == 0, 1.0).otherwise(common / F.size(union))
+def likeness(a: str, b: str) -> Column:
+    """Share of the anchors of both texts that both have (Jaccard), judged on all ``marks`` of
+    both, so repeats count. Two texts without any are alike."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, 1.0).otherwise(common / union)
 
 
 def _dealt(docs: DataFrame, ordered: int) -> DataFrame:
@@ -113,7 +132,7 @@ def with_next(
     No task orders more than some ``ordered`` rows: rows are dealt out by ranges of
     doc_id, and each range also gets the first document of the range after it. That one is
     found from ids alone and stored, a row per range, so that the planner knows whether
-    it can be broadcast; texts are then shuffled once.
+    it can be broadcast; texts are then shuffled once, before ``prepare`` adds to them.
     """
     rows = _dealt(docs.select("doc_id", "text"), ordered)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
@@ -136,7 +155,7 @@ def with_next(
         edges, (F.col("_at") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_first"))
     ).select("doc_id", "text", "_range", F.col("_before").alias("_at"), F.lit(1).alias("_guard"))
     order = Window.partitionBy("_at").orderBy("_guard", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last())
-    both = prepare(rows.withColumn("_guard", F.lit(0)).unionByName(guards))
+    both = prepare(rows.withColumn("_guard", F.lit(0)).unionByName(guards).repartition("_at"))
     carried = [c for c in both.columns if c not in ("doc_id", "_range", "_at", "_guard")]
     following = F.lead(F.struct(*carried)).over(order)
     return both.withColumn("_next", following).where("_guard = 0").select("doc_id", *carried, "_next")
@@ -158,8 +177,9 @@ def fingerprints(docs: DataFrame, kept: int = KEPT) -> DataFrame:
 
 def edit_report(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next`` per row: how like a text's fingerprint is to that of the text with its
+    near_next`` per row: how like all anchors of a text are to those of the text with its
     last half replaced by the beginning of the next document's, and to the next's own.
+    The fingerprints are samples of the anchors beside that.
 
     A NULL text is empty. Rows with one doc_id follow each other in order of their texts,
     equal rows in any order; NULL ids come last; a single row is next to itself. Other
@@ -167,15 +187,16 @@ def edit_report(docs: DataFrame, kept: int = KEPT) -> DataFrame:
     """
 
     def marked(df: DataFrame, text: str, out: str) -> DataFrame:
-        return anchors(df, text, out).withColumn(out, sketch(F.col(out), kept))
+        df = anchors(df, text, f"{out}_all")
+        return marks(f"{out}_all", out)(df.withColumn(f"{out}_m", sketch(F.col(f"{out}_all"), kept))).drop(f"{out}_all")
 
     both = with_next(docs, lambda df: marked(df, "text", "_a")).select(
-        "doc_id", "text", "_a", F.col("_next._a").alias("_c"), edited("text", "_next.text").alias("_edited")
+        "doc_id", "text", "_a", "_a_m", F.col("_next._a").alias("_c"), edited("text", "_next.text").alias("_edited")
     )
     both = marked(both, "_edited", "_b")
     return both.select(
         "doc_id", F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"),
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text("_a").alias("fingerprint"), as_text("_b").alias("edited_fingerprint"),
-        likeness("_a", "_b", kept).alias("near_edited"), likeness("_a", "_c", kept).alias("near_next"),
+        as_text("_a_m").alias("fingerprint"), as_text("_b_m").alias("edited_fingerprint"),
+        likeness("_a", "_b").alias("near_edited"), likeness("_a", "_c").alias("near_next"),
     )

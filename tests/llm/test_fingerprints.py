@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from agestrata.llm import fingerprints as fp
 from agestrata.llm.queries import op1_syncmer_fingerprints
@@ -67,3 +68,19 @@ def test_odd_rows(odd, spark, documents):
     assert single["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest() and single["near_next"] == 1
     ordered = {r["doc_id"] for r in rows}
     assert ordered == {None, *range(11)}
+
+
+def test_likeness_is_judged_on_all_anchors_and_counts(documents):
+    rng = random.Random(8)
+    word = lambda: f"{rng.randrange(16**4):04x}"
+    passage = [word() for _ in range(40)]
+    long = [word() for _ in range(9000)]
+    texts = [" ".join(long), " ".join([word() for _ in range(9000)] + passage), " ".join(passage + long), " ".join(passage * 3)]
+    docs = documents(texts)
+    found = {r["doc_id"]: Counter(a["hash"] for a in r["a"]) for r in fp.anchors(docs.select("doc_id", "text"), "text", "a").collect()}
+    rows = {r["doc_id"]: r for r in fp.edit_report(docs).collect()}
+    for i in range(4):
+        a, b = found[i], found[(i + 1) % 4]
+        assert rows[i]["near_next"] == (a & b).total() / (a | b).total()
+    # A passage of less than 1% of the texts is seen.
+    assert 0 < rows[1]["near_next"] < 0.01 and max(found[3].values()) == 3
