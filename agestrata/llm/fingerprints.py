@@ -12,9 +12,16 @@ from agestrata.llm.store import written
 #: that a fingerprint keeps; likeness is judged on all.
 K, S, KEPT = 5, 2, 128
 #: A unit is up to four code points of a word, counted from its start; words are split at
-#: ASCII white space. So an anchor spans some three words, texts of a few words have
-#: several, and text without spaces has them too.
-UNIT = r"[^\x20\x09-\x0D]{1,4}"
+#: ASCII white space. So an anchor spans some three words, and texts of a few words have
+#: several. In a run of more than ``WORD`` code points, as text without spaces has them, every
+#: code point is a unit, so that what comes before a passage does not move its units. Code
+#: points beyond the 16-bit plane count twice in a look behind: words with them are cut finer.
+WORD, PIECE = 16, 4
+_SIGN = r"[^\x20\x09-\x0D]"
+UNIT = "|".join(
+    [rf"(?<=(?<!{_SIGN}){_SIGN}{{{at}}})(?={_SIGN}{{1,{WORD - at}}}(?!{_SIGN})){_SIGN}{{1,{PIECE}}}" for at in range(0, WORD, PIECE)]
+    + [_SIGN]
+)
 #: Documents that one task has in order, on average, and ranges that come from quantiles;
 #: ranges are cut evenly beyond that.
 ORDERED, RANGES = 2_000, 128

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from agestrata.llm import fingerprints as fp
 from agestrata.llm.queries import op1_syncmer_fingerprints
 
@@ -84,3 +86,21 @@ def test_likeness_is_judged_on_all_anchors_and_counts(documents):
         assert rows[i]["near_next"] == (a & b).total() / (a | b).total()
     # A passage of less than 1% of the texts is seen.
     assert 0 < rows[1]["near_next"] < 0.01 and max(found[3].values()) == 3
+
+
+def test_units_of_words_and_of_long_runs(documents):
+    words = ["a", "abcd", "abcde", "x" * 15 + "y", "z" * 17, "漢字" * 10, "漢é" * 8]
+    text = " \n".join(words)
+    want = [w[i : i + 4] for w in words if len(w) <= 16 for i in range(0, len(w), 4)] + list("z" * 17 + "漢字" * 10)
+    got = documents([text]).select(F.regexp_extract_all("text", F.lit(fp.UNIT), 0).alias("u")).first()["u"]
+    assert sorted(got) == sorted(want) and "".join(got) == "".join(words)
+
+
+def test_passages_without_spaces_are_found_at_any_offset(documents):
+    rng = random.Random(9)
+    passage = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300))
+    texts = [passage] + [passage[:30] + "一二三"[:n] + passage[30:] for n in (1, 2, 3)] + ["x" * 20 + "一" * n + passage for n in (1, 2, 3)]
+    docs = documents(texts)
+    found = [{a["hash"] for a in r["a"]} for r in fp.anchors(docs.select("doc_id", "text"), "text", "a").orderBy("doc_id").collect()]
+    assert all(len(found[0] & f) >= len(found[0]) - 5 for f in found[1:])
+    assert all(r["near_next"] > 0.8 for r in fp.edit_report(docs.where("doc_id < 4")).collect())
