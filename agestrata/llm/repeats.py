@@ -49,7 +49,7 @@ def _first_of_runs(values: np.ndarray) -> np.ndarray:
 
 
 def _seed_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """``hash, doc_id, at``: the winnowed seeds of every document."""
+    """``hash, doc_id, copy, at``: the winnowed seeds of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,22 +65,26 @@ def _seed_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 places.append(at.astype(np.int32))
             if which:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes)), batch.column(0).take(pa.array(np.concatenate(which))),
+                    [pa.array(np.concatenate(hashes)), *(batch.column(c).take(pa.array(np.concatenate(which))) for c in (0, 2)),
                      pa.array(np.concatenate(places))],
-                    ["hash", "doc_id", "at"],
+                    ["hash", "doc_id", "copy", "at"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"hash long, doc_id {kind}, at int")
+    return in_small_batches(docs.select("doc_id", "text", "copy")).mapInArrow(
+        run, f"hash long, doc_id {kind}, copy long, at int"
+    )
 
 
 def _occurrences(docs: DataFrame, met: DataFrame, window: int, seed: int) -> DataFrame:
     """Seeds that occur more than once, each with the hashes of the windows it was picked
     for: the seed extended both ways as far as a window can reach. Very frequent seeds
-    are split into rows of one window, dealt out over salts."""
+    are split into rows of one window, dealt out over salts by document and row, so that
+    copies do not meet in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs = batch.column(0).to_pylist()
             out = [[] for _ in range(6)]
             for i, (text, copy, met) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3))):
                 if not met.is_valid:
@@ -103,7 +107,7 @@ def _occurrences(docs: DataFrame, met: DataFrame, window: int, seed: int) -> Dat
                         rows = [(int(key.view(np.int64)[0]), -1, s, whole[s:e])]
                     else:
                         keys = (key * _BASE ^ whole[s:e].view(np.uint64)).view(np.int64).tolist()
-                        salt = copy.as_py() % SALTS
+                        salt = (xxhash.xxh64_intdigest(f"{docs[i]}") + i) % SALTS
                         rows = [(k, salt, s + j, whole[s + j : s + j + 1]) for j, k in enumerate(keys)]
                     for row in rows:
                         for column, value in zip(out, (i, copy.as_py(), *row)):
@@ -119,13 +123,17 @@ def _occurrences(docs: DataFrame, met: DataFrame, window: int, seed: int) -> Dat
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = met.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", "text", "copy", "met").mapInArrow(
+    return _joined(docs, met).select("doc_id", "text", "copy", "met").mapInArrow(
         run, f"doc_id {kind}, copy long, key long, salt int, start int, windows array<long>"
     )
 
 
+def _joined(docs: DataFrame, more: DataFrame) -> DataFrame:
+    """``docs`` with what ``more`` has for their doc_id and text."""
+    more = more.withColumnsRenamed({"doc_id": "_id", "copy": "_copy"})
+    return docs.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("copy").eqNullSafe(F.col("_copy")), "left")
+
+
 def _seen_before(rows: DataFrame, kind: str) -> DataFrame:
     """``doc_id, copy, start, run, key, first``: runs of windows that stand earlier too, and
     with ``first`` the first of every salt of a frequent window, which only the other
@@ -137,7 +145,7 @@ def _seen_before(rows: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             which, starts, runs, keys, firsts = [], [], [], [], []
             columns = [c.to_pylist() for c in batch.columns]
-            for i, (doc, copy, key, salt, start, windows) in enumerate(zip(*columns)):
+            for i, (doc, _, key, salt, start, windows) in enumerate(zip(*columns)):
                 if (key, salt) != now:
                     now, seen = (key, salt), {}
                 length = 0
@@ -148,7 +156,7 @@ def _seen_before(rows: DataFrame, kind: str) -> DataFrame:
                         continue
                     if length:
                         which.append(i), starts.append(start + k - length), runs.append(length)
-                        keys.append(xxhash.xxh64_intdigest(f"{copy}:{start + k}") >> 1), firsts.append(False)
+                        keys.append(xxhash.xxh64_intdigest(f"{doc}:{i}:{start + k}") >> 1), firsts.append(False)
                         length = 0
                     if w is not None and salt >= 0:
                         which.append(i), starts.append(start + k), runs.append(1)
@@ -186,33 +194,32 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) ->
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
-    seeds = written(_seed_rows(docs, window, seed), "repeats-seeds")
+    seeds = written(_seed_rows(texts, window, seed), "repeats-seeds")
     met = written(
         seeds.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeats-met"
     )
     mark = (F.col("at") * 2 + (F.col("n") > HOT).cast("int")).alias("mark")
-    marked = seeds.join(met, "hash").select("doc_id", mark).groupBy("doc_id").agg(F.collect_set("mark").alias("met"))
+    marked = seeds.join(met, "hash").select("doc_id", "copy", mark)
+    marked = marked.groupBy("doc_id", "copy").agg(F.collect_set("mark").alias("met"))
     marked = written(marked, "repeats-marked")
     remove(seeds)
     remove(met)
     found = _seen_before(_occurrences(texts, marked, window, seed), kind)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "start")
-    first = F.min(place).over(Window.partitionBy("key"))
+    first = F.min(F.when(F.col("first"), place)).over(Window.partitionBy("key"))
     repeats = found.withColumn("_repeat", ~F.col("first") | (place != first)).where("_repeat")
-    by_doc = repeats.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_list(F.struct("copy", "start", "run")).alias("found")
-    )
+    # Equal rows have the same repeats, so a set of them does not grow with their number.
+    by_doc = repeats.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "run")).alias("found"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, gone, kept, spans = [], [], [], []
-            for text, copy, found in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for text, found in zip(batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
                 step = np.zeros(len(words) + 1, np.int64)
                 if found.is_valid:
                     f = found.values
-                    own = f.field("copy").to_numpy() == copy.as_py()
-                    start, run = f.field("start").to_numpy()[own], f.field("run").to_numpy()[own]
+                    start, run = f.field("start").to_numpy(), f.field("run").to_numpy()
                     np.add.at(step, start, 1)
                     np.add.at(step, start + run + window - 1, -1)
                 covered = np.cumsum(step)[:-1] > 0
@@ -228,8 +235,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS) ->
                 ["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    joined = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", "text", "copy", "found").mapInArrow(
+    return _joined(texts, by_doc).select("doc_id", "text", "found").mapInArrow(
         keep,
         f"doc_id {kind}, n_words long, n_removed long, kept string, spans array<struct<start: int, end: int>>",
     )

@@ -89,3 +89,25 @@ def test_odd_rows(odd, documents):
     # Equal rows fare alike; the same document starts earlier in one of its rows.
     assert got == {(5, 0), (5, 30), (None, 30)}
     assert rp.remove_repeats(documents([])).collect() == []
+
+
+def test_hot_seeds_of_rows_that_share_an_id(documents, monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(rp, "HOT", 3)
+    hot = [f"h{i}" for i in range(20)]
+    pair = [f"c{i}" for i in range(20)]
+    # One place is a hot seed in one text of an id and a rare one in another.
+    rows = [(i, " ".join(hot)) for i in range(20)]
+    for i in range(30):
+        n = rng.randrange(4)
+        fill = [f"f{i}.{j}" for j in range(n)]
+        rows += [(50 + i // 10, " ".join(fill + hot)), (50 + i // 10, " ".join(fill + pair)), (None, " ".join(fill + hot + pair))]
+    rows += [(None, " ".join(hot + pair))] * 8
+    got = _got(rp.remove_repeats(documents(rows).repartition(6)))
+    assert sorted(got, key=repr) == sorted(_brute(rows), key=repr)
+
+
+def test_found_spans_of_one_id_stay_apart(documents):
+    docs = documents([(1, f"t{i} " + "same words all over again " * 12) for i in range(5)]).selectExpr("*", "xxhash64(text) AS copy")
+    marked = rp._seed_rows(docs, 20, 5).groupBy("doc_id", "copy").count().collect()
+    assert len(marked) == 5
