@@ -11,9 +11,7 @@ from agestrata.llm.queries import TOKENIZER, op10_packed_sequences, table
 
 
 def _tokenizer():
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 def _check(rows, docs, most):
