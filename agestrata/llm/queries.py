@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agestrata.llm import (
+    filter_audit,
     fingerprints,
     graph_index,
     langid,
@@ -103,11 +104,15 @@ def op10_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, most=2048, end_id=0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_warc_round_trip, op3_token_rollup, op4_simhash_groups, op5_secret_spans,
-        op6_graph_neighbours, op7_language, op8_repeated_passages, op9_source_mix, op10_packed_sequences,
+        op6_graph_neighbours, op7_language, op8_repeated_passages, op9_source_mix, op10_packed_sequences, op11_filter_audit,
     )
 }
 
@@ -188,4 +193,39 @@ ORACLES = {
                (size * (epochs + CASE WHEN rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - tied))
                  THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM r""",
+    "op11_filter_audit": f"""
+        WITH d AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        l AS (
+          SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+          FROM labels GROUP BY doc_id),
+        f AS (
+          SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+                 + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+                 + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+                 + (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END) AS fails
+          FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+        c AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+        orders AS (
+          SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+          FROM letters a, letters b, letters c, letters d, letters e
+          WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+        steps AS (
+          SELECT filter_order, s.step::INTEGER AS step, own.letter, own.bit,
+                 (SELECT coalesce(sum(x.bit), 0) FROM letters x WHERE position(x.letter IN filter_order) < s.step) AS done
+          FROM orders, range(1, 6) AS s(step), letters own WHERE own.letter = substr(filter_order, s.step, 1)),
+        r AS (
+          SELECT part, filter_order, step, letter,
+                 coalesce(sum(n) FILTER ((fails & (done | bit)) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER ((fails & done) = 0 AND (fails & bit) != 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER ((fails & done) != 0 AND (fails & bit) != 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (fails = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(n) FILTER (good AND (fails & done) = 0 AND (fails & bit) != 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(n) FILTER (toxic AND (fails & done) = 0 AND (fails & bit) != 0), 0)::BIGINT AS toxic_lost
+          FROM c, (SELECT filter_order, step, letter, bit, done::INTEGER AS done FROM steps) GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+        FROM r""",
 }
