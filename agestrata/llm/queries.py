@@ -16,6 +16,7 @@ from agestrata.llm import (
     rollups,
     secrets,
     simhash,
+    vector_codes,
     warc,
 )
 from agestrata.llm.store import new_folder, written
@@ -108,11 +109,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.encode(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_warc_round_trip, op3_token_rollup, op4_simhash_groups, op5_secret_spans,
         op6_graph_neighbours, op7_language, op8_repeated_passages, op9_source_mix, op10_packed_sequences, op11_filter_audit,
+        op12_vector_codes,
     )
 }
 
@@ -125,7 +132,48 @@ _SPACES = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda w: w != '')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _codes_sql(rounds: int) -> str:
+    """Codebooks round by round, every distance measured."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS MATERIALIZED (
+          SELECT p.row, p.part, any_value(p.x) AS x,
+                 min((list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * 16 + b.entry)) AS best
+          FROM p JOIN b{r} b ON p.part = b.part GROUP BY p.row, p.part)""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (
+          SELECT part, best % 16 AS entry, j, sum(x[j]) AS total, count(*)::HUGEINT AS n
+          FROM a{r}, unnest(range(1, len(x) + 1)) AS t(j) GROUP BY ALL),
+        m{r} AS (
+          SELECT part, entry, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM s{r} GROUP BY ALL),
+        b{r + 1} AS MATERIALIZED (
+          SELECT b.part, b.entry, coalesce(m.x, b.x) AS x
+          FROM b{r} b LEFT JOIN m{r} m ON b.part = m.part AND b.entry = m.entry)""")
+    return f"""
+        WITH k AS (
+          SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label,
+                 list_transform(embedding, lambda e: floor(4096 * e::DOUBLE)::BIGINT) AS x
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        p AS MATERIALIZED (
+          SELECT row, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x FROM k, unnest(range(8)) AS t(part)),
+        b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, x FROM p WHERE row <= 16),{",".join(steps)},
+        e AS (
+          SELECT row, string_agg('0' || substr('0123456789abcdef', (best % 16 + 1)::BIGINT, 1), '' ORDER BY part) AS code,
+                 sum(best // 16)::BIGINT AS error
+          FROM a{rounds} GROUP BY row),
+        h AS (
+          SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM k JOIN e ON k.row = e.row, h"""
+
+
 ORACLES = {
+    "op12_vector_codes": _codes_sql(6),
     "op2_warc_round_trip": f"""
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h,
