@@ -10,6 +10,7 @@ from agestrata.llm import (
     fingerprints,
     graph_index,
     langid,
+    long_repeats,
     mixing,
     packing,
     repeats,
@@ -114,12 +115,20 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = long_repeats.remove_long_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_warc_round_trip, op3_token_rollup, op4_simhash_groups, op5_secret_spans,
         op6_graph_neighbours, op7_language, op8_repeated_passages, op9_source_mix, op10_packed_sequences, op11_filter_audit,
-        op12_vector_codes,
+        op12_vector_codes, op13_long_repeats,
     )
 }
 

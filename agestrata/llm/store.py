@@ -33,11 +33,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read back: lineage ends here,
     a lost executor loses nothing, and the planner knows the size."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     table = df.sparkSession.read.schema(df.schema).parquet(folder)
     _written[table] = folder
     return table
