@@ -285,4 +285,31 @@ ORACLES = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
         FROM r""",
+    # Texts as hex digits, cut into overlapping blocks so that no window is sought from afar.
+    "op13_long_repeats": """
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        blocks AS (SELECT r, b.i AS block, substr(h, 2000 * b.i + 1, 2398) AS h FROM d, unnest(range(0, len(h) // 2000 + 1)) AS b(i)),
+        w AS (
+          SELECT r, 1000 * block + s.i AS start, md5_number(substr(h, 2 * s.i + 1, 400)) AS k
+          FROM blocks, unnest(range(0, least(1000, len(h) // 2 - 199))) AS s(i)),
+        twice AS (SELECT r, start FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+        edges AS (
+          SELECT r, start, start - lag(start) OVER o AS gap, lead(start) OVER o - start AS ahead
+          FROM twice WINDOW o AS (PARTITION BY r ORDER BY start)),
+        first AS (
+          SELECT r, start, row_number() OVER (PARTITION BY r ORDER BY start) AS k FROM edges WHERE gap IS NULL OR gap > 200),
+        last AS (
+          SELECT r, start + 200 AS stop, row_number() OVER (PARTITION BY r ORDER BY start) AS k
+          FROM edges WHERE ahead IS NULL OR ahead > 200),
+        spans AS (
+          SELECT r, k, start, stop, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY k), 0) AS before
+          FROM first JOIN last USING (r, k)),
+        s AS (
+          SELECT r, count(*) AS n_spans, sum(stop - start) AS n_removed, max(stop) AS stop,
+                 string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY k) AS kept
+          FROM spans JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN s ON d.r = s.r""",
 }
