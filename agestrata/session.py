@@ -14,6 +14,9 @@ def local_session(app: str = "agestrata", cpus: str | int = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Groups that are gathered as arrays stay in a hash table on the map side: beyond
+        # this number of them the rows would be sorted first.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.driver.memory", os.environ.get("AGESTRATA_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         # Recording the Python line of every Column call costs more than small queries.
