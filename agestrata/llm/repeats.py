@@ -44,6 +44,12 @@ def anchors(words: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.n
     return seeds, view.argmin(axis=1) + np.arange(len(view))
 
 
+def _dealt(doc_id, copy: int, start: int) -> int:
+    """Where a place goes, from what the row holds alone: a task that is run again after the
+    loss of an executor may meet its rows in another order, and deals them out alike."""
+    return xxhash.xxh64_intdigest(f"{doc_id}:{copy}:{start}") >> 1
+
+
 def _first_of_runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
 
@@ -79,8 +85,8 @@ def _seed_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
 def _occurrences(docs: DataFrame, met: DataFrame, window: int, seed: int) -> DataFrame:
     """Seeds that occur more than once, each with the hashes of the windows it was picked
     for: the seed extended both ways as far as a window can reach. Very frequent seeds
-    are split into rows of one window, dealt out over salts by document and row, so that
-    copies do not meet in one."""
+    are split into rows of one window, dealt out over salts by document, text and place, so
+    that copies do not meet in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +113,10 @@ def _occurrences(docs: DataFrame, met: DataFrame, window: int, seed: int) -> Dat
                         rows = [(int(key.view(np.int64)[0]), -1, s, whole[s:e])]
                     else:
                         keys = (key * _BASE ^ whole[s:e].view(np.uint64)).view(np.int64).tolist()
-                        salt = (xxhash.xxh64_intdigest(f"{docs[i]}") + i) % SALTS
-                        rows = [(k, salt, s + j, whole[s + j : s + j + 1]) for j, k in enumerate(keys)]
+                        rows = [
+                            (k, _dealt(docs[i], copy.as_py(), s + j) % SALTS, s + j, whole[s + j : s + j + 1])
+                            for j, k in enumerate(keys)
+                        ]
                     for row in rows:
                         for column, value in zip(out, (i, copy.as_py(), *row)):
                             column.append(value)
@@ -145,7 +153,7 @@ def _seen_before(rows: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             which, starts, runs, keys, firsts = [], [], [], [], []
             columns = [c.to_pylist() for c in batch.columns]
-            for i, (doc, _, key, salt, start, windows) in enumerate(zip(*columns)):
+            for i, (doc, copy, key, salt, start, windows) in enumerate(zip(*columns)):
                 if (key, salt) != now:
                     now, seen = (key, salt), {}
                 length = 0
@@ -156,7 +164,7 @@ def _seen_before(rows: DataFrame, kind: str) -> DataFrame:
                         continue
                     if length:
                         which.append(i), starts.append(start + k - length), runs.append(length)
-                        keys.append(xxhash.xxh64_intdigest(f"{doc}:{i}:{start + k}") >> 1), firsts.append(False)
+                        keys.append(_dealt(doc, copy, start + k)), firsts.append(False)
                         length = 0
                     if w is not None and salt >= 0:
                         which.append(i), starts.append(start + k), runs.append(1)

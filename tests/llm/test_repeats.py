@@ -111,3 +111,23 @@ def test_found_spans_of_one_id_stay_apart(documents):
     docs = documents([(1, f"t{i} " + "same words all over again " * 12) for i in range(5)]).selectExpr("*", "xxhash64(text) AS copy")
     marked = rp._seed_rows(docs, 20, 5).groupBy("doc_id", "copy").count().collect()
     assert len(marked) == 5
+
+
+def test_places_are_dealt_out_by_what_a_row_holds(spark, documents, monkeypatch):
+    """A task that runs again may meet its rows in another order and in other batches."""
+    monkeypatch.setattr(rp, "HOT", 0)
+    rows = [(i % 7 if i % 3 else None, f"{'same words all over again ' * 9}{i % 11}", "en", "s") for i in range(50)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = []
+    try:
+        for batch, order in ((7, 1), (10_000, 2)):
+            spark.conf.set(name, batch)
+            random.Random(order).shuffle(rows)
+            texts = documents(rows).selectExpr("doc_id", "text", "xxhash64(text) AS copy")
+            seeds = rp._seed_rows(texts, 20, 5)
+            met = seeds.selectExpr("doc_id", "copy", "at * 2 + 1 AS mark").groupBy("doc_id", "copy").agg({"mark": "collect_set"})
+            got = rp._occurrences(texts, met.toDF("doc_id", "copy", "met"), 20, 5)
+            found.append(sorted(map(repr, got.select("doc_id", "copy", "key", "salt", "start").collect())))
+    finally:
+        spark.conf.unset(name)
+    assert found[0] == found[1] and len(found[0]) > 500
