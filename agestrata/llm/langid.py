@@ -1,7 +1,7 @@
 """Language identification by a string kernel, Nystroem landmarks and ridge regression."""
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +15,8 @@ from agestrata.llm.store import in_small_batches
 
 #: Orders of the n-grams of the blended spectrum.
 ORDERS = (1, 2, 3)
-#: Bounds of the fit: documents per language, landmarks per language, and the longest
-#: document, in code points, that may be one of them.
-FIT_ROWS, LANDMARKS, FIT_CHARS = 400, 48, 20_000
+#: Bounds of the fit: documents per language, and landmarks per language.
+FIT_ROWS, LANDMARKS = 400, 48
 RIDGE = 1e-2
 #: Texts that are looked at for each one wanted.
 SPARE = 3
@@ -111,13 +110,22 @@ def _columns(grams: np.ndarray, keys: np.ndarray, slots: np.ndarray, probes: int
 
 def presence(texts: list[str], keys: np.ndarray, slots: np.ndarray, probes: int) -> np.ndarray:
     """A row per text: 1 where the whole text has the gram."""
-    out = np.zeros((len(texts), len(keys)), np.float32)
-    for i, text in enumerate(texts):
-        out[i, _columns(gram_keys(text), keys, slots, probes)[1]] = 1
+    return _presence(map(gram_keys, texts), len(texts), keys, slots, probes)
+
+
+def _presence(grams: Iterable[np.ndarray], n: int, keys: np.ndarray, slots: np.ndarray, probes: int) -> np.ndarray:
+    out = np.zeros((n, len(keys)), np.float32)
+    for i, own in enumerate(grams):
+        out[i, _columns(own, keys, slots, probes)[1]] = 1
     return out
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int, ridge: float) -> Model:
+    """``fit_grams`` of texts."""
+    return fit_grams([np.unique(gram_keys(t)) for t in texts], languages, landmarks, ridge)
+
+
+def fit_grams(grams: list[np.ndarray], languages: list[str], landmarks: int, ridge: float) -> Model:
     """Kernel ridge regression, one class against the rest, on Nystroem features.
 
     The kernel of two texts is the number of n-grams, of all orders together, that both
@@ -132,9 +140,9 @@ def fit(texts: list[str], languages: list[str], landmarks: int, ridge: float) ->
         return Model([], np.zeros(0, np.uint64), np.full(256, -1, np.int32), np.zeros((0, 0), np.float32), 1)
     y = np.array([names.index(x) for x in languages])
     marks = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(names))])
-    keys = np.unique(np.concatenate([np.unique(gram_keys(texts[i])) for i in marks]))
+    keys = np.unique(np.concatenate([grams[i] for i in marks]))
     slots, probes = _table(keys)
-    p = presence(texts, keys, slots, probes)
+    p = _presence(grams, len(grams), keys, slots, probes)
     size = np.sqrt(np.maximum(p.sum(axis=1), 1.0))
     base = p[marks] / size[marks, None]
     cross = (p @ base.T) / size[:, None]
@@ -167,9 +175,10 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def train(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on ``text, lang``: for each language ``rows`` different texts with a letter and of
-    at most ``FIT_CHARS`` code points, those whose digests come first. The driver gets no
-    more than that. Languages whose texts are all longer or empty are not learned.
+    """Fit on ``text, lang``: for each language ``rows`` different texts with a letter, of any
+    length, those whose digests come first. Tasks read them whole and send the driver the
+    set of the n-grams of each, and no more than that. Languages whose texts are all
+    without a letter are not learned.
 
     A language may have most of the rows: its digests are counted first, and only texts
     below a digest that some ``SPARE`` times ``rows`` of them have are shuffled at all,
@@ -177,7 +186,7 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS,
     """
     fits = labelled.select("text", F.col("lang").cast("string").alias("lang")).where(
         "lang is not null and text is not null"
-    ).where((F.length("text") <= FIT_CHARS) & F.col("text").rlike(r"\p{L}")).withColumn("_d", F.xxhash64("text"))
+    ).where(F.col("text").rlike(r"\p{L}")).withColumn("_d", F.xxhash64("text"))
     counts = fits.groupBy("lang").agg(F.approx_count_distinct("_d").alias("n")).collect()
     if not counts:
         return fit([], [], landmarks, ridge)
@@ -190,9 +199,16 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS, landmarks: int = LANDMARKS,
         fits.where(F.col("_d") <= F.element_at(F.create_map(*limits), F.col("lang")))
         .groupBy("lang", "_d").agg(F.min("text").alias("text"))
         .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows)
-        .orderBy("lang", "_n").collect()
     )
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample], landmarks, ridge)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(gram_keys(t)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["lang", "n", "grams"])
+
+    found = in_small_batches(sample.select("lang", "_n", "text")).mapInArrow(run, "lang string, n int, grams binary")
+    held = sorted(found.collect(), key=lambda r: (r["lang"], r["n"]))
+    return fit_grams([np.frombuffer(r["grams"], np.uint64) for r in held], [r["lang"] for r in held], landmarks, ridge)
 
 
 def _identified(docs: DataFrame, model: Model) -> DataFrame:

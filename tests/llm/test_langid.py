@@ -69,3 +69,15 @@ def test_the_fit_is_bounded(spark, documents):
     rows = [(i, f"text number {'abcdefghij'[i % 10] * (i % 17 + 1)} of many", "en", "s") for i in range(300)]
     model = li.train(documents(rows), rows=50, landmarks=10)
     assert model.languages == ["en"] and 0 < len(model.keys)
+
+
+def test_a_language_of_long_texts_is_learned(documents):
+    """Books only, each beyond any other text in length."""
+    rng = np.random.default_rng(3)
+    vocabulary = {"en": "the cat and a house of which there were many things".split(), "xx": "zwô qrüm plakt vërn oqszi yttraf".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary["en"], 40)), "en", "s") for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choice(vocabulary["xx"], 6000)), "xx", "s") for i in range(8)]
+    assert min(len(r[1]) for r in rows[40:]) > 20_000
+    model = li.train(documents(rows))
+    assert model.languages == ["en", "xx"]
+    assert [x for x, _ in li.predict(model, ["zwô plakt qrüm oqszi", "there were many cats"])] == ["xx", "en"]
