@@ -16,31 +16,66 @@ SHARD_ROWS, BLOCK_ROWS = 8192, 2048
 #: Out-edges of a node, width of searches that build the graph, of those that query it,
 #: and the factor by which pruning is relaxed.
 DEGREE, BUILD_BEAM, BEAM, RELAX = 32, 64, 96, 1.2
+#: Nodes that searches begin at: one near the middle, some far from each other, and others at
+#: random, so that a crowd of near copies does not hold a search that has to leave it.
+ENTRIES = 24
 #: Nodes that are inserted together; searches of so many run side by side.
 BATCH = 256
 NO_NODE = -1
 
 
-def _distances(x: np.ndarray, norms: np.ndarray, nodes: np.ndarray, q: np.ndarray, q_norm: np.ndarray) -> np.ndarray:
-    """Squared distances from each query to its own row of nodes; infinite for no node."""
-    dots = np.einsum("bnd,bd->bn", x[nodes], q, optimize=True)
-    d = np.maximum(norms[nodes] - 2 * dots + q_norm[:, None], 0)
+def _distances(x: np.ndarray, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances from each query to its own row of nodes; infinite for no node. From
+    the differences, so that near copies far from zero are told apart."""
+    apart = x[nodes] - q[:, None, :]
+    d = np.einsum("bnd,bnd->bn", apart, apart)
     d[nodes == NO_NODE] = np.inf
     return d
 
 
-def beam_search(x, norms, graph, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """``x`` over its largest component, so that no square overflows, and that component."""
+    most = float(np.abs(x).max(initial=0)) or 1.0
+    return x / most, most
+
+
+def _lengths(apart: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of the rows; scaled only where squares leave the range of doubles."""
+    most = float(np.abs(apart).max(initial=0))
+    if 1e-120 < most < 1e150 or not most:
+        return np.sqrt((apart**2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        halved, scale = _scaled(apart / 2)
+        return np.sqrt((halved**2).sum(axis=1)) * scale * 2
+
+
+def entry_nodes(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """At most ``ENTRIES`` different rows: the one nearest the mean, then a third of them each
+    as far as can be from those before, then rows at random."""
+    nearest = ((x - x.mean(axis=0)) ** 2).sum(axis=1)
+    chosen = [int(nearest.argmin())]
+    apart = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) <= ENTRIES // 3 and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    others = np.setdiff1d(np.random.default_rng(seed).permutation(len(x))[:ENTRIES], chosen)
+    return np.r_[chosen, others][:ENTRIES].astype(np.int64)
+
+
+def beam_search(x, graph, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """``width`` best nodes found for each query and their squared distances, nearest first.
 
     Greedy: the nearest node that was not expanded yet is, and its out-edges compete for
     the beam, until each node of a beam has been expanded. Queries advance together.
     """
     n, rows = len(q), np.arange(len(q))
-    q_norm = np.einsum("bd,bd->b", q, q)
     nodes = np.full((n, width), NO_NODE, np.int64)
-    nodes[:, 0] = entry
     dist = np.full((n, width), np.inf)
-    dist[:, 0] = _distances(x, norms, nodes[:, :1], q, q_norm)[:, 0]
+    starts = np.asarray(entries)[None, :width].repeat(n, 0)
+    d = _distances(x, starts, q)
+    order = np.argsort(d, axis=1, kind="stable")
+    nodes[:, : starts.shape[1]] = np.take_along_axis(starts, order, 1)
+    dist[:, : starts.shape[1]] = np.take_along_axis(d, order, 1)
     done = np.zeros((n, width), bool)
     active = rows
     while len(active):
@@ -52,7 +87,7 @@ def beam_search(x, norms, graph, entry: int, q: np.ndarray, width: int) -> tuple
         at = open_.argmax(axis=1)
         done[active, at] = True
         near = graph[nodes[active, at]]
-        d = _distances(x, norms, near, q[active], q_norm[active])
+        d = _distances(x, near, q[active])
         # A node that is in the beam already does not enter it again.
         d[(near[:, :, None] == nodes[active][:, None, :]).any(axis=2)] = np.inf
         all_nodes = np.concatenate([nodes[active], near], axis=1)
@@ -66,7 +101,7 @@ def beam_search(x, norms, graph, entry: int, q: np.ndarray, width: int) -> tuple
     return nodes, dist
 
 
-def robust_prune(x, norms, own: np.ndarray, candidates: np.ndarray, dist: np.ndarray, degree: int, relax: float):
+def robust_prune(x, own: np.ndarray, candidates: np.ndarray, dist: np.ndarray, degree: int, relax: float):
     """Out-edges for each node of ``own``: again and again the nearest candidate left, after
     which candidates that are closer to it than to the node, by the factor ``relax``, go.
     What stays is near or in a direction of its own."""
@@ -74,8 +109,10 @@ def robust_prune(x, norms, own: np.ndarray, candidates: np.ndarray, dist: np.nda
     dist = np.where((candidates == NO_NODE) | (candidates == own[:, None]), np.inf, dist)
     order = np.argsort(dist, axis=1, kind="stable")
     candidates, dist = np.take_along_axis(candidates, order, 1), np.take_along_axis(dist, order, 1)
-    v = x[candidates]
-    between = norms[candidates][:, :, None] + norms[candidates][:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+    # Seen from the node, so that what is near it is measured finely.
+    v = x[candidates] - x[own][:, None, :]
+    norms = np.einsum("bnd,bnd->bn", v, v)
+    between = norms[:, :, None] + norms[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
     alive, edges = np.isfinite(dist), np.full((b, degree), NO_NODE, np.int64)
     rows, squared = np.arange(b), relax * relax
     for k in range(degree):
@@ -89,43 +126,43 @@ def robust_prune(x, norms, own: np.ndarray, candidates: np.ndarray, dist: np.nda
     return edges
 
 
-def build_graph(x: np.ndarray, degree: int, beam: int, relax: float, seed: int = 0) -> tuple[np.ndarray, int]:
-    """The graph over the rows of ``x`` as an array of out-edges, and its entry, the row
-    nearest the mean. Nodes enter in a random order, batches of growing size at a time,
-    searched for in the graph so far; edges are pruned, and so are the lists of the nodes
-    that get edges back."""
+def build_graph(x: np.ndarray, degree: int, beam: int, relax: float, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The graph over the rows of ``x`` as an array of out-edges, and its entries. The
+    others enter in a random order after those, batches of growing size at a time, searched
+    for in the graph so far; edges are pruned, and so are the lists of the nodes that get
+    edges back."""
     n = len(x)
-    norms = np.einsum("nd,nd->n", x, x)
-    entry = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
+    entries = entry_nodes(x, seed)
     graph = np.full((n, degree), NO_NODE, np.int64)
     order = np.random.default_rng(seed).permutation(n)
-    order = np.r_[entry, order[order != entry]]
+    order = np.r_[entries, order[~np.isin(order, entries)]]
     for passes, slack in ((0, 1.0), (1, relax)):
         at = 1 if passes == 0 else 0
         while at < n:
             step = min(BATCH, max(1, at)) if passes == 0 else BATCH
             own = order[at : at + step]
+            begin = entries if passes else entries[:at]
             at += step
-            found, dist = beam_search(x, norms, graph, entry, x[own], beam)
+            found, dist = beam_search(x, graph, begin, x[own], beam)
             mates = own[None, :].repeat(len(own), 0)
             if passes == 0 and len(own) > 1:
                 # Those that enter together do not find each other in the graph yet.
-                d = norms[own][:, None] + norms[own][None, :] - 2 * (x[own] @ x[own].T)
+                d = _distances(x, mates, x[own])
                 keep = np.argsort(d, axis=1)[:, : min(len(own), degree)]
                 found = np.concatenate([found, np.take_along_axis(mates, keep, 1)], axis=1)
-                dist = np.concatenate([dist, np.take_along_axis(np.maximum(d, 0), keep, 1)], axis=1)
+                dist = np.concatenate([dist, np.take_along_axis(d, keep, 1)], axis=1)
             elif passes:
                 old = graph[own]
                 fresh = ~(old[:, :, None] == found[:, None, :]).any(axis=2)
                 old = np.where(fresh, old, NO_NODE)
-                d = _distances(x, norms, old, x[own], norms[own])
+                d = _distances(x, old, x[own])
                 found, dist = np.concatenate([found, old], axis=1), np.concatenate([dist, d], axis=1)
-            graph[own] = robust_prune(x, norms, own, found, dist, degree, slack)
-            _add_back(x, norms, graph, own, degree, slack)
-    return graph, entry
+            graph[own] = robust_prune(x, own, found, dist, degree, slack)
+            _add_back(x, graph, own, degree, slack)
+    return graph, entries
 
 
-def _add_back(x, norms, graph, own, degree, slack) -> None:
+def _add_back(x, graph, own, degree, slack) -> None:
     """Edges back to ``own`` from the nodes they point to; lists that overflow are pruned."""
     source = np.repeat(own, degree)
     target = graph[own].ravel()
@@ -148,8 +185,8 @@ def _add_back(x, norms, graph, own, degree, slack) -> None:
         over, lists = nodes[~fits], packed[~fits]
         for i in range(0, len(over), BATCH):
             part, cand = over[i : i + BATCH], lists[i : i + BATCH]
-            d = _distances(x, norms, cand, x[part], norms[part])
-            graph[part] = robust_prune(x, norms, part, cand, d, degree, slack)
+            d = _distances(x, cand, x[part])
+            graph[part] = robust_prune(x, part, cand, d, degree, slack)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -185,17 +222,17 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Dat
 
     def build(key, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.array(rows["v"].tolist(), float)
-        graph, entry = build_graph(x.astype(np.float32), DEGREE, BUILD_BEAM, RELAX)
+        graph, entries = build_graph(_scaled(x)[0], DEGREE, BUILD_BEAM, RELAX)
         ids = rows["ids"].tolist()
         return pd.DataFrame({
-            "dim": [key[0]], "shard": [key[1]], "entry": [entry], "vectors": [x.ravel()],
+            "dim": [key[0]], "shard": [key[1]], "entries": [entries.astype(np.int32)], "vectors": [x.ravel()],
             "edges": [graph.astype(np.int32).ravel()], "ids": [np.concatenate(ids)], "n_ids": [[len(i) for i in ids]],
         })
 
     dealt = classes.withColumn("shard", shards.cast("int"))
     return written(
         dealt.groupBy("dim", "shard").applyInPandas(
-            build, "dim int, shard int, entry int, vectors array<double>, edges array<int>, ids array<long>, n_ids array<int>"
+            build, "dim int, shard int, entries array<int>, vectors array<double>, edges array<int>, ids array<long>, n_ids array<int>"
         ),
         "graph-index",
     )
@@ -229,16 +266,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
         edges = np.array(g["edges"], np.int64).reshape(len(x), DEGREE)
         counts = np.array(g["n_ids"])
         ids, first = np.array(g["ids"]), np.r_[0, np.cumsum(counts)]
-        f32 = x.astype(np.float32)
-        norms = np.einsum("nd,nd->n", f32, f32)
+        scaled, most = _scaled(x)
         out = []
         for i in range(0, len(rows), BATCH):
             part = rows.iloc[i : i + BATCH]
             q = np.array(part["v"].tolist(), float)
-            nodes, _ = beam_search(f32, norms, edges, int(g["entry"]), q.astype(np.float32), BEAM)
+            # A query beyond what squares can hold is as far from all of them.
+            with np.errstate(over="ignore"):
+                asked = np.clip(q / most, -1e150, 1e150)
+            nodes, _ = beam_search(scaled, edges, np.array(g["entries"], np.int64), asked, BEAM)
             for query, own, found in zip(part["vec_id"].tolist(), q, nodes):
                 found = found[found != NO_NODE]
-                exact = np.sqrt(((x[found] - own) ** 2).sum(axis=1))
+                exact = _lengths(x[found] - own)
                 pairs = [(s, v) for s, c in zip(exact.tolist(), found) for v in ids[first[c] : first[c + 1]].tolist() if v != query]
                 out += [(query, v, s) for s, v in sorted(pairs)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty

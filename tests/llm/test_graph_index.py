@@ -66,7 +66,49 @@ def test_odd_vectors(spark):
 
 def test_pruning_keeps_diverse_edges():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [1.2, 0], [0, 1]], np.float32)
-    norms = (x * x).sum(1)
     cand = np.array([[1, 2, 3, 4]])
-    edges = gi.robust_prune(x, norms, np.array([0]), cand, norms[cand], 4, 1.2)
+    edges = gi.robust_prune(x, np.array([0]), cand, (x * x).sum(1)[cand], 4, 1.2)
     assert [e for e in edges[0] if e >= 0] == [1, 4]
+
+
+def _recall(x, queries):
+    graph, entries = gi.build_graph(gi._scaled(x)[0], gi.DEGREE, gi.BUILD_BEAM, gi.RELAX)
+    scaled, most = gi._scaled(x)
+    nodes, _ = gi.beam_search(scaled, graph, entries, x[queries] / most, gi.BEAM)
+    hits = []
+    for q, found in zip(queries, nodes):
+        d = gi._lengths(x - x[q])
+        d[q] = np.inf
+        best = set(np.argsort(d, kind="stable")[:10].tolist())
+        found = [n for n in found.tolist() if n not in (q, gi.NO_NODE)]
+        hits.append(len(best & set(sorted(found, key=lambda n: d[n])[:10])) / 10)
+    return np.mean(hits)
+
+
+def _unit(rng, n, dim=64):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_on_near_copies_shifts_and_sizes():
+    rng = np.random.default_rng(8)
+    centre = _unit(rng, 1)
+    copies = centre + 1e-5 * rng.normal(size=(2000, 64))
+    groups = np.concatenate([copies[:1000], _unit(rng, 2000)])
+    for x in (copies, groups, rng.normal(size=(1500, 16)) + 1e4, rng.normal(size=(1500, 16)) * 1e200):
+        assert _recall(x, np.arange(0, len(x), 20)) >= 0.9
+
+
+def test_recall_on_a_full_shard():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, gi.SHARD_ROWS)] + 0.4 * rng.normal(size=(gi.SHARD_ROWS, 64))
+    assert _recall(x, np.arange(0, len(x), 50)) >= 0.9
+
+
+def test_long_vectors_are_found(spark):
+    rows = [(i, [1e25 * (i + 1), 1e25, 0.0]) for i in range(30)] + [(100 + i, [1e305 * (i + 1), 0.0, 1e-3]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = _found(gi.nearest(df, df.where("vec_id in (0, 5, 100)")))
+    assert [i for _, i in got[0]] == list(range(1, 11)) and got[0][0][0] == pytest.approx(1e25)
+    assert {i for _, i in got[5][:2]} == {4, 6} and got[100][-1][1] < 101 and len(got[100]) == 10
