@@ -40,13 +40,14 @@ def _scaled(x: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def _lengths(apart: np.ndarray) -> np.ndarray:
-    """Euclidean lengths of the rows; scaled only where squares leave the range of doubles."""
-    most = float(np.abs(apart).max(initial=0))
-    if 1e-120 < most < 1e150 or not most:
-        return np.sqrt((apart**2).sum(axis=1))
-    with np.errstate(over="ignore"):
-        halved, scale = _scaled(apart / 2)
-        return np.sqrt((halved**2).sum(axis=1)) * scale * 2
+    """Euclidean lengths of the rows; scaled where squares leave the range of doubles."""
+    most = np.abs(apart).max(axis=1, initial=0)
+    far = (most >= 1e150) | ((most > 0) & (most <= 1e-120))
+    out = np.zeros(len(apart))
+    out[~far] = np.sqrt((apart[~far] ** 2).sum(axis=1))
+    scale = most[far]
+    out[far] = np.sqrt(((apart[far] / scale[:, None]) ** 2).sum(axis=1)) * scale
+    return out
 
 
 def entry_nodes(x: np.ndarray, seed: int = 0) -> np.ndarray:
