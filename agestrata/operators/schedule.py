@@ -15,7 +15,7 @@ from agestrata.functions.ages import MONTHS
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import interval_probabilities
 from agestrata.operators.ratio import interval_summary, oadr_by_column
-from agestrata.schema import OPEN_AGE, WORKING_AGE
+from agestrata.schema import WORKING_AGE
 
 YEARLY_CAP = 12
 
@@ -32,6 +32,15 @@ def _with_value(
     return df.join(value.groupBy(*keys).agg(one), list(keys), "left")
 
 
+def _reachable(reach: int, ages: tuple[int, int] | None) -> Column:
+    """``start_month``, NULL where no schedule can begin there."""
+    start = F.col("start_month").cast("int")
+    inside = start >= (WORKING_AGE + 1) * MONTHS
+    if ages:
+        inside = inside & (start >= ages[0] * MONTHS) & (start + reach < (ages[1] + 1) * MONTHS)
+    return F.when(inside, start)
+
+
 def candidate_ratios(
     sim: DataFrame,
     start_month: int | DataFrame,
@@ -40,42 +49,38 @@ def candidate_ratios(
     keys: Sequence[str] = (),
     yearly_cap: int = YEARLY_CAP,
     na_rm: bool = False,
-    ages: tuple[int, int] = (WORKING_AGE + 1, OPEN_AGE),
+    ages: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``keys, Rep, Year, age_months, OADR`` for every month the schedule could have
     reached by then: ``start_month`` to ``start_month + yearly_cap * n`` in year n.
 
     One shuffle, of one short array per replicate and year; months are expanded
     after it. ``start_month`` must lie above working age. It may be a table ``keys,
-    start_month``; then ``ages`` are the youngest and the oldest whole age that any
-    schedule can reach, and one that leaves them raises. Keys without a start have no
-    candidates."""
+    start_month``: then each key counts the people above the whole ages that its own
+    schedule can reach, no more than any other. Keys without a start, whose start is not
+    above working age, or whose schedule can leave ``ages`` (the youngest and the oldest
+    whole age, where stated), have no candidates."""
     years = last_year - first_year + 1
-    by_key = isinstance(start_month, DataFrame)
-    if by_key:
-        lowest, highest = ages[0], ages[1] + 1
+    reach = yearly_cap * years
+    age, people = F.col("Age"), F.col("Population")
+    rows = sim.where(F.col("Year").between(first_year, last_year))
+    if isinstance(start_month, DataFrame):
+        rows = _with_value(rows, start_month, "start_month", keys).withColumn("_start", _reachable(reach, ages))
+        rows = rows.where("_start IS NOT NULL")
+        lowest, by, span = F.expr(f"_start div {MONTHS}"), ["_start"], reach // MONTHS + 2
     else:
         if start_month // MONTHS <= WORKING_AGE:
             raise ValueError("start_month must lie above working age")
-        lowest = start_month // MONTHS
-        highest = (start_month + yearly_cap * years) // MONTHS + 1
-    age, people = F.col("Age"), F.col("Population")
-    above = [F.sum(F.when(age >= a, people)) for a in range(lowest, highest + 1)]
+        lowest, by = F.lit(start_month // MONTHS), []
+        span = (start_month + reach) // MONTHS + 1 - start_month // MONTHS
+    above = [F.sum(F.when(age >= lowest + k, people)) for k in range(span + 1)]
     adults = total_where(age >= WORKING_AGE, people, na_rm)
-    per_year = (
-        sim.where(F.col("Year").between(first_year, last_year))
-        .groupBy(*keys, "Rep", "Year")
-        .agg(adults.alias("_adults"), F.array(*above).alias("_above"))
-    )
-    started = _with_value(per_year, start_month, "start_month", keys)
-    start = F.col("start_month").cast("int")
-    if by_key:
-        outside = F.raise_error(F.lit("a schedule leaves the stated ages")).cast("int")
-        inside = (start >= lowest * MONTHS) & (start + yearly_cap * years < highest * MONTHS)
-        start = F.when(inside | start.isNull(), start).otherwise(outside)
+    per_year = rows.groupBy(*keys, "Rep", "Year", *by).agg(adults.alias("_adults"), F.array(*above).alias("_above"))
+    started = per_year if by else per_year.withColumn("_start", F.lit(start_month))
+    start = F.col("_start").cast("int")
     last_month = start + yearly_cap * (F.col("Year") - (first_year - 1))
     months = started.withColumn("age_months", F.explode(F.sequence(start, last_month.cast("int"))))
-    step = F.expr(f"cast(age_months div {MONTHS} as int) - {lowest}")
+    step = F.expr(f"cast(age_months div {MONTHS} - _start div {MONTHS} as int)")
     part = F.col("age_months") % MONTHS
     # Nobody past the whole age itself leaves no pensioners (NULL, as in ``oadr``);
     # nobody past the next one is a count of zero.
@@ -219,11 +224,18 @@ def schedule_band(
     **options,
 ) -> DataFrame:
     """``keys, Year, lower, optimal, upper`` schedules in months, from one pass. Start and
-    target may be tables by key, as in ``candidate_ratios`` and ``need_months``."""
+    target may be tables by key, as in ``candidate_ratios`` and ``need_months``; a key of
+    the starts that has no candidates has NULL schedules, and no influence on others."""
     ratios = candidate_ratios(sim, start_month, first_year, last_year, keys, yearly_cap, na_rm, **options)
     need = need_months(ratios, target, level, keys, na_rm)
     bands = {name: name for name in ("lower", "optimal", "upper")}
-    return capped_schedule(need, start_month, first_year, last_year, keys, bands, yearly_cap)
+    found = capped_schedule(need, start_month, first_year, last_year, keys, bands, yearly_cap)
+    if not isinstance(start_month, DataFrame):
+        return found
+    spine = start_month.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(F.lit(first_year), F.lit(last_year))).alias("Year")
+    )
+    return spine.join(found, [*keys, "Year"], "left").select(*keys, "Year", *bands)
 
 
 def prepend_start(band: DataFrame, start: DataFrame, columns=("lower", "optimal", "upper")) -> DataFrame:

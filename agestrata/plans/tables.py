@@ -8,6 +8,7 @@ from agestrata.operators import accounting, curves, fertility, filters, reshape
 from agestrata.plans import views as V
 from agestrata.plans.registry import query, r, results_folder, rounded
 from agestrata.plans.views import FERTILITY_REGION, with_views
+from agestrata.schema import FERTILITY_CSV
 from agestrata.sources import tables
 
 # --- filters --------------------------------------------------------------------
@@ -245,6 +246,40 @@ def read_fertility_csv(spark, sf_dir):
     return tables.read_fertility_csv(spark, path)
 
 
+# A line of a CSV in every few is spoiled, by a rule of its own columns: its time, its value,
+# the sign of its value, or by being there twice.
+SPOILED = """SELECT Region, Age, Measure, CAST(Time AS VARCHAR) AS Time, Value, CAST(Age AS INTEGER) AS a FROM v_file"""
+
+
+@query(
+    with_views(
+        ["v_file"],
+        f"""SELECT Region, Age, CASE WHEN a % 7 = 1 THEN NULL ELSE CAST(Time AS INTEGER) END AS Time, Measure,
+                   CASE WHEN a % 7 = 2 THEN NULL WHEN a % 7 = 3 THEN -1.0 - Value ELSE Value END AS Value,
+                   CASE a % 7 WHEN 1 THEN 'Time is not int' WHEN 2 THEN 'Value is not double'
+                     WHEN 3 THEN 'Value is out of range' WHEN 4 THEN 'key comes twice' ELSE '' END AS problem
+            FROM ({SPOILED}), range(1, 3) AS t(copy) WHERE copy = 1 OR a % 7 = 4""",
+    )
+)
+def read_fertility_checked(spark, sf_dir):
+    a = F.col("Age").cast("int") % 7
+    file = V.fertility_file(spark, sf_dir).select(
+        "Region", "Age", F.when(a == 1, F.concat(F.lit("y"), "Time")).otherwise(F.col("Time").cast("string")).alias("Time"),
+        "Measure",
+        F.when(a == 2, "n/a").when(a == 3, (F.lit(-1.0) - F.col("Value")).cast("string"))
+        .otherwise(F.col("Value").cast("string")).alias("Value"),
+        F.explode(F.when(a == 4, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
+    )
+    path = _stored(file.drop("_copy"), "fertility-spoiled", "csv")
+    checked = tables.read_checked(
+        spark, path, FERTILITY_CSV, keys=["Region", "Age", "Time", "Measure"], ranges={"Value": (0.0, 1e12)}
+    )
+    good = tables.accepted(checked, 10**9).withColumn("problem", F.lit(""))
+    return good.unionByName(
+        tables.quarantined(checked).withColumn("problem", F.concat_ws("; ", "problems")).drop("problems")
+    )
+
+
 @query(with_views(["v_pop"], "SELECT * FROM v_pop"))
 def read_population(spark, sf_dir):
     return tables.read_population(spark, _stored(V.pop(spark, sf_dir), "population"))

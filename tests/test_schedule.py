@@ -203,12 +203,17 @@ def test_a_pyramid_reads_the_years_it_shows(spark, tmp_path):
     assert {r.Year for r in rows} == {2028}
 
 
-def test_starts_outside_the_stated_ages_are_refused(spark, table):
-    sim = table([("a", *r) for r in simulated(2, range(2024, 2026))], "country string, " + SIM)
-    low = spark.createDataFrame([("a", 700)], "country string, start_month int")
-    with pytest.raises(Exception, match="leaves the stated ages"):
-        schedule.candidate_ratios(sim, low, 2024, 2025, ["country"], ages=(60, 80)).count()
-    fine = spark.createDataFrame([("a", 804)], "country string, start_month int")
-    one = schedule.candidate_ratios(sim, 804, 2024, 2025, ["country"])
-    by_key = schedule.candidate_ratios(sim, fine, 2024, 2025, ["country"], ages=(60, 80))
+def test_one_impossible_start_leaves_the_others(spark, table):
+    rows = simulated(2, range(2024, 2026))
+    sim = table([(c, *r) for c in "abc" for r in rows], "country string, " + SIM)
+    starts = spark.createDataFrame([("a", 700), ("b", 804), ("c", 150), ("d", None)], "country string, start_month int")
+    one = schedule.candidate_ratios(sim.where("country = 'b'"), 804, 2024, 2025, ["country"])
+    by_key = schedule.candidate_ratios(sim, starts, 2024, 2025, ["country"], ages=(60, 80))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, by_key.collect()))
+    free = schedule.candidate_ratios(sim, starts, 2024, 2025, ["country"])
+    assert {r.country for r in free.select("country").distinct().collect()} == {"a", "b"}
+    band = schedule.schedule_band(sim, starts, 2024, 2025, 0.2, keys=["country"], ages=(60, 80)).collect()
+    assert {(r.country, r.Year) for r in band} == {(c, y) for c in "abcd" for y in (2024, 2025)}
+    assert all((r.optimal is None) == (r.country != "b") for r in band)
+    alone = schedule.schedule_band(sim.where("country = 'b'").drop("country"), 804, 2024, 2025, 0.2).collect()
+    assert sorted((r.Year, r.optimal) for r in alone) == sorted((r.Year, r.optimal) for r in band if r.country == "b")

@@ -49,10 +49,59 @@ def test_folders_of_years_hold_few_files(spark, tmp_path):
     df = spark.createDataFrame(rows, schema.SIMULATION).repartition(30)
     tables.save_result(df, "sim", str(tmp_path), ["Year"], files=4)
     for year in (2000, 2001, 2002):
-        assert 1 <= len(list((tmp_path / "sim" / f"Year={year}").glob("part-*"))) <= 4
+        assert 1 <= len(list((tmp_path / "sim" / "v1" / f"Year={year}").glob("part-*"))) <= 4
     assert tables.load_result(spark, "sim", str(tmp_path)).count() == 3000
 
 
+def _years(spark, folder):
+    rows = tables.load_result(spark, "sim", str(folder)).groupBy("Year").agg(F.sum("Population").alias("p")).collect()
+    return {r.Year: r.p for r in rows}
+
+
+def test_a_failed_write_keeps_the_earlier_version(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        tables.load_result(spark, "sim", str(tmp_path))
+    df = spark.createDataFrame([(0, y, "Male", 1, 1.0) for y in (2000, 2001)], schema.SIMULATION)
+    tables.save_result(df, "sim", str(tmp_path), ["Year"])
+    killed = df.withColumn("Population", F.when(F.col("Year") == 2001, F.raise_error(F.lit("killed"))).otherwise(5.0).cast("double"))
+    with pytest.raises(Exception, match="killed"):
+        tables.save_result(killed, "sim", str(tmp_path), ["Year"])
+    assert _years(spark, tmp_path) == {2000: 1.0, 2001: 1.0}
+    # Loading and saving one name in one plan.
+    tables.save_result(tables.load_result(spark, "sim", str(tmp_path)).withColumn("Population", F.col("Population") + 1), "sim", str(tmp_path), ["Year"])
+    assert _years(spark, tmp_path) == {2000: 2.0, 2001: 2.0}
+
+
+def test_only_touched_years_are_replaced_and_old_versions_go(spark, tmp_path):
+    for i in range(4):
+        df = spark.createDataFrame([(0, y, "Male", 1, float(i)) for y in (2000 + i, 2001 + i)], schema.SIMULATION)
+        tables.save_result(df, "sim", str(tmp_path), ["Year"], replace=False)
+    assert _years(spark, tmp_path) == {2000: 0.0, 2001: 1.0, 2002: 2.0, 2003: 3.0, 2004: 3.0}
+    assert sorted(p.name for p in (tmp_path / "sim").iterdir()) == ["v3", "v4"]
+
+
+def test_bad_lines_are_quarantined(spark, tmp_path):
+    path = tmp_path / "fertility.csv"
+    lines = ["Here,20,2001,Births,1.5", "Here,21,y2001,Births,2", "Here,22,2001,Births,n/a", "Here,23,2001,Births,-3",
+             "Here,24,2001,Births,4", "Here,24,2001,Births,5", ",25,2001,Births,6", "There,20,2001,Births"]
+    path.write_text("Region,Age,Time,Measure,Value\n" + "\n".join(lines) + "\n")
+    checked = tables.read_checked(
+        spark, str(path), schema.FERTILITY_CSV, keys=["Region", "Age", "Time", "Measure"], ranges={"Value": (0, 1e9)}
+    )
+    assert [tuple(r) for r in tables.accepted(checked, 6).orderBy("Region").collect()] == [
+        ("Here", "20", 2001, "Births", 1.5), ("There", "20", 2001, "Births", None),
+    ]
+    # Whichever columns are asked for.
+    assert sorted(r.Age for r in tables.accepted(checked, 6).select("Age").collect()) == ["20", "20"]
+    bad = {(r.Age, tuple(r.problems)) for r in tables.quarantined(checked).collect()}
+    assert bad == {
+        ("21", ("Time is not int",)), ("22", ("Value is not double",)), ("23", ("Value is out of range",)),
+        ("24", ("key comes twice",)), ("25", ("Region is missing",)),
+    }
+    with pytest.raises(Exception, match="6 rows have problems, at most 5"):
+        tables.accepted(checked, 5).collect()
+
+
 def test_results_folder_comes_from_the_session(spark):
     from agestrata.plans.registry import results_folder
 
