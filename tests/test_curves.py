@@ -332,3 +332,79 @@ def test_coherent_rolling_errors_are_those_of_each_origin(table):
             errors.setdefault((r.Sex, r.Year - o.train_to), []).append(actual[r.Sex, r.Year, r.Age] - r.value)
     assert got.keys() == errors.keys()
     assert all(got[k] == pytest.approx(np.sqrt(np.mean(np.square(e)))) for k, e in errors.items())
+
+
+def _wave(rng, years, ages):
+    """Curves of two components and some noise."""
+    t, a = np.arange(years), np.arange(ages)
+    return (
+        -3 + 0.05 * a + np.outer(np.cumsum(rng.normal(0.1, 0.3, years)), np.cos(a / 3))
+        + np.outer(np.cumsum(rng.normal(0, 0.2, years)), np.sin(a / 2)) + rng.normal(0, 0.02, (years, ages))
+    )
+
+
+def _parts(x, components, horizon, reverting):
+    """Forecast and variance of curves by the formulas written out."""
+    mu = x.mean(axis=0)
+    c = x - mu
+    phi = np.linalg.svd(c, full_matrices=False)[2][:components]
+    beta = c @ phi.T
+    residual = ((c - beta @ phi) ** 2).sum(axis=0) / (len(x) - 1)
+    h, n = np.arange(1, horizon + 1)[:, None], len(x) - 1
+    mean, var = np.tile(mu, (horizon, 1)), np.tile(residual, (horizon, 1))
+    for b, p in zip(beta.T, phi):
+        if reverting:
+            s, _ = np.polyfit(b[:-1], b[1:], 1)
+            s = np.clip(s, -0.99, 0.99)
+            level = (b[1:].mean() - s * b[:-1].mean()) / (1 - s)
+            e = (b[1:] - b[1:].mean()) - s * (b[:-1] - b[:-1].mean())
+            mean = mean + (level + s**h * (b[-1] - level)) * p
+            var = var + (e**2).sum() / (n - 2) * (1 - s ** (2 * h)) / (1 - s * s) * p**2
+        else:
+            d = np.diff(b)
+            mean = mean + (b[-1] + h * d.mean()) * p
+            var = var + d.var(ddof=1) * h * (1 + h / n) * p**2
+    return mean, var
+
+
+@pytest.mark.parametrize("components", [1, 2])
+def test_intervals_of_curves(spark, components):
+    from statistics import NormalDist
+
+    from agestrata.operators import rate_models
+
+    rng, z = np.random.default_rng(21), NormalDist().inv_cdf(0.9)
+    x = _wave(rng, 14, 9)
+    rows = [("s", 2000 + i, j, float(v)) for (i, j), v in np.ndenumerate(x)]
+    df = spark.createDataFrame(rows, "series string, Year int, Age int, value double")
+    mean, var = _parts(x, components, 5, False)
+    got = rate_models.component_forecast(df, ["series"], 5, components, level=80).collect()
+    assert len(got) == 45
+    for r in got:
+        at = (r.Year - 2014, r.Age)
+        assert [r.fitted, r.lower, r.upper] == pytest.approx(
+            [mean[at], mean[at] - z * var[at] ** 0.5, mean[at] + z * var[at] ** 0.5], rel=1e-9
+        )
+    plain = rate_models.component_forecast(df, ["series"], 5, components)
+    assert plain.columns == ["series", "Year", "Age", "fitted"]
+
+
+@pytest.mark.parametrize("log", [True, False])
+def test_intervals_of_both_sexes(spark, log):
+    from statistics import NormalDist
+
+    from agestrata.operators import rate_models
+
+    rng, z = np.random.default_rng(22), NormalDist().inv_cdf(0.975)
+    sexes = {"Male": _wave(rng, 15, 6), "Female": _wave(rng, 15, 6)}
+    rows = [(s, 2000 + i, j, float(np.exp(v) if log else v)) for s, x in sexes.items() for (i, j), v in np.ndenumerate(x)]
+    df = spark.createDataFrame(rows, "Sex string, Year int, Age int, value double")
+    shared, apart = (sexes["Male"] + sexes["Female"]) / 2, (sexes["Male"] - sexes["Female"]) / 2
+    (m0, v0), (m1, v1) = _parts(shared, 1, 4, False), _parts(apart, 1, 4, True)
+    got = rate_models.coherent_forecast(df, [], 4, 1, log=log, level=95).collect()
+    assert len(got) == 48
+    for r in got:
+        at = (r.Year - 2015, r.Age)
+        mean = m0[at] + m1[at] * (1 if r.Sex == "Male" else -1)
+        ends = [mean, mean - z * (v0[at] + v1[at]) ** 0.5, mean + z * (v0[at] + v1[at]) ** 0.5]
+        assert [r.value, r.lower, r.upper] == pytest.approx(np.exp(ends) if log else ends, rel=1e-8)
