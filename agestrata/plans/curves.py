@@ -11,6 +11,8 @@ from agestrata.plans.views import FERTILITY_REGION, FOLD_HORIZON, FOLD_TRAIN, wi
 
 # Rates of cells without events are raised to this before taking logs.
 FLOOR = 0.001
+# Fixed value: the normal quantile of 0.9, for central intervals of 80 percent.
+NORMAL_90 = 1.2815515655446004
 SERIES = ["series", "Sex"]
 
 # --- accounting -------------------------------------------------------------------
@@ -410,11 +412,7 @@ def component_check(spark, sf_dir):
 
 # The leading component alone, whose direction and share SQL can find: a fixed number of
 # squarings of the small matrix of years by years leaves it.
-@query(
-    with_views(
-        ["v_rates"],
-        CENTERED
-        + f""", gram AS (
+LEADING = """, gram AS (
   SELECT a.series, a.Sex, a.Year AS i, b.Year AS k, sum(a.centered * b.centered) AS g
   FROM centered a JOIN centered b ON a.series = b.series AND a.Sex = b.Sex AND a.Age = b.Age
   GROUP BY ALL),
@@ -435,7 +433,15 @@ largest AS (
 fitted AS (
   SELECT c.series, c.Sex, p.k AS Year, c.Age, sum(p.g * c.centered) AS part
   FROM powers p JOIN centered c ON c.series = p.series AND c.Sex = p.Sex AND c.Year = p.i
-  WHERE n = 40 GROUP BY ALL)
+  WHERE n = 40 GROUP BY ALL)"""
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        CENTERED
+        + LEADING
+        + f"""
 SELECT f.series, f.Sex, f.Year, f.Age, {r('mu + part')} AS fitted, {r('lambda_ / trace')} AS share
 FROM fitted f JOIN mean_curve m ON m.series = f.series AND m.Sex = f.Sex AND m.Age = f.Age
      JOIN largest l ON l.series = f.series AND l.Sex = f.Sex JOIN scale s ON s.series = f.series AND s.Sex = f.Sex""",
@@ -452,6 +458,43 @@ def leading_component(spark, sf_dir):
     return rounded(fitted.join(shares, SERIES), "fitted", "share")
 
 
+# One component of many: what is rebuilt is its score times its loading, so drift and the
+# variance of its steps are those of each age's rebuilt values, and the rest is residual.
+@query(
+    with_views(
+        ["v_rates"],
+        CENTERED
+        + LEADING
+        + f""", span AS (SELECT series, Sex, min(Year) AS first, max(Year) AS last FROM fitted GROUP BY ALL),
+steps AS (
+  SELECT a.series, a.Sex, a.Age, count(*)::DOUBLE AS n, var_samp(a.part - b.part) AS v
+  FROM fitted a JOIN fitted b ON a.series = b.series AND a.Sex = b.Sex AND a.Age = b.Age AND b.Year = a.Year - 1
+  GROUP BY ALL),
+rest AS (
+  SELECT c.series, c.Sex, c.Age, greatest(c.whole - f.held, 0) / nullif(c.n - 1, 0) AS residual
+  FROM (SELECT series, Sex, Age, sum(centered * centered) AS whole, count(*) AS n FROM centered GROUP BY ALL) c
+       JOIN (SELECT series, Sex, Age, sum(part * part) AS held FROM fitted GROUP BY ALL) f
+       ON c.series = f.series AND c.Sex = f.Sex AND c.Age = f.Age),
+ahead AS (
+  SELECT m.series, m.Sex, m.Age, last + h AS Year, mu + b.part + h * (b.part - a.part) / (last - first) AS fitted,
+         {NORMAL_90} * sqrt(CASE WHEN n > 1 THEN v * h * (1 + h / n) END + residual) AS half
+  FROM mean_curve m JOIN span USING (series, Sex)
+       JOIN fitted a ON a.series = m.series AND a.Sex = m.Sex AND a.Age = m.Age AND a.Year = first
+       JOIN fitted b ON b.series = m.series AND b.Sex = m.Sex AND b.Age = m.Age AND b.Year = last
+       JOIN steps s ON s.series = m.series AND s.Sex = m.Sex AND s.Age = m.Age
+       JOIN rest e ON e.series = m.series AND e.Sex = m.Sex AND e.Age = m.Age,
+       range(1, 34) AS t(h))
+SELECT series, Sex, CAST(Year AS INTEGER) AS Year, Age, {r('fitted')} AS fitted, {r('fitted - half')} AS lower,
+       {r('fitted + half')} AS upper
+FROM ahead""",
+        recursive=True,
+    )
+)
+def component_forecast_interval(spark, sf_dir):
+    out = rate_models.component_forecast(_logs(spark, sf_dir), SERIES, components=1, level=80)
+    return rounded(out, "fitted", "lower", "upper")
+
+
 # A basis SQL can form too: the centred curves of the first two years.
 @query(
     with_views(
@@ -545,8 +588,6 @@ def mean_reverting_forecast(spark, sf_dir):
     return rounded(ahead, "value")
 
 
-# Fixed value: the normal quantile of 0.9, for central intervals of 80 percent.
-NORMAL_90 = 1.2815515655446004
 STEPS = """, steps AS (
   SELECT a.*, b.value AS prev, a.value - b.value AS step FROM logs a
   LEFT JOIN logs b ON a.series = b.series AND a.Sex = b.Sex AND a.Age = b.Age AND b.Year = a.Year - 1)"""
