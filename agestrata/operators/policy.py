@@ -82,34 +82,20 @@ def attach_scheme(
     Rows outside the scheme get the lowest pension age among the scheme rows that
     ``pop`` does meet. That is one scalar for the whole table, or one per group of
     ``fill_keys`` when groups cover different years. ``fill=False`` leaves NULL and
-    saves a scan of the join columns; use it when the scheme covers every year.
+    saves a scan of the join columns; use it when the scheme covers every year. The ratios
+    of ``operators.ratio`` fill from the scan that they make anyway.
     The scheme is far smaller than the population, so Catalyst broadcasts it if
     its size allows, and otherwise joins by key.
     """
-    return join_ages(pop, checked_scheme(scheme, on), ["age_months"], on, fill, fill_keys)
-
-
-def join_ages(
-    pop: DataFrame,
-    schemes: DataFrame,
-    columns: Sequence[str],
-    on: Sequence[str],
-    fill: bool,
-    fill_keys: Sequence[str],
-) -> DataFrame:
-    """``attach_scheme`` for several columns of pension ages, ``schemes`` being unique
-    by ``on``."""
-    joined = pop.join(schemes, list(on), "left")
+    joined = pop.join(checked_scheme(scheme, on), list(on), "left")
     if not fill:
         return joined
-    met = pop.select(*fill_keys, *on).distinct().join(schemes, list(on))
-    lowest = [F.min(c).alias(f"_lowest_{c}") for c in columns]
+    met = pop.select(*fill_keys, *on).distinct().join(checked_scheme(scheme, on), list(on))
+    lowest = F.min("age_months").alias("_lowest")
     if fill_keys:
-        joined = joined.join(met.groupBy(*fill_keys).agg(*lowest), list(fill_keys), "left")
-        filled = {c: F.coalesce(c, f"_lowest_{c}") for c in columns}
-        return joined.withColumns(filled).drop(*[f"_lowest_{c}" for c in columns])
-    values = met.agg(F.struct(*lowest)).scalar()
-    return joined.withColumns({c: F.coalesce(c, values[f"_lowest_{c}"]) for c in columns})
+        joined = joined.join(met.groupBy(*fill_keys).agg(lowest), list(fill_keys), "left")
+        return joined.withColumn("age_months", F.coalesce("age_months", "_lowest")).drop("_lowest")
+    return joined.withColumn("age_months", F.coalesce("age_months", met.agg(lowest).scalar()))
 
 
 def order_by_policy(df: DataFrame) -> DataFrame:

@@ -6,15 +6,17 @@ aggregate with two sums: no window, no pivot and no dependence on row order. Wit
 whole-number populations both sums are exact.
 """
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agestrata.functions.ages import GROUPS, MONTHS, pensioner_months, worker_months
 from agestrata.functions.aggregates import total_where
 from agestrata.functions.quantiles import group_quantiles, interval_probabilities
-from agestrata.operators.policy import CAPS, attach_scheme, join_ages
+from agestrata.operators.policy import CAPS, checked_scheme
 from agestrata.operators.reshape import union_labelled
 from agestrata.schema import WORKING_AGE
 
@@ -70,16 +72,84 @@ def group_population(
     )
 
 
-def _ratio(aged: DataFrame, keys: Sequence[str], na_rm: bool) -> DataFrame:
-    age, months, people = F.col("Age"), F.col("age_months"), F.col("Population")
-    pension, work = pensioner_months(age, months), worker_months(age, months)
-    sums = aged.groupBy(*keys).agg(
-        F.sum(F.when(work > 0, people * work)).alias("_work"),
-        F.sum(F.when(pension > 0, people * pension)).alias("_pension"),
-        F.count_if(people.isNull() & ((work > 0) | (pension > 0))).alias("_missing"),
+def _filled_sums(
+    pop: DataFrame,
+    schemes: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str],
+    on: Sequence[str],
+    fill_keys: Sequence[str],
+    common: Sequence[Column],
+    own: Callable[[Column], Sequence[Column]],
+) -> DataFrame:
+    """``keys, _i``, the sums ``common`` and those of ``own``, given the pension months of the
+    i-th of ``columns``. Missing months are filled as ``attach_scheme`` fills them.
+
+    Which age fills a row is known only once all rows are seen. A row that lacks an age is
+    therefore summed under every age of the schemes, in months some tens of numbers, and
+    the age that applies is picked among the sums: the population is read once. Rows that
+    have their ages are summed once. Both the ages met and the sums come from one shuffle,
+    which Spark reuses as both ask for all of its columns."""
+    keys, on = list(keys), list(on)
+    apart = list(dict.fromkeys([*keys, *on, *fill_keys]))
+    ages = schemes.select(F.explode(F.array(*columns)).alias("_m")).agg(F.collect_set("_m").alias("_m")).scalar()
+    known = F.array(F.lit(None).cast("int"))
+    lacks = reduce(or_, [F.col(c).isNull() for c in columns])
+    tried = (
+        pop.join(schemes, on, "left")
+        .withColumn("_ages", F.when(lacks, F.concat(known, ages)).otherwise(known))
+        # An outer one, of lists that are never empty, asks for no filter on their size.
+        .withColumn("_try", F.explode_outer("_ages"))
+    )
+    per_column = [own(F.coalesce(c, "_try")) for c in columns]
+    names = [f"_s{n}" for n in range(len(per_column[0]))]
+    shared = [f"_t{n}" for n in range(len(common))]
+    sums = tried.groupBy(*apart, "_try").agg(
+        *[s.alias(name) for s, name in zip(common, shared)],
+        *[s.alias(f"{name}_{i}") for i, parts in enumerate(per_column) for s, name in zip(parts, names)],
+        *[F.max(c).alias(c) for c in columns],
+    )
+    everything = F.struct(*sums.columns).alias("_all")
+    has_group = reduce(and_, [F.col(k).isNotNull() for k in fill_keys], F.lit(True))
+    lowest = F.struct(
+        *[
+            F.min(F.when(has_group & F.col("_try").isNull() & F.col(c).isNotNull(), F.struct(c, everything)))[c].alias(c)
+            for c in columns
+        ]
+    ).alias("_low")
+    if fill_keys:
+        # A comparison that NULL passes keeps the optimizer from filtering one side only.
+        low = sums.groupBy(*[F.col(k).alias(f"_of_{k}") for k in fill_keys]).agg(lowest)
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in fill_keys]
+        sums = sums.join(low, reduce(and_, same), "left")
+    else:
+        sums = sums.withColumn("_low", sums.agg(lowest).scalar())
+    arms = [
+        F.struct(
+            F.lit(i).alias("_i"),
+            F.when(F.col(c).isNull(), F.col("_low")[c]).alias("_fill"),
+            *[F.col(f"{name}_{i}").alias(name) for name in names],
+        )
+        for i, c in enumerate(columns)
+    ]
+    picked = (
+        sums.select(*apart, "_try", *shared, F.explode(F.array(*arms)).alias("_a"))
+        .where(F.col("_try").eqNullSafe(F.col("_a._fill")))
+        .select(*apart, *shared, "_a.*")
     )
-    ratio = F.try_divide("_pension", "_work")
-    return sums.select(*keys, (ratio if na_rm else F.when(F.col("_missing") == 0, ratio)).alias("OADR"))
+    if len(apart) == len(keys):
+        return picked.select(*keys, "_i", *shared, *names)
+    return picked.groupBy(*keys, "_i").agg(*[F.sum(c).alias(c) for c in [*shared, *names]])
+
+
+def _ratio_sums(months: Column) -> list[Column]:
+    age, people = F.col("Age"), F.col("Population")
+    pension, work = pensioner_months(age, months), worker_months(age, months)
+    return [
+        F.sum(F.when(work > 0, people * work)),
+        F.sum(F.when(pension > 0, people * pension)),
+        F.count_if(people.isNull() & ((work > 0) | (pension > 0))),
+    ]
 
 
 def oadr(
@@ -94,8 +164,15 @@ def oadr(
     """``keys, Year, OADR``. NULL without workers or without pensioners.
 
     ``on`` joins the scheme; add ``Sex`` for a scheme that differs by sex."""
-    aged = attach_scheme(pop, scheme, on, fill, fill_keys)
-    return _ratio(aged, [*keys, "Year"], na_rm)
+    by, checked = [*keys, "Year"], checked_scheme(scheme, on)
+    if fill:
+        sums = _filled_sums(pop, checked, ["age_months"], by, on, fill_keys, [], _ratio_sums)
+    else:
+        aged = pop.join(checked, list(on), "left")
+        parts = _ratio_sums(F.col("age_months"))
+        sums = aged.groupBy(*by).agg(*[s.alias(f"_s{n}") for n, s in enumerate(parts)])
+    ratio = F.try_divide("_s1", "_s0")
+    return sums.select(*by, (ratio if na_rm else F.when(F.col("_s2") == 0, ratio)).alias("OADR"))
 
 
 def interval_summary(
@@ -160,25 +237,32 @@ def oadr_by_column(
         ],
     )
     months = [f"_m{i}" for i in range(len(columns))]
-    aged = join_ages(sim, checked, months, on, fill, fill_keys)
-
     age, people = F.col("Age"), F.col("Population")
     adult = age >= WORKING_AGE
+    adults = [F.sum(F.when(adult, people)), F.count_if(adult & people.isNull())]
+
+    def pensions(m: Column) -> list[Column]:
+        share = pensioner_months(age, m)
+        return [F.sum(F.when(share > 0, people * share))]
+
     per_rep = [*keys, "Rep", "Year"]
-    pensions = []
-    for i, m in enumerate(months):
-        share = pensioner_months(age, F.col(m))
-        pensions.append(F.sum(F.when(share > 0, people * share)).alias(f"_p{i}"))
-    sums = aged.groupBy(*per_rep).agg(total_where(adult, people, na_rm).alias("_adults"), *pensions)
-    arms = [
-        F.struct(
-            F.lit(name).alias("Policy"),
-            F.lit(rank).alias("policy_rank"),
-            F.try_divide(F.col(f"_p{rank - 1}"), MONTHS * F.col("_adults") - F.col(f"_p{rank - 1}")).alias("OADR"),
+
+    def ratio(pension: Column) -> Column:
+        whole = F.col("_t0") if na_rm else F.when(F.col("_t1") == 0, F.col("_t0"))
+        return F.try_divide(pension, MONTHS * whole - pension).alias("OADR")
+
+    policies = [(F.lit(name).alias("Policy"), F.lit(rank).alias("policy_rank")) for rank, name in enumerate(names.values(), 1)]
+    if fill:
+        sums = _filled_sums(sim, checked, months, per_rep, on, fill_keys, adults, pensions)
+        named = F.array(*[F.struct(*p) for p in policies])
+        ratios = sums.select(*per_rep, named[F.col("_i")].alias("_a"), ratio(F.col("_s0"))).select(*per_rep, "_a.*", "OADR")
+    else:
+        sums = sim.join(checked, on, "left").groupBy(*per_rep).agg(
+            *[s.alias(f"_t{n}") for n, s in enumerate(adults)],
+            *[pensions(F.col(m))[0].alias(f"_p{i}") for i, m in enumerate(months)],
         )
-        for rank, name in enumerate(names.values(), 1)
-    ]
-    ratios = sums.select(*per_rep, F.explode(F.array(*arms)).alias("_a")).select(*per_rep, "_a.*")
+        arms = [F.struct(*p, ratio(F.col(f"_p{i}"))) for i, p in enumerate(policies)]
+        ratios = sums.select(*per_rep, F.explode(F.array(*arms)).alias("_a")).select(*per_rep, "_a.*")
     return interval_summary(ratios, [*keys, "Policy", "policy_rank", "Year"], level, na_rm=na_rm)
 
 

@@ -185,6 +185,70 @@ def test_simulation_is_scanned_once(spark, tmp_path):
     assert "Sex" not in plan.split("ReadSchema")[1]
 
 
+def file_scans(plan):
+    """Numbers of the file scans that ran; what is reused did not run again."""
+    name = plan.getClass().getSimpleName()
+    if name.startswith("Reused"):
+        return set()
+    if name == "AdaptiveSparkPlanExec":
+        return file_scans(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return file_scans(plan.plan())
+    below = [of.apply(i) for of in (plan.children(), plan.subqueries()) for i in range(of.size())]
+    return {plan.id()} if name == "FileSourceScanExec" else set().union(*map(file_scans, below))
+
+
+@pytest.mark.parametrize("fill_keys", [[], ["Rep"]])
+@pytest.mark.parametrize("many", [False, True])
+def test_filling_reads_the_simulation_once(spark, table, tmp_path, fill_keys, many):
+    path = str(tmp_path / "sim")
+    table(simulated(3, (1999, 2000, 2001)), SIM).write.parquet(path)
+    sim, policy = spark.read.parquet(path), policy_schedule(year_spine(spark, 2000, 2001))
+    if many:
+        df = ratio.oadr_by_policy(sim, policy, fill_keys=fill_keys)
+    else:
+        df = ratio.oadr_sim(sim, policy.where("Policy = 'Current'"), fill_keys=fill_keys)
+    df.collect()
+    assert len(file_scans(df._jdf.queryExecution().executedPlan())) == 1
+
+
+def test_filled_by_sex_and_policy(table):
+    """Schemes by sex that lack a year for one sex or one policy: each cell takes its own
+    policy's lowest age that the population meets, and the sexes are added after that."""
+    rows = simulated(2, (1999, 2000))
+    ages = {("P", "Male", 2000): 790, ("P", "Female", 2000): 775, ("P", "Male", 1999): 811,
+            ("Q", "Female", 1999): 800, ("Q", "Male", 2000): 826, ("Q", "Male", 1990): 700}
+    lowest = {"P": 775, "Q": 800}
+    policy = table([(y, s, p, m) for (p, s, y), m in ages.items()], "Year int, Sex string, Policy string, age_months int")
+    out = ratio.oadr_by_policy(table(rows, SIM), policy, ["P", "Q"], on=["Year", "Sex"], level=80)
+    got = {(r.Policy, r.Year): r.OADR for r in out.collect()}
+    for name in ("P", "Q"):
+        for year in (1999, 2000):
+            of = []
+            for rep in (0, 1):
+                work = pension = 0.0
+                for sex in ("Male", "Female"):
+                    m = ages.get((name, sex, year), lowest[name])
+                    for _, _, _, age, people_ in (r for r in rows if r[:3] == (rep, year, sex)):
+                        share = min(12, max(0, (age + 1) * 12 - m))
+                        pension += people_ * share
+                        work += people_ * (12 - share) * (age >= 15)
+                of.append(pension / work)
+            assert got[name, year] == pytest.approx(sum(of) / 2, rel=1e-12)
+
+
+def test_nothing_to_fill_from(table):
+    """No year of the scheme is met, or the scheme is empty: NULL, and every year is there."""
+    sim = table(simulated(1, (2000, 2001)), SIM)
+    for scheme in ([(1900, 780)], []):
+        got = ratio.oadr_sim(sim, table(scheme, SCHEME)).collect()
+        assert {r.Year: r.OADR for r in got} == {2000: None, 2001: None}
+    named = table([(1900, "P", 780)], "Year int, Policy string, age_months int")
+    got = ratio.oadr_by_policy(sim, named, ["P"]).collect()
+    assert {r.Year: r.OADR for r in got} == {2000: None, 2001: None}
+    assert ratio.oadr_sim(sim.limit(0), table([(2000, 780)], SCHEME)).collect() == []
+
+
 def test_ratio_does_not_rise_with_pension_age(table):
     """Sixty random populations, each with a random pension age and the next month."""
     rng = random.Random(8)
