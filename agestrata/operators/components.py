@@ -27,18 +27,25 @@ def _key_types(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
 
 
-def _matrix(rows: pd.Series, columns: pd.Series, values: pd.Series):
-    """Long cells as a dense matrix, absent and NULL ones being zero, and the sorted
-    column labels. A cell that comes twice, or is infinite, raises."""
-    row_labels, i = np.unique(rows.to_numpy(), return_inverse=True)
-    labels, j = np.unique(columns.to_numpy(), return_inverse=True)
-    x, cells = np.zeros((len(row_labels), len(labels))), values.to_numpy(float)
-    if len(np.unique(i * len(labels) + j)) < len(cells):
+def _cells(rows: np.ndarray, columns: np.ndarray, values: np.ndarray):
+    """Long cells as a dense matrix, absent and NULL ones not numbers; the sorted labels of
+    its rows and columns; and which cells there are. A cell that comes twice, or is
+    infinite, raises."""
+    row_labels, i = np.unique(rows, return_inverse=True)
+    labels, j = np.unique(columns, return_inverse=True)
+    if len(np.unique(i * len(labels) + j)) < len(values):
         raise ValueError("two rows for one cell")
-    if np.isinf(cells).any():
+    if np.isinf(values).any():
         raise ValueError("an infinite cell")
-    x[i, j] = np.where(np.isnan(cells), 0.0, cells)
-    return x, labels
+    x, there = np.full((len(row_labels), len(labels)), np.nan), np.zeros((len(row_labels), len(labels)), bool)
+    x[i, j], there[i, j] = values, True
+    return x, row_labels, labels, there
+
+
+def _matrix(rows: pd.Series, columns: pd.Series, values: pd.Series):
+    """``_cells`` with zeros for absent and NULL cells, and the sorted column labels."""
+    x, _, labels, _ = _cells(rows.to_numpy(), columns.to_numpy(), values.to_numpy(float))
+    return np.nan_to_num(x, copy=False, nan=0.0), labels
 
 
 def _with_keys(out: pd.DataFrame, group: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
@@ -50,15 +57,21 @@ def _with_keys(out: pd.DataFrame, group: pd.DataFrame, keys: Sequence[str]) -> p
 BASIS = "j int, Age int, phi double, share double"
 
 
-def _leading(matrix: np.ndarray, ages: np.ndarray, components: int) -> pd.DataFrame:
-    """Leading eigenvectors of one matrix as rows; the largest loading is positive."""
+def _vectors(matrix: np.ndarray, components: int):
+    """Leading eigenvectors of one matrix as columns, and their shares; the largest loading
+    is positive."""
     values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][:components]
     whole = np.clip(values, 0.0, None).sum()
     phi = vectors[:, order]
     phi = phi * np.sign(phi[np.abs(phi).argmax(axis=0), np.arange(phi.shape[1])])
-    share = np.clip(values[order], 0.0, None) / whole if whole > 0 else np.zeros(len(order))
-    kept = len(order)
+    return phi, np.clip(values[order], 0.0, None) / whole if whole > 0 else np.zeros(len(order))
+
+
+def _leading(matrix: np.ndarray, ages: np.ndarray, components: int) -> pd.DataFrame:
+    """``_vectors`` as rows."""
+    phi, share = _vectors(matrix, components)
+    kept = len(share)
     return pd.DataFrame(
         {
             "j": np.repeat(np.arange(1, kept + 1), len(ages)),

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 
 from agestrata.functions.aggregates import mean_absolute, root_mean_square
 from agestrata.operators.components import COMPONENTS
-from agestrata.operators.rate_models import coherent_forecast, component_forecast
+from agestrata.operators.rate_models import by_sex_again, shared_and_apart
+from agestrata.operators.rolling import rolling_fits
 
 
 def fold_table(years: DataFrame, train: int, horizon: int) -> DataFrame:
@@ -82,12 +83,9 @@ def rolling_rate_forecast(
     components: int = COMPONENTS,
 ) -> DataFrame:
     """``keys, id, h, Year, Age, fitted``: for each origin, components of the training
-    curves, scores extended with drift, curves rebuilt. The origin is one more key, so
-    all origins are one job."""
-    # The end of training goes with the origin through the whole job, as one more key.
-    keyed = [*keys, "id", "train_to"]
-    training = curves.join(fold_years(folds, "train"), "Year")
-    fitted = component_forecast(training, keyed, horizon, components)
+    curves, scores extended with drift, curves rebuilt, all origins in one job that reads
+    every cell once (``rolling.rolling_fits``)."""
+    fitted = rolling_fits(curves, folds, keys, horizon, components)
     ahead = (F.col("Year") - F.col("train_to")).cast("int").alias("h")
     return fitted.select(*keys, "id", ahead, "Year", "Age", "fitted")
 
@@ -119,11 +117,12 @@ def rolling_coherent_forecast(
 ) -> DataFrame:
     """``keys, id, h, Sex, Year, Age, value``: ``coherent_forecast`` of both sexes from the
     training years of each origin, all origins in one job."""
-    keyed = [*keys, "id", "train_to"]
-    training = df.join(fold_years(folds, "train"), "Year")
-    fitted = coherent_forecast(training, keyed, horizon, components, value, log)
+    curves = shared_and_apart(df, keys, value, log)
+    parted = [*keys, "part"]
+    fitted = rolling_fits(curves, folds, parted, horizon, components, reverting=F.col("part") == "apart")
+    by_sex = by_sex_again(fitted, [*keys, "id", "train_to"], log)
     ahead = (F.col("Year") - F.col("train_to")).cast("int").alias("h")
-    return fitted.select(*keys, "id", ahead, "Sex", "Year", "Age", "value")
+    return by_sex.select(*keys, "id", ahead, "Sex", "Year", "Age", "value")
 
 
 def rolling_coherent_backtest(

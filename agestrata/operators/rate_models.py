@@ -97,6 +97,38 @@ def component_forecast(
     )
 
 
+def shared_and_apart(df: DataFrame, keys: Sequence[str], value: str, log: bool) -> DataFrame:
+    """``keys, Year, Age, part, value``: what the sexes share and what sets them apart; cells
+    of one sex alone are left out."""
+    if log:
+        paired = product_ratio(df, keys, value)
+        shared, apart = F.ln("product"), F.ln("ratio")
+    else:
+        paired = sum_difference(df, keys, value)
+        shared, apart = F.col("half_sum"), F.col("half_difference")
+    parts = F.array(
+        F.struct(F.lit("shared").alias("part"), shared.alias("value")),
+        F.struct(F.lit("apart").alias("part"), apart.alias("value")),
+    )
+    return (
+        paired.select(*keys, "Year", "Age", F.explode(parts).alias("_p"))
+        .select(*keys, "Year", "Age", "_p.part", "_p.value")
+        .where(F.col("value").isNotNull())
+    )
+
+
+def by_sex_again(fitted: DataFrame, keys: Sequence[str], log: bool) -> DataFrame:
+    """``keys, Sex, Year, Age, value`` from both parts of each cell."""
+    both = pair_cells(fitted, [*keys, "Year", "Age"], "part", ["shared", "apart"], "fitted")
+    if log:
+        both = both.select(
+            *keys, "Year", "Age", F.exp("shared").alias("product"), F.exp("apart").alias("ratio")
+        )
+        return recombine_product_ratio(both, keys)
+    both = both.withColumnsRenamed({"shared": "half_sum", "apart": "half_difference"})
+    return recombine_sum_difference(both, keys)
+
+
 def coherent_forecast(
     df: DataFrame,
     keys: Sequence[str] = (),
@@ -116,34 +148,12 @@ def coherent_forecast(
     With ``level`` also ``lower`` and ``upper``: a sex is the sum or the difference of the two
     parts, whose variances (``component_forecast``) add up; with ``log`` the ends are
     exponentiated."""
-    if log:
-        paired = product_ratio(df, keys, value)
-        shared, apart = F.ln("product"), F.ln("ratio")
-    else:
-        paired = sum_difference(df, keys, value)
-        shared, apart = F.col("half_sum"), F.col("half_difference")
-    parts = F.array(
-        F.struct(F.lit("shared").alias("part"), shared.alias("value")),
-        F.struct(F.lit("apart").alias("part"), apart.alias("value")),
-    )
-    curves = (
-        paired.select(*keys, "Year", "Age", F.explode(parts).alias("_p"))
-        .select(*keys, "Year", "Age", "_p.part", "_p.value")
-        .where(F.col("value").isNotNull())
-    )
+    curves = shared_and_apart(df, keys, value, log)
     keyed = [*keys, "part"]
     centered, mu, basis, scores = _fit(curves, keyed, components, "value")
     ahead = mixed_forecast(scores, [*keyed, "j"], F.col("part") == "apart", horizon, level=level)
     fitted = reconstruct(mu, basis, ahead, keyed, components)
-    both = pair_cells(fitted, [*keys, "Year", "Age"], "part", ["shared", "apart"], "fitted")
-    if log:
-        both = both.select(
-            *keys, "Year", "Age", F.exp("shared").alias("product"), F.exp("apart").alias("ratio")
-        )
-        by_sex = recombine_product_ratio(both, keys)
-    else:
-        both = both.withColumnsRenamed({"shared": "half_sum", "apart": "half_difference"})
-        by_sex = recombine_sum_difference(both, keys)
+    by_sex = by_sex_again(fitted, keys, log)
     if level is None:
         return by_sex
     residual = residual_variance(centered, basis, scores, keyed)

@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from agestrata.session import local_session
 spark = local_session("shipping", 2, partitions=2)
 print("rows", entry.queries()["variance_shares"](spark, "/root/testdata/sf0.001").count())
+print("refits", entry.queries()["rolling_rate_backtest"](spark, "/root/testdata/sf0.001").count())
 """
 
 
@@ -21,3 +22,4 @@ def test_python_steps_run_from_any_folder(tmp_path):
         [sys.executable, "-c", PROGRAM], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
     )
     assert "rows 2" in done.stdout, done.stderr[-2000:]
+    assert "refits " in done.stdout, done.stderr[-2000:]
