@@ -29,8 +29,11 @@ PEM = re.compile(
     r"((?:[A-Za-z0-9+/=\s:,]|\\+(?:[nrt/]|u000[9AaDd])|-(?!----))*)-----END \1-----"
 )
 ESCAPED = re.compile(r"\\+([nrt/]|u000[9AaDd])")
-# The first segment of a signed token is the base64 of an object, so it starts with {".
-JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+# Three segments, from the start of any: a header that names an algorithm has 11 bytes, a
+# signature 16. Looking ahead leaves the segments after the first to be starts as well.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{15,}+)\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{22,}+)")
+JWT_REST = re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+OBJECT_START = re.compile(rb"\s*(?:$|\{\s*(?:$|\"))")
 # The shortest credential, as token=abcdef, has 12 bytes: 16 characters, or 24 hex digits.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
@@ -165,14 +168,25 @@ def _decode16(run: str) -> bytes | None:
         return None
 
 
+def _texts(data: bytes, errors: str) -> Iterator[tuple[str, str]]:
+    """``data`` as text, and its coding: UTF-8, and UTF-16 of either order where it has the
+    zero bytes of that. ``errors`` says what becomes of bytes that are none."""
+    whole = data[: len(data) // 2 * 2]
+    for coding in ("utf-8", "utf-16-le", "utf-16-be") if b"\0" in data else ("utf-8",):
+        try:
+            yield (data if coding == "utf-8" else whole).decode(coding, errors if coding == "utf-8" else "replace"), coding
+        except UnicodeDecodeError:
+            continue
+
+
+def _credentials(text: str) -> list[tuple[str, int, int]]:
+    """What stands in decoded text: a credential, or something that is one once decoded;
+    decoding shortens it, so that ends. Bare hex digits are none."""
+    return [span for span in base_spans(text) if span[0] != "hex"] or confirmed_spans(text)
+
+
 def _holds_secret(data: bytes) -> bool:
-    """Decoded text in which a credential stands, or something that is one once decoded;
-    decoding shortens it, so that ends."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return any(kind != "hex" for kind, _, _ in base_spans(text)) or bool(confirmed_spans(text))
+    return any(_credentials(text) for text, _ in _texts(data, "strict"))
 
 
 def _confirmed(data: bytes | None) -> str | None:
@@ -190,6 +204,50 @@ def _starts(text: str, start: int) -> list[int]:
     return [start, start + 1] if text[start - 1 : start] == "\\" and text[start] in "nrt" else [start]
 
 
+def _inside(text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    """A secret in the run of base64 at ``start`` to ``end`` that does not begin with it, as
+    after a prefix or a path. Keys begin after a separator and end with the run; text is
+    looked for at all four alignments, and its span begins with the last separator before
+    it that has its alignment, or else with the run. Work is linear in the run."""
+    starts = [m.end() for m in re.finditer(r"[/_+-]", text[start:end])]
+    body = text[start:end].rstrip("=")
+    for at in starts:
+        # Both kinds of keys are told by their first bytes, a DER key by its length too.
+        if body.startswith("M", at):
+            head = _decode64(body[at : at + 8]) or b""
+            n = head[1] & 0x7F if len(head) == 6 else 5
+            told = 0 if n > 4 and (len(head) < 6 or head[1] >= 0x80) else (
+                2 + n if head[1] < 0x80 else 2 + n + int.from_bytes(head[2 : 2 + n])
+            )
+            if told != (len(body) - at) * 3 // 4:
+                continue
+        elif not body.startswith("b3BlbnNzaC1rZXktdjEA", at):
+            continue
+        data = _decode64(body[at:])
+        if data and (is_private_der(data) or is_private_ssh(data)):
+            return ("der" if is_private_der(data) else "ssh", start + at, end)
+    for k in range(4):
+        run = body[k:]
+        data = _decode64(run[:-1] if len(run) % 4 == 1 else run)
+        for decoded, coding in _texts(data, "surrogateescape") if data else ():
+            found = _credentials(decoded)
+            if found:
+                before = decoded[: min(s for _, s, _ in found)]
+                skipped = 2 * len(before) if coding != "utf-8" else len(before.encode("utf-8", "surrogateescape"))
+                first = k + skipped // 3 * 4
+                return ("encoded", start + max((s for s in starts if s <= first and s % 4 == k), default=0), end)
+    return None
+
+
+def _token_start(segment: str) -> int | None:
+    """Where the header of a signed token begins in a first segment that may have a prefix."""
+    for at in [0, *(m.end() for m in re.finditer("[_-]", segment))]:
+        head = _decode64(segment[at : at + 8]) if len(segment) - at >= 15 else None
+        if head and OBJECT_START.match(head) and _json_object(_decode64(segment[at:])) is not None:
+            return at
+    return None
+
+
 def _line_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans over several lines: those of one width, with or without the line before, which
     may begin further right, and the one after, which may be shorter."""
@@ -231,8 +289,12 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             encrypted = data is not None and _element(data, 0, len(data)) is not None and "ENCRYPTED" in m[0]
             if data and (is_private_der(data) or is_private_ssh(data) or encrypted):
                 found.append(("pem", m.start(), m.end()))
-    if "ey" in text and "." in text:
-        found += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    for m in JWT.finditer(text) if "." in text else ():
+        at = _token_start(m[1])
+        if at is not None:
+            end = JWT_REST.match(text, m.end(1)).end()
+            if is_signed_token(text[m.start() + at : end]):
+                found.append(("jwt", m.start() + at, end))
     taken = sorted((s, e) for _, s, e in found)
     found += [x for x in _line_spans(text) if not any(s < x[2] and x[1] < e for s, e in taken)]
     taken = [(s, e) for _, s, e in found]
@@ -245,6 +307,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
                 if kind:
                     found.append((kind, start, m.end()))
                     break
+            else:
+                span = _inside(text, *m.span()) if pattern is BASE64 else None
+                if span and not any(s < span[2] and span[1] < e for s, e in taken):
+                    found.append(span)
     return found
 
 
@@ -272,7 +338,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Base spans are those of three patterns. Others are added where base64 or hex decodes
     to a private key (nested lengths parsed), a signed token (header and payload parsed) or
-    text that holds a credential. Positions are code points, ends exclusive. A NULL text is
+    text, UTF-8 or UTF-16, that holds a credential; a prefix before it in the run is no
+    hindrance. Positions are code points, ends exclusive. A NULL text is
     empty and has none; rows are independent, so repeated ones repeat; other columns are
     left out, whatever their names.
     """

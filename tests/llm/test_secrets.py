@@ -128,3 +128,55 @@ def test_keys_with_escaped_and_wrapped_lines():
             for text in (f"key: {run} z", f"a{end}word{end}{run}{end}z", run, f"{run[5:]} x {run}"):
                 assert _kinds(text) == {kind: run}, (text, end)
     assert sc.confirmed_spans("word\n" * 50_000 + "A" * 200_000 + "\\n" * 50_000) == []
+
+
+PREFIXES = ["a/", "sk-", "v1_", "path/to/file-", "x", "xy", "abc", "MIIB/", "M/", "b3Bl_"]
+
+
+def test_prefixed_runs():
+    """A prefix in the run hides neither text nor keys; a span after a separator of its
+    alignment leaves the prefix out."""
+    for data, kind in ((b"password=hunter2hunter2", "encoded"), (b"AKIA" + b"Q" * 16, "encoded"), (_rsa(), "der"), (_wrapped(), "der"), (_ssh(), "ssh")):
+        run = base64.b64encode(data).decode()
+        for prefix in PREFIXES:
+            text = f"see {prefix}{run} there"
+            found = sc.confirmed_spans(text)
+            if kind != "encoded" and prefix[-1] not in "/-_":
+                continue  # a key must begin where something ends
+            assert len(found) == 1 and found[0][0] == kind and found[0][2] == len(text) - 6, (kind, prefix)
+            assert found[0][1] == (4 + len(prefix) if prefix[-1] in "/-_" else 4)
+            assert run.rstrip("=")[-8:] not in sc.redacted(text, found, "#")
+
+
+def test_signed_tokens_with_other_headers():
+    for header in (b'{\n "alg":"HS256"}', b' {"alg":"HS256"}', b'\n\t{ "typ":"JWT","alg":"RS256" }'):
+        token = _token(header)
+        for prefix in ("", "sk-", "e-", "a.", "a" * 30 + ".", "eyJ_"):
+            assert sc.confirmed_spans(f"x {prefix}{token} y") == [("jwt", 2 + len(prefix), 2 + len(prefix) + len(token))]
+    assert sc.confirmed_spans("x " + _token(b'{"alg":"none"}') + " " + _token(b'["alg","HS256"]')) == []
+
+
+def test_text_of_two_byte_units():
+    for coding in ("utf-16", "utf-16-le", "utf-16-be"):
+        for prefix in ("", "sk-"):
+            run = base64.b64encode("password=hunter2hunter2".encode(coding)).decode()
+            assert sc.confirmed_spans(f"x {prefix}{run}") == [("encoded", 2 + len(prefix), 2 + len(prefix) + len(run))]
+
+
+def test_random_runs_and_paths_are_clean():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        run = base64.b64encode(rng.randbytes(rng.randint(12, 400))).decode()
+        assert sc.confirmed_spans(f"a {run} b/{run} www.example.com/{run}.html.{run}.x") == []
+    assert sc.confirmed_spans("home/user/projects/token-secret/password-reset_form/index-of-everything") == []
+
+
+def test_long_runs_of_separators_take_linear_time():
+    import time
+
+    for unit in ("e-", "/M", "M", "a/", "e.", "/MIIB", "-eyJh"):
+        started = time.time()
+        assert sc.confirmed_spans(unit * (400_000 // len(unit))) == []
+        assert time.time() - started < 10, unit
