@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from agestrata.operators import ratio, schedule, summary  # noqa: E402
+from agestrata.operators import folds, ratio, schedule, summary  # noqa: E402
 from agestrata.operators.policy import policy_schedule, year_spine  # noqa: E402
 from agestrata.plans import all_queries  # noqa: E402
 from agestrata.session import local_session  # noqa: E402
@@ -63,7 +63,25 @@ def published(spark):
     )
 
 
+# The published evaluation: 19 origins of 25 training years, as many series as sexes and
+# measures have.
+SERIES, HISTORY, TRAIN, AHEAD = 8, 48, 25, 4
+
+
+def published_backtest(spark):
+    """Rolling refits of log rates that rise with age, fall with time and vary by cell."""
+    cell = spark.range(SERIES * HISTORY * AGES, numPartitions=8)
+    curves = cell.select(
+        F.expr(f"id div {HISTORY * AGES}").alias("series"),
+        (F.expr(f"id div {AGES}") % HISTORY + 1971).cast("int").alias("Year"),
+        (F.col("id") % AGES).cast("int").alias("Age"),
+        F.expr(f"-4 + 0.05D * (id % {AGES}) - 0.01D * (id div {AGES} % {HISTORY}) + pmod(xxhash64(id), 1000) / 1e4D").alias("value"),
+    )
+    return folds.rolling_rate_backtest(curves, folds.fold_table(curves, TRAIN, AHEAD), ["series"], AHEAD)
+
+
 PUBLISHED = {
+    "published_rolling_backtest": lambda s, _: published_backtest(s),
     "published_oadr_by_policy": lambda s, _: ratio.oadr_by_policy(
         published(s), policy_schedule(year_spine(s)), fill=False
     ),
