@@ -24,9 +24,10 @@ def test_query(spark, con, name):
 
 
 def test_registered():
-    assert len(QUERIES) == 10 and {*QUERIES, "pipeline"} <= set(entry.queries())
+    assert len(QUERIES) == 13 and {*QUERIES, "pipeline"} <= set(entry.queries())
     assert {k for k in entry.oracle_sql() if k in QUERIES} == {
-        "op2_warc_round_trip", "op3_token_rollup", "op8_repeated_passages", "op9_source_mix"
+        "op2_warc_round_trip", "op3_token_rollup", "op8_repeated_passages", "op9_source_mix",
+        "op11_filter_audit", "op12_vector_codes", "op13_long_repeats",
     }
 
 
