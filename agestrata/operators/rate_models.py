@@ -21,9 +21,16 @@ from agestrata.operators.curves import (
     sum_difference,
 )
 from agestrata.operators.forecast import HORIZON, drift_forecast, mixed_forecast
+from agestrata.operators.gaps import gappy_basis, gappy_fit, gappy_mean, gappy_scores
 
 
-def _fit(curves: DataFrame, keys: Sequence[str], components: int, value: str):
+def _fit(curves: DataFrame, keys: Sequence[str], components: int, value: str, fill: bool):
+    """Mean curve, loadings, scores, and a function that gives ``keys, Age, residual``."""
+    if fill:
+        fit = gappy_fit(curves, keys, components, value)
+        mean = gappy_mean(fit, keys)
+        left = mean.select(*keys, "Age", "residual")
+        return mean.select(*keys, "Age", "mu"), gappy_basis(fit, keys), gappy_scores(fit, keys), lambda: left
     # Joins drop NULL keys anyway. Saying so here gives every branch the same input, so
     # that the curves are scanned and shuffled once.
     for k in [*keys, "Year", "Age"]:
@@ -33,7 +40,8 @@ def _fit(curves: DataFrame, keys: Sequence[str], components: int, value: str):
     # The mean is the same in every year. Taking it by year keeps the rows behind it the
     # same as those of the scores, so that Spark reuses their shuffle.
     mu = centered.groupBy(*keys, "Age").agg(F.max_by("mu", "Year").alias("mu"))
-    return centered, mu, basis, component_scores(centered, basis, keys, components)
+    scores = component_scores(centered, basis, keys, components)
+    return mu, basis, scores, lambda: residual_variance(centered, basis, scores, keys)
 
 
 def residual_variance(centered: DataFrame, basis: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,18 +87,21 @@ def component_forecast(
     components: int = COMPONENTS,
     value: str = "value",
     level: float | None = None,
+    fill: bool = False,
 ) -> DataFrame:
     """``keys, Year, Age, fitted``: every score follows its drift. With ``level`` (80 for the
     central 80 percent) also ``lower`` and ``upper``, of complete curves: scores are taken
     as independent, and what the components leave varies as it did in the past. Ends of
-    an interval of logs are those of the rates, exponentiated."""
-    centered, mu, basis, scores = _fit(curves, keys, components, value)
+    an interval of logs are those of the rates, exponentiated.
+
+    A missing cell counts as its age's mean; with ``fill`` it is filled from the components
+    (``gaps``), and intervals are for curves with gaps too."""
+    mu, basis, scores, residual = _fit(curves, keys, components, value, fill)
     ahead = drift_forecast(scores, [*keys, "j"], horizon, level=level)
     fitted = reconstruct(mu, basis, ahead, keys, components)
     if level is None:
         return fitted
-    residual = residual_variance(centered, basis, scores, keys)
-    spread = curve_variance(residual, basis, ahead, keys, components, level)
+    spread = curve_variance(residual(), basis, ahead, keys, components, level)
     half = _width(level) * F.sqrt("variance")
     return fitted.join(spread, [*keys, "Year", "Age"]).select(
         *keys, "Year", "Age", "fitted", (F.col("fitted") - half).alias("lower"), (F.col("fitted") + half).alias("upper")
@@ -137,6 +148,7 @@ def coherent_forecast(
     value: str = "value",
     log: bool = True,
     level: float | None = None,
+    fill: bool = False,
 ) -> DataFrame:
     """``keys, Sex, Year, Age, value`` forecast for both sexes without divergence.
 
@@ -147,17 +159,16 @@ def coherent_forecast(
 
     With ``level`` also ``lower`` and ``upper``: a sex is the sum or the difference of the two
     parts, whose variances (``component_forecast``) add up; with ``log`` the ends are
-    exponentiated."""
+    exponentiated. ``fill`` is that of ``component_forecast``, for each part."""
     curves = shared_and_apart(df, keys, value, log)
     keyed = [*keys, "part"]
-    centered, mu, basis, scores = _fit(curves, keyed, components, "value")
+    mu, basis, scores, residual = _fit(curves, keyed, components, "value", fill)
     ahead = mixed_forecast(scores, [*keyed, "j"], F.col("part") == "apart", horizon, level=level)
     fitted = reconstruct(mu, basis, ahead, keyed, components)
     by_sex = by_sex_again(fitted, keys, log)
     if level is None:
         return by_sex
-    residual = residual_variance(centered, basis, scores, keyed)
-    spread = curve_variance(residual, basis, ahead, keyed, components, level)
+    spread = curve_variance(residual(), basis, ahead, keyed, components, level)
     parts = pair_cells(spread, [*keys, "Year", "Age"], "part", ["shared", "apart"], "variance")
     half = _width(level) * F.sqrt(F.col("shared") + F.col("apart"))
     ends = (F.col("value") * F.exp(-half), F.col("value") * F.exp(half)) if log else (F.col("value") - half, F.col("value") + half)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from agestrata.operators import accounting, components, curves, fertility, folds, forecast, rate_models
+from agestrata.operators import accounting, components, curves, fertility, folds, forecast, gaps, rate_models
 from agestrata.plans import views as V
 from agestrata.plans.registry import query, r, rounded
 from agestrata.plans.tables import CELLS
@@ -537,6 +537,93 @@ def reconstruct(spark, sf_dir):
     return rounded(fitted, "fitted")
 
 
+# --- curves with missing cells ------------------------------------------------------
+
+# A cell without events has no log rate: it is missing.
+SEEN = """, seen AS (
+  SELECT series, Sex, Year, Age, ln(rate) AS value FROM v_rates WHERE events > 0)"""
+
+
+def _seen(spark, sf_dir):
+    seen = V.rates(spark, sf_dir).where("events > 0")
+    return seen.select(*SERIES, "Year", "Age", F.ln("rate").alias("value"))
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        SEEN
+        + f""", deviations AS (
+  SELECT series, Sex, Year, Age, value - avg(value) OVER (PARTITION BY series, Sex, Age) AS c FROM seen)
+SELECT a.series, a.Sex, a.Age AS Age_i, b.Age AS Age_j, count(*) AS years, {r('avg(a.c * b.c)')} AS moment
+FROM deviations a JOIN deviations b ON a.series = b.series AND a.Sex = b.Sex AND a.Year = b.Year
+GROUP BY ALL""",
+    )
+)
+def pairwise_covariance(spark, sf_dir):
+    centered = curves.center_curves(_seen(spark, sf_dir), SERIES)
+    return rounded(gaps.pairwise_covariance(centered, SERIES), "moment")
+
+
+# A table whose every cell is known from its margins: mean log rate of the age times that of
+# the year. Spark sees it where there were events only, and has to find the rest.
+MARGINS = (
+    SEEN
+    + """, by_age AS (SELECT series, Sex, Age, avg(value) AS a FROM seen GROUP BY ALL),
+by_year AS (SELECT series, Sex, Year, avg(value) AS k FROM seen GROUP BY ALL)"""
+)
+
+
+def _from_margins(spark, sf_dir):
+    seen = _seen(spark, sf_dir)
+    age = F.avg("value").over(Window.partitionBy(*SERIES, "Age"))
+    year = F.avg("value").over(Window.partitionBy(*SERIES, "Year"))
+    return seen.select(*SERIES, "Year", "Age", (age * year).alias("value"))
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        MARGINS
+        + f"""SELECT series, Sex, Year, Age, {r('a * k')} AS fitted, 1.0::DOUBLE AS share
+              FROM by_age JOIN by_year USING (series, Sex)""",
+    )
+)
+def filled_component(spark, sf_dir):
+    fit = gaps.gappy_fit(_from_margins(spark, sf_dir), SERIES, 1)
+    basis = gaps.gappy_basis(fit, SERIES)
+    mu = gaps.gappy_mean(fit, SERIES).select(*SERIES, "Age", "mu")
+    fitted = components.reconstruct(mu, basis, gaps.gappy_scores(fit, SERIES), SERIES, 1)
+    shares = components.variance_shares(basis, SERIES).select(*SERIES, "share")
+    return rounded(fitted.join(shares, SERIES), "fitted", "share")
+
+
+@query(
+    with_views(
+        ["v_rates"],
+        MARGINS
+        + f""", ends AS (
+  SELECT series, Sex, max(Year) AS last, arg_max(k, Year) AS k,
+         (arg_max(k, Year) - arg_min(k, Year)) / (max(Year) - min(Year)) AS drift
+  FROM by_year GROUP BY ALL),
+steps AS (
+  SELECT a.series, a.Sex, count(*)::DOUBLE AS n, var_samp(a.k - b.k) AS v
+  FROM by_year a JOIN by_year b ON a.series = b.series AND a.Sex = b.Sex AND b.Year = a.Year - 1 GROUP BY ALL),
+ahead AS (
+  SELECT series, Sex, Age, last + h AS Year, a * (k + h * drift) AS fitted,
+         {NORMAL_90} * abs(a) * sqrt(v * h * (1 + h / n)) AS half
+  FROM by_age JOIN ends USING (series, Sex) JOIN steps USING (series, Sex), range(1, 34) AS t(h))
+SELECT series, Sex, CAST(Year AS INTEGER) AS Year, Age, {r('fitted')} AS fitted, {r('fitted - half')} AS lower,
+       {r('fitted + half')} AS upper
+FROM ahead""",
+    )
+)
+def filled_forecast(spark, sf_dir):
+    seen = _from_margins(spark, sf_dir)
+    out = rate_models.component_forecast(seen, SERIES, components=1, level=80, fill=True)
+    return rounded(out, "fitted", "lower", "upper")
+
+
 # --- forecasts --------------------------------------------------------------------
 
 CELL = [*SERIES, "Age"]
