@@ -21,10 +21,12 @@ def quality(text: str, size: str) -> Column:
     return F.when(mean.between(3, 10), 1.0).otherwise(0.5)
 
 
-def draw_key(doc_id: str, weight: Column) -> Column:
-    """Exponential with rate ``weight``: -ln(u) / weight, where u comes from the digest of
-    the id, so that reruns agree. The smallest keys are drawn first."""
-    digits = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13)
+def draw_key(doc_id: str, text: str, weight: Column) -> Column:
+    """Exponential with rate ``weight``: -ln(u) / weight, where u comes from a digest of the
+    id and the text, so that reruns agree and rows that share an id, or have none, are drawn
+    each by itself. The smallest keys are drawn first."""
+    own = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))]
+    digits = F.substring(F.md5(F.concat_ws(":", *own).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     return -F.log(u) / weight
 
@@ -32,7 +34,7 @@ def draw_key(doc_id: str, weight: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_size`` and ``_key``."""
     sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    return sized.withColumn("_key", draw_key("doc_id", quality("text", "_size")))
+    return sized.withColumn("_key", draw_key("doc_id", "text", quality("text", "_size")))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
@@ -134,8 +136,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3)
     a mix of the sources takes, repeats counted.
 
     Whole epochs of a source come first; the rest of its target is drawn without
-    replacement with chances by document quality. Rows with one doc_id in a source share
-    a key and are drawn together. NULL texts have size 0, a NULL source is a source, a
+    replacement with chances by document quality. Rows of a source with equal doc_id and
+    equal text share a key and are drawn together. NULL texts have size 0, a NULL source is a source, a
     NULL doc_id has a key like any other; an empty table gives no rows. Other columns are
     left out, whatever their names.
     """

@@ -28,7 +28,9 @@ def _brute(rows):
     for doc_id, text, _, source in rows:
         n = words(text)
         weight = 1.0 if 3 <= len(text or "") / max(n, 1) <= 10 else 0.5
-        u = (int(hashlib.md5(("" if doc_id is None else str(doc_id)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        own = "" if text is None else hashlib.md5(text.encode()).hexdigest()
+        own = ("" if doc_id is None else str(doc_id)) + ":" + own
+        u = (int(hashlib.md5(own.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         keyed.append((source, -math.log(u) / weight, doc_id, n))
     sizes = {}
     for s, _, _, n in keyed:
@@ -75,6 +77,18 @@ def test_takes_come_near_targets_and_never_above_three(documents):
     assert all(abs(t - n) <= 60 for t, n in by.values())
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_rows_that_share_an_id_are_drawn_each(documents, shared):
+    rows = _rows(random.Random(4), 600, ["a", "b", "c", "d"])
+    rows = [(shared if i % 2 else i, *r[1:]) for i, r in enumerate(rows)]
+    got = mx.mix(documents(rows)).collect()
+    assert _sorted(got) and len(got) == 600
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(t - n) <= 60 for t, n in by.values())
+
+
 def test_targets_cascade(spark):
     sizes = {"a": 10, "b": 1, "c": 1000, "d": 50, "e": 0, None: 7}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
